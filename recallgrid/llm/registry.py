@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints"]
+MODULES = ["fingerprints", "bpe", "packing"]
 
 
 def _all(kind: str) -> dict:

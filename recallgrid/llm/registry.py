@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact"]
+MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat"]
 
 
 def _all(kind: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat"]
+MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses"]
 
 
 def _all(kind: str) -> dict:

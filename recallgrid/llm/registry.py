@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses"]
+MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses", "pii"]
 
 
 def _all(kind: str) -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses", "pii"]
+MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses", "pii", "toxicity"]
 
 
 def _all(kind: str) -> dict:
@@ -15,7 +15,9 @@ def _all(kind: str) -> dict:
 
 
 def queries() -> dict:
-    return _all("QUERIES")
+    import corpus_pipeline
+
+    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:

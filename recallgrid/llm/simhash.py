@@ -71,7 +71,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a < b: enough pairs of linked fingerprints to connect all that link."""
     if radius not in (0, 1, 2, 3):
         raise ValueError("radius up to 3: half of it is the radius of the variants")
-    met = distinct.select("fp", F.explode(variants(F.col("fp"), radius // 2 + radius % 2)).alias("v"))
+    # few bytes a fingerprint, many a variant: dealt out again, or they would be expanded in one task
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    met = spread.select("fp", F.explode(variants(F.col("fp"), radius // 2 + radius % 2)).alias("v"))
     least = met.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "a")
     pairs = met.join(least, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)

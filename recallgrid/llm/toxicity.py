@@ -37,6 +37,8 @@ MIN_DOCS = 4
 #: Words kept ready in a worker, 250 bytes each, and words in one round of scoring.
 READY_WORDS, ROUND_WORDS = 250_000, 150_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
+#: Samples under this size set their threshold in four turns; share of toxic texts that the threshold supposes.
+FEW, TOXIC_SHARE = 1200, 0.1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,12 +213,31 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None:
-    """A network for ``texts`` with labels 0 and 1; None without both."""
+    """A network for ``texts`` with labels 0 and 1; None without both.
+
+    The threshold comes from texts that the network did not learn from: a sixth of a large sample, or all of a small one
+    in four turns.
+    """
     if len(set(labels.tolist())) < 2:
         return None
+    order = np.random.default_rng(seed).permutation(len(texts))
+    if len(texts) >= FEW:
+        check = np.sort(order[: len(texts) // 6])
+        network, found = _learn(texts, labels, np.setdiff1d(order, check), seed)
+        _calibrate(network, found[check], labels[check])
+        return network
+    unseen = np.zeros(len(texts))
+    for part in np.array_split(order, 4):
+        if len(set(labels[np.setdiff1d(order, part)].tolist())) == 2:
+            unseen[part] = _learn(texts, labels, np.setdiff1d(order, part), seed)[1][part]
+    network, _ = _learn(texts, labels, np.sort(order), seed)
+    _calibrate(network, unseen, labels)
+    return network
+
+
+def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -> tuple[Network, np.ndarray]:
+    """A network that learned from the texts numbered ``learn``, and the highest window's logit of every text."""
     random = np.random.default_rng(seed)
-    order = random.permutation(len(texts))
-    check, learn = np.sort(order[: len(texts) // 6]), np.sort(order[len(texts) // 6 :])
     split = [words_of(t) for t in texts]
     bare = [{w.strip("\"'.,;:!?()[]*#$%&") for w in ws} for ws in split]
     counts: Counter[str] = Counter()
@@ -296,17 +317,14 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None:
         guess = scored()
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, guess)
-    _calibrate(network, best[check], labels[check], best[learn], labels[learn])
-    return network
+    return network, best
 
 
-def _calibrate(network: Network, x: np.ndarray, y: np.ndarray, x_all: np.ndarray, y_all: np.ndarray) -> None:
+def _calibrate(network: Network, x: np.ndarray, y: np.ndarray) -> None:
     """Put the threshold where rows that were not learned from are told apart best, in the middle of the gap."""
-    if len(set(y.tolist())) < 2:
-        x, y = x_all, y_all
     order = np.argsort(x)
     x, y = x[order], y[order]
-    weight = np.where(y == 1, 0.1 / max(1, y.sum()), 0.9 / max(1, (1 - y).sum()))  # as if a tenth were toxic
+    weight = np.where(y == 1, TOXIC_SHARE / max(1, y.sum()), (1 - TOXIC_SHARE) / max(1, (1 - y).sum()))
     right = np.concatenate([[0], np.cumsum(weight * (y == 0))]) + (weight * (y == 1)).sum() - np.concatenate([[0], np.cumsum(weight * (y == 1))])
     best = np.flatnonzero(right >= right.max() - 1e-12)
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])

@@ -112,11 +112,11 @@ def unique_words(c: Column) -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def truncate_text(c: Column, most: int, suffix: str = "…") -> Column:
@@ -150,7 +150,7 @@ def extract_urls(c: Column) -> Column:
 
 
 def extract_phones(c: Column) -> Column:
-    return F.array_distinct(F.transform(found(c, PHONE), F.trim))
+    return F.array_distinct(F.transform(found(c, PHONE), lambda s: F.trim(s)))
 
 
 def extract_money(c: Column) -> Column:

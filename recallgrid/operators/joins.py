@@ -109,10 +109,10 @@ def merge_pages(pages: Sequence[DataFrame], key: str = "memory_id") -> DataFrame
 
 def merge_words(a: Column, b: Column, most: int) -> Column:
     """Both lists in order, each word once whatever its case, as first spelled."""
-    both = F.filter(F.transform(F.concat(a, b), F.trim), lambda w: w != "")
+    both = F.filter(F.transform(F.concat(a, b), lambda w: F.trim(w)), lambda w: w != "")
     first = F.transform(F.array_distinct(F.transform(both, F.lower)), lambda k: F.filter(both, lambda w: F.lower(w) == k)[0])
     return F.slice(first, 1, most)
 
 
 def dedup_words(values: Column, most: int) -> Column:
-    return F.slice(F.array_distinct(F.filter(F.transform(values, F.trim), lambda w: w != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda w: F.trim(w)), lambda w: w != "")), 1, most)

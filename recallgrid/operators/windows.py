@@ -93,7 +93,7 @@ def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
 
 def page_after(df: DataFrame, last: tuple, size: int, first: str, second: str) -> DataFrame:
     """The next page after the row with keys ``last``: no offset to count through."""
-    return df.where(F.struct(first, second) > F.struct(F.lit(last[0]), F.lit(last[1]))).orderBy(first, second).limit(size)
+    return df.where((F.col(first) > last[0]) | (F.col(first) == last[0]) & (F.col(second) > last[1])).orderBy(first, second).limit(size)
 
 
 def sort_entities(entities: Column) -> Column:

@@ -60,14 +60,14 @@ def w7(spark, d):
 
 
 @book.add("w8_best_ocr", """
-    WITH s AS (SELECT l_orderkey AS memory_id, l_shipmode AS strategy, l_linenumber AS ord, round(0.6 * l_quantity / 100 + 0.2 * least(l_suppkey % 60 / 30, 1.0) + 0.2 * least(l_partkey % 700 / 300, 1.0), 9)::DOUBLE AS score FROM lineitem)
+    WITH s AS (SELECT l_orderkey AS memory_id, l_returnflag AS strategy, l_linenumber * 1000000 + l_partkey AS ord, round(0.6 * l_quantity / 100 + 0.2 * least(l_suppkey % 60 / 30, 1.0) + 0.2 * least(l_partkey % 700 / 300, 1.0), 9)::DOUBLE AS score FROM lineitem)
     SELECT memory_id, strategy, score FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY score DESC, ord) AS n FROM s) WHERE n = 1""")
 def w8(spark, d):
-    r = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_shipmode").alias("strategy"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("double").alias("confidence"), (F.col("l_suppkey") % 60).alias("words"), (F.col("l_partkey") % 700).alias("chars"))
+    r = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.col("l_returnflag").alias("strategy"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"), F.col("l_quantity").cast("double").alias("confidence"), (F.col("l_suppkey") % 60).alias("words"), (F.col("l_partkey") % 700).alias("chars"))
     return O.best_ocr(r)
 
 
-@book.add("w9_offered_load", "SELECT event_id, count(*) OVER (PARTITION BY user_id % 3, event_type ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS load FROM events")
+@book.add("w9_offered_load", "SELECT event_id, count(*) OVER (PARTITION BY user_id % 3, event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS load FROM events")
 def w9(spark, d):
     e = read(spark, d, "events").select("event_id", (F.col("user_id") % 3).alias("client"), F.col("event_type").alias("area"), F.unix_timestamp("ts").alias("at"))
     return O.offered_load(e, 3600).select("event_id", "load")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of ``recallgrid.plans`` with QUERIES and ORACLES.
-MODULES: list[str] = ["filters", "joins", "stats", "windows", "search"]
+MODULES: list[str] = ["filters", "joins", "stats", "windows", "search", "text", "ingest"]
 
 
 def _all(kind: str) -> dict:

@@ -156,7 +156,7 @@ def m3(spark, d):
 
 @book.add("m4_job_state", """
     WITH e AS (SELECT user_id % 50 AS job_id, epoch(ts)::BIGINT AS t, event_id, CASE event_type WHEN 'click' THEN 'claim' WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'done' ELSE 'queue' END AS kind FROM events),
-    l AS (SELECT job_id, arg_max(kind, t * 1000000 + event_id) AS last, max(t) AS t, count(*) FILTER (kind = 'fail') AS ttempts FROM e GROUP BY 1)
+    l AS (SELECT job_id, arg_max(kind, t * 1000000 + event_id) AS last, max(t) AS t, count(*) FILTER (kind = 'fail') AS attempts FROM e GROUP BY 1)
     SELECT job_id, attempts, CASE WHEN last = 'done' THEN 'completed' WHEN last = 'fail' AND attempts >= 5000 THEN 'failed' WHEN last = 'fail' THEN 'retrying' WHEN last = 'claim' AND 1800000000 - t > 900 THEN 'retrying' WHEN last = 'claim' THEN 'processing' ELSE 'queued' END AS status FROM l""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def m4(spark, d):
     kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "done").otherwise("queue")

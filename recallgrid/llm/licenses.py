@@ -65,9 +65,10 @@ def rules() -> list[tuple[str, str, str, str, int, float, bool]]:
     for label, name, version in LICENSES:
         tail = rf"(?: version| v)? ?{version}" if version else ""
         high = 3 if version else 2
+        after = rf"(?:version |v ?)?{version}" if version else ""
         for word in LICENSE_WORDS:
-            out.append((word, name, tail.lstrip(), label, high, 0.85, False))
-            out.append((word, GRANT + name, tail.lstrip(), label, high + 2, 0.95, False))
+            out.append((word, name, after, label, high, 0.85, False))
+            out.append((word, GRANT + name, after, label, high + 2, 0.95, False))
             if version:
                 out.append((word, rf"{name}(?: v)? ?{version}", "", label, high, 0.8, False))
         for word in ("licensed", "licenced"):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, table, text_or_empty
+from .common import bounded_batches, cut, row_key, table, text_or_empty
 
 SHINGLE = 3
 SEED = 42
@@ -49,14 +49,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp long) for each row."""
+    """(doc_id, r, fp) for each row; r tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "r", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"))
+    return bounded_batches(texts).mapInArrow(run, "doc_id long, r long, fp long")
 
 
 def variants(fp: Column, radius: int) -> Column:
@@ -72,7 +73,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius not in (0, 1, 2, 3):
         raise ValueError("radius up to 3: half of it is the radius of the variants")
     # few bytes a fingerprint, many a variant: dealt out again, or they would be expanded in one task
-    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     met = spread.select("fp", F.explode(variants(F.col("fp"), radius // 2 + radius % 2)).alias("v"))
     least = met.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "a")
     pairs = met.join(least, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
@@ -103,31 +104,35 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) for each row."""
+def _grouped(documents: DataFrame, radius: int, shingle: int, seed: int) -> DataFrame:
+    """(doc_id, r, fp, root, component_id) for each row; root: the smallest fingerprint that a row's reaches."""
     docs = cut(fingerprints(documents, shingle, seed))
     distinct = docs.groupBy("fp").agg(F.min("doc_id").alias("low"))
     linked = components(links(distinct.select("fp"), radius))
-    # groups of fingerprints: each linked one names the smallest fingerprint that it reaches
     grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("root"))
     roots = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = grouped.join(roots, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    return docs.join(grouped.join(roots, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, component_id) for each row."""
+    return _grouped(documents, radius, shingle, seed).select("doc_id", "fp", "component_id")
 
 
 def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``documents`` without all but one row of each component: the smallest doc_id, of its rows the one with the smallest text.
+    """``documents`` without all but one row of each component, that with the smallest doc_id; rows without doc_id come last.
 
     Only the survivors' ids meet the texts again.
     """
-    found = near_duplicates(documents, radius, shingle, seed)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "__keep")
-    kept = documents.join(keep, documents["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    if again.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in documents.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    found = _grouped(documents, radius, shingle, seed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("w")
+    keep = cut(found.groupBy("root").agg(first).select(F.col("w.doc_id").alias("__d"), F.col("w.r").alias("__q")))
+    docs = documents.withColumn("__r", row_key("doc_id", "text"))
+    kept = docs.join(keep, (F.col("__r") == F.col("__q")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    # equal rows of one doc_id are all there still: number them, where there are any
+    if kept.groupBy("doc_id", "__r").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").isEmpty():
+        return kept.drop("__r")
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__r").orderBy("text"))).where("__n = 1").drop("__n", "__r")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_or_empty
+from .common import bounded_batches, table, text_or_empty
 from .pieces import PieceEncoder, chunks, spread
 
 NONE = np.int32(2**31 - 1)
@@ -172,7 +172,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
                 ids, at = store.ids(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return bounded_batches(documents.select("doc_id", text_or_empty().alias("text")), 1000).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -203,7 +203,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
                 hexed = [[hashlib.sha256(x[i : max(i, j - less)]).hexdigest() for i, j in zip(k[:-1], k[1:])] for x, k, less in ((decimal, digits_at, 1), (plain, bytes_at, 0))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(hexed[0]), pa.array(hexed[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(documents.select("doc_id", text_or_empty().alias("text")), 1000).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

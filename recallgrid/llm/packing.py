@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_or_empty
+from .common import bounded_batches, cut, table, text_or_empty
 from .pieces import PieceEncoder, chunks
 
 CAPACITY = 1024
@@ -108,7 +108,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
                 yield pa.RecordBatch.from_arrays(arrays + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
+    return bounded_batches(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), 1000).mapInArrow(run, schema)
 
 
 class _Bag:

@@ -15,7 +15,6 @@ are ignored by ``score`` and kept by ``clean``.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bounded_batches, table, text_or_empty
+from .pieces import spread
 
 #: Most labelled rows of each label that the fit collects.
 SAMPLE = 1500
@@ -35,7 +35,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 10, 8
 CHAR_BUCKETS, GRAMS = 1 << 15, (3, 5, 7)
 MIN_DOCS = 4
 #: Words kept ready in a worker, 250 bytes each, and words in one round of scoring.
-READY_WORDS, ROUND_WORDS = 250_000, 150_000
+READY_WORDS, ROUND_WORDS = 120_000, 60_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
 #: Samples under this size set their threshold in four turns; share of toxic texts that the threshold supposes.
 FEW, TOXIC_SHARE = 1200, 0.1
@@ -64,9 +64,9 @@ def char_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if n in GRAMS or n == 2:
             ok = np.flatnonzero(room >= n) if n in GRAMS else np.flatnonzero((room == 2) & (np.repeat(size, size) == 2))
             mixed = (key[ok] ^ (key[ok] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            buckets.append((mixed >> np.uint64(64 - 15)).astype(np.int64)), owners.append(of[ok])
+            buckets.append((mixed >> np.uint64(64 - 15)).astype(np.int32)), owners.append(of[ok])
     bucket, owner = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
+    order = np.argsort(owner, kind="stable").astype(np.int32)
     return bucket[order], np.bincount(owner, minlength=len(words))
 
 
@@ -238,31 +238,34 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None:
 def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -> tuple[Network, np.ndarray]:
     """A network that learned from the texts numbered ``learn``, and the highest window's logit of every text."""
     random = np.random.default_rng(seed)
-    split = [words_of(t) for t in texts]
-    bare = [{w.strip("\"'.,;:!?()[]*#$%&") for w in ws} for ws in split]
-    counts: Counter[str] = Counter()
+    # texts as numbers of distinct words: the sample's words are kept once
+    number: dict[str, int] = {}
+    split = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int64) for t in texts]
+    number.setdefault("", len(number))
+    distinct = list(number)
+    bare: dict[str, int] = {}
+    stripped = np.fromiter((bare.setdefault(w.strip("\"'.,;:!?()[]*#$%&"), len(bare)) for w in distinct), np.int64, len(distinct))
+    counts = np.zeros(len(bare), np.int64)
     for i in learn:
-        counts.update(bare[i])
-    network = Network({w: k + 1 for k, w in enumerate(sorted(w for w, c in counts.items() if c >= MIN_DOCS))})
-    distinct = sorted({w for ws in split for w in ws} | {""})
-    number = {w: k for k, w in enumerate(distinct)}
+        counts[np.unique(stripped[split[i]])] += 1
+    network = Network({w: k + 1 for k, w in enumerate(sorted(w for w, c in zip(bare, counts) if c >= MIN_DOCS))})
     own = np.array([network.vocabulary.get(w.strip("\"'.,;:!?()[]*#$%&"), 0) for w in distinct])
     bucket, grams = char_features(distinct)
     gram_at = np.concatenate([[0], np.cumsum(grams)])
     # the first part of each vector begins as the smoothed log-odds of the word or n-gram among learned texts
     seen = {"word": np.zeros((2, len(network.vocabulary) + 1)), "char": np.zeros((2, CHAR_BUCKETS))}
     for i in learn:
-        ids = np.array(sorted({number[w] for w in split[i]}), np.int64)
+        ids = np.unique(split[i])
         if len(ids):
             seen["word"][labels[i], np.unique(own[ids])] += 1
-            seen["char"][labels[i], np.unique(np.concatenate([bucket[gram_at[j] : gram_at[j + 1]] for j in ids]))] += 1
+            seen["char"][labels[i], np.unique(spread(bucket, gram_at, grams, ids))] += 1
     total = np.bincount(labels[learn], minlength=2)
     for name, c in seen.items():
         odds = np.log((c[1] + 1) / (total[1] + 2)) - np.log((c[0] + 1) / (total[0] + 2))
         odds[c.sum(axis=0) < MIN_DOCS] = 0
         network.p[name][:, 0] = np.clip(odds, -3, 3)
     network.p["word"][0, 0] = 0
-    word = np.array([number[w] for ws in split for w in ws], np.int64)
+    word = np.concatenate(split)
     first, size, owner = windows(np.array([len(ws) for ws in split], np.int64))
     strong = np.maximum(network.p["word"][own, 0], 0) + np.maximum.reduceat(np.append(network.p["char"][bucket, 0], 0), np.minimum(gram_at[:-1], len(bucket)))
     total_strength = np.concatenate([[0], np.cumsum(strong[word])])
@@ -289,8 +292,7 @@ def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -
             index, live = _index(first[some], size[some], word)
             used, local = np.unique(index, return_inverse=True)
             local = local.reshape(index.shape)
-            at = np.concatenate([np.arange(gram_at[j], gram_at[j + 1]) for j in used])
-            part, n = bucket[at], grams[used]
+            part, n = spread(bucket, gram_at, grams, used), grams[used]
             vectors = np.concatenate([network.p["word"][own[used]], network._chars(part, n)], axis=1)
             tape: dict = {}
             logit = network.logits(network.inputs(vectors), local, live, tape)
@@ -365,7 +367,7 @@ def score(documents: DataFrame, network: Network | None) -> DataFrame:
             found = shared.value.probability(np.concatenate(out).astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))).mapInArrow(run, "doc_id long, score double")
 
 
 def clean(documents: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -386,7 +388,7 @@ def clean(documents: DataFrame, network: Network | None, threshold: float = THRE
                     first, n = i + 1, 0
             yield batch.filter(pa.array(shared.value.probability(np.concatenate(out).astype(np.float64)) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return bounded_batches(documents).mapInArrow(run, documents.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

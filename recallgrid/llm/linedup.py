@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, table
+from .common import cut, row_key, small, table
 
 #: Sites that make a line boilerplate.
 SITES = 5
 #: Share of the threshold within which an estimate is not trusted.
 MARGIN = 0.2
 LOG_K = 10
+#: Most rows of a table of line hashes that is broadcast, under 10 MB; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
@@ -41,7 +43,7 @@ def line_hash(line: Column) -> Column:
 def boilerplate(lines: DataFrame, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
     """(h): hashes of ``lines`` (site, h) on at least ``sites`` distinct sites."""
     frequent = cut(lines.groupBy("h").agg(F.count("site").alias("n")).where(F.col("n") >= sites).select("h"))
-    some = lines.where("site is not null").join(frequent, "h", "left_semi")
+    some = lines.where("site is not null").join(small(frequent, BROADCAST_ROWS), "h", "left_semi")
     spread = some.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"))
     spread = cut(spread.where(F.col("sites") >= sites * (1 - margin)))
     near = spread.where(F.col("sites") <= sites * (1 + margin)).select("h")
@@ -52,11 +54,11 @@ def boilerplate(lines: DataFrame, sites: int = SITES, margin: float = MARGIN) ->
 def removed_lines(docs: DataFrame, site: str, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
     """(doc_id, __r, removed array<int>): numbers of each document's removed lines, for documents that have any."""
     lines = _lines(docs, site)
-    spread = cut(boilerplate(lines, sites, margin))
+    spread = small(cut(boilerplate(lines, sites, margin)), BROADCAST_ROWS)
     found = lines.select("doc_id", "__r", "pos", "h").join(spread, "h")
     place = F.struct("doc_id", "__r", "pos")
-    first = found.groupBy("h").agg(F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("stays"))
-    gone = found.join(first, "h").where(~place.eqNullSafe(F.col("stays")))
+    first = cut(found.groupBy("h").agg(F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("stays")))
+    gone = found.join(small(first, BROADCAST_ROWS), "h").where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy("doc_id", "__r").agg(F.collect_set("pos").alias("removed"))
 
 

@@ -46,13 +46,17 @@ def token_index(memories: DataFrame, text: str = "ocr_text") -> DataFrame:
     return memories.select(F.explode(F.array_distinct(tokenize_doc(F.col(text)))).alias("token"), "memory_id")
 
 
-def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5) -> DataFrame:
+def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5, written: bool = False) -> DataFrame:
     """(query_id, memory_id, score): share of the query's tokens, at least ``least``.
 
-    Exact by a prefix filter: of n tokens with a share of at least ``least``, one of the n - ceil(least n) + 1 rarest must be
+    An index made on the fly is read once and counted.  One that is written may be read again, so a prefix filter
+    comes first, exact too: of n tokens with a share of at least ``least``, one of the n - ceil(least n) + 1 rarest must be
     there, so only those probe the index; the candidates are then counted over all tokens.
     """
     tokens = queries.select("query_id", F.array_distinct("q_tokens").alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    if not written:
+        counted = index.join(F.broadcast(tokens), "token").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
+        return counted.select("query_id", "memory_id", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
     frequency = index.join(F.broadcast(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(frequency, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
     probes = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)

@@ -48,7 +48,8 @@ def distribution(df: DataFrame, name: str, most: int = 10) -> DataFrame:
 
 def collections(df: DataFrame, text: Column) -> DataFrame:
     """Memories of each collection; one may be in several, or in Other."""
-    low = F.lower(text)
+    df = df.select(F.lower(text).alias("__low"))  # a column of its own, so that it is made once a row
+    low = F.col("__low")
 
     def any_of(terms: list[str]) -> Column:
         hit = low.contains(terms[0])

@@ -60,7 +60,7 @@ def test_knn_paths_agree(spark, data):
 def test_lexical_prefix_filter_loses_nothing(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("memory_id"), F.col("text").alias("ocr_text"))
     q = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.slice(text.meaningful_tokens(F.col("text")), 1, 5).alias("q_tokens"))
-    got = {(r.query_id, r.memory_id): round(r.score, 9) for r in search.lexical_scores(q, search.token_index(docs)).collect()}
+    got, probed = ({(r.query_id, r.memory_id): round(r.score, 9) for r in search.lexical_scores(q, search.token_index(docs), written=w).collect()} for w in (False, True))
     tokens = {r.memory_id: set(r.t) for r in docs.select("memory_id", text.tokenize_doc(F.col("ocr_text")).alias("t")).collect()}
     want = {}
     for r in q.collect():
@@ -68,7 +68,7 @@ def test_lexical_prefix_filter_loses_nothing(spark, data):
         for m, t in tokens.items():
             if terms and len(terms & t) / len(terms) >= 0.5:
                 want[(r.query_id, m)] = round(len(terms & t) / len(terms), 9)
-    assert got == want
+    assert got == want == probed
 
 
 def test_classification_counts_the_read_text_twice(spark):

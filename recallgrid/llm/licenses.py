@@ -4,7 +4,7 @@ A rule is a keyword with one regex for the words before it and one for those aft
 confidence.  Texts without any keyword are set aside by a plain substring test; in the rest every place of a keyword
 is tested against that keyword's rules only, on a window of words around it, so a place costs the same in a long text
 as in a short one.  Detections are intervals of words.  One that lies within another of higher priority, or within a
-longer one of the same, is suppressed; both contain the same keyword place, so places resolve one by one.
+longer one of the same, is suppressed, first among those of its own place, then among those of the places in reach.
 
 Rules come from a table of licenses (names as regexes over words) times the forms in which texts name them.  Three
 phrases are the base: their places are counted whatever suppresses them.  Only SQL functions are used and nothing
@@ -132,15 +132,15 @@ def _detections() -> Column:
     return F.transform(places, place)
 
 
-def _kept(found: Column) -> Column:
-    """Detections of one place that no other suppresses."""
+def _kept(found: Column, others: Column) -> Column:
+    """Detections of one place that none of ``others`` suppresses."""
 
     def over(e: Column, d: Column) -> Column:
         within = (e["start"] <= d["start"]) & (e["end"] >= d["end"]) & (e["o"] != d["o"])
         longer = (e["end"] - e["start"]) > (d["end"] - d["start"])
         return within & ((e["priority"] > d["priority"]) | (e["priority"] == d["priority"]) & (longer | (e["o"] < d["o"])))
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: over(e, d)))
+    return F.filter(found, lambda d: ~F.exists(others, lambda e: over(e, d)))
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -155,7 +155,10 @@ def scan(documents: DataFrame) -> DataFrame:
     docs = docs.withColumn("rules", F.when(F.col("w").isNotNull(), _rule_map()))
     docs = docs.withColumn("found", F.when(F.col("w").isNotNull(), _detections())).drop("w", "rules")
     all_found = F.filter(F.flatten("found"), lambda d: d["base"])
-    kept = F.flatten(F.transform("found", lambda f: _kept(f)))
+    reach = BEFORE + AFTER  # places farther apart than that share no detection
+    near = lambda i: F.flatten(F.slice("own", F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)))
+    docs = docs.withColumn("own", F.transform("found", lambda f: _kept(f, f)))
+    kept = F.flatten(F.transform("own", lambda f, i: _kept(f, near(i))))
     none = F.array().cast("array<struct<start:bigint,end:bigint,label:string,conf:double>>")
     short = lambda c: F.array_distinct(F.transform(c, lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["label"].alias("label"), d["conf"].alias("conf"))))
     return docs.select("doc_id", "n_words", F.coalesce(short(all_found), none).alias("base"), F.coalesce(F.array_sort(short(kept)), none).alias("detections"))

@@ -10,10 +10,18 @@ checkpoint folder each round; texts and documents do not take part, only distinc
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; a text with fewer words than
 a shingle is one shingle; equal fingerprints are one group whatever its size; rows with one doc_id get one row each; a
 null doc_id never names a component unless all its members are null; other columns of the input are ignored.
+
+``keep_first_similar`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8.  There some 15 of
+100 bits of two fingerprints differ, which no ball of a few bits holds.  Fingerprints are WIDE bits; texts whose bits
+agree in all places of one of many chosen segments are candidates, so many segments that a pair at 0.8 meets with
+probability RECALL.  Candidates that are near as whole fingerprints are compared by their sets, exactly.  A segment's
+value that many texts share is split into groups of about GROUP, other ones for each segment, so no group is paired
+in full and none lies in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +38,16 @@ RADIUS = 2
 BITS = 64
 #: Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 17
+#: Near copies by similarity: words of a shingle, least Jaccard similarity, probability that a pair at it meets.
+WORDS = 5
+SIMILAR = 0.8
+RECALL = 0.99
+#: Bits of a wide fingerprint, and in how many two of similar texts may differ: 78 are expected at 0.8, 256 of others.
+WIDE = 512
+NEAR = 150
+#: The same of the first 64 bits, compared before pairs are written: 10 are expected at 0.8, 32 of others.
+NEAR_FIRST = 24
+GROUP = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -70,11 +88,11 @@ def variants(fp: Column, radius: int) -> Column:
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a < b: enough pairs of linked fingerprints to connect all that link."""
-    if radius not in (0, 1, 2, 3):
-        raise ValueError("radius up to 3: half of it is the radius of the variants")
+    if radius not in (0, 2):
+        raise ValueError("radius 0 or 2: with an odd one, fingerprints of one variant need not link with the smallest of them")
     # few bytes a fingerprint, many a variant: dealt out again, or they would be expanded in one task
     spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
-    met = spread.select("fp", F.explode(variants(F.col("fp"), radius // 2 + radius % 2)).alias("v"))
+    met = spread.select("fp", F.explode(variants(F.col("fp"), radius // 2)).alias("v"))
     least = met.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "a")
     pairs = met.join(least, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
@@ -119,12 +137,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
     return _grouped(documents, radius, shingle, seed).select("doc_id", "fp", "component_id")
 
 
-def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``documents`` without all but one row of each component, that with the smallest doc_id; rows without doc_id come last.
-
-    Only the survivors' ids meet the texts again.
-    """
-    found = _grouped(documents, radius, shingle, seed)
+def _survivors(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that come first of each root of ``found`` (doc_id, r, root)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r")).alias("w")
     keep = cut(found.groupBy("root").agg(first).select(F.col("w.doc_id").alias("__d"), F.col("w.r").alias("__q")))
     docs = documents.withColumn("__r", row_key("doc_id", "text"))
@@ -135,6 +149,144 @@ def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__r").orderBy("text"))).where("__n = 1").drop("__n", "__r")
 
 
+def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``documents`` without all but one row of each component, that with the smallest doc_id; rows without doc_id come last.
+
+    Only the survivors' ids meet the texts again.
+    """
+    return _survivors(documents, _grouped(documents, radius, shingle, seed))
+
+
+def shingles(text: str, shingle: int = WORDS) -> set[bytes]:
+    words = text.encode().lower().split()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
+
+
+def jaccard(a: set[bytes], b: set[bytes]) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both)
+
+
+_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
+
+
+def wide_fingerprint(text: str, seed: int = SEED) -> np.ndarray:
+    """WIDE bits, as WIDE / 64 numbers: the majority of each bit over the text's set of shingles."""
+    hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles(text)), np.uint64)
+    n, size = len(hashes), WIDE // 8
+    counts = np.zeros(size * 256, np.int64)
+    for k in range(0, n, 1 << 14):
+        z = hashes[k : k + (1 << 14), None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.bincount((z.view(np.uint8).reshape(-1, size) + np.arange(size) * 256).ravel(), minlength=size * 256)
+    ones = counts.reshape(size, 256) @ _BYTE_BITS
+    return np.packbits((ones * 2 > n).ravel(), bitorder="little").view(np.int64)
+
+
+FP = [f"f{k}" for k in range(WIDE // 64)]
+
+
+def wide_fingerprints(documents: DataFrame) -> DataFrame:
+    """(doc_id, r, t, f0 ...) for each row; t is the hash of the text, the same for equal texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], np.int64).reshape(batch.num_rows, len(FP))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(c) for c in found.T)], ["doc_id", "r", "t", *FP])
+
+    texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"), F.xxhash64(text_or_empty()).alias("t"))
+    return bounded_batches(texts).mapInArrow(run, "doc_id long, r long, t long, " + ", ".join(f"{c} long" for c in FP))
+
+
+def segments(n: int) -> np.ndarray:
+    """Places of bits, one row a segment: wide enough that few of ``n`` texts agree by chance, and enough of them for RECALL."""
+    width = max(20, math.ceil(math.log2(max(n, 1))) + 2)
+    same = (1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi) ** width
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+    return np.random.default_rng(SEED).random((count, WIDE)).argsort(axis=1)[:, :width]
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of ``distinct`` (t, f0 ...) that meet in a segment and are near as whole fingerprints."""
+    places = segments(distinct.count())
+    width = places.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, first = 1 << np.arange(width, dtype=np.int64), np.arange(len(places), dtype=np.int64) << width
+        for batch in batches:
+            fps = np.ascontiguousarray(np.stack([batch.column(k + 1).to_numpy() for k in range(len(FP))], axis=1))
+            bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+            values = np.stack([bits[:, p] @ powers for p in places], axis=1) + first
+            t, f0 = (pa.array(np.repeat(batch.column(k).to_numpy(), len(places))) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([t, f0, pa.array(values.ravel())], ["t", "f0", "s"])
+
+    conf = distinct.sparkSession.conf
+    spread = distinct.select("t", *FP).repartition(int(conf.get("spark.sql.shuffle.partitions")), "t")
+    met = bounded_batches(spread).mapInArrow(run, "t long, f0 long, s long")
+    shared = met.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    group = F.pmod(F.xxhash64("t", "s"), F.ceil(F.col("n") / GROUP))
+    lists = met.join(shared, "s").groupBy("s", group.alias("g")).agg(F.collect_list(F.struct("t", "f0")).alias("l")).where(F.size("l") > 1)
+
+    def partners(a: Column) -> Column:
+        near = F.filter("l", lambda b: (b["t"] > a["t"]) & (F.bit_count(a["f0"].bitwiseXOR(b["f0"])) <= NEAR_FIRST))
+        return F.transform(near, lambda b: F.struct(a["t"].alias("a"), b["t"].alias("b")))
+
+    pair = F.flatten(F.transform("l", partners))
+    pairs = lists.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(distinct.select(F.col("t").alias(side), *[F.col(c).alias(side + c) for c in FP]), side)
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in FP), F.lit(0))
+    return pairs.where(apart <= NEAR).select("a", "b")
+
+
+def similar(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b), hashes of texts, whose sets of shingles are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield batch.select(["a", "b"]).filter(pa.array([jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in texts], pa.bool_()))
+
+    nodes = pairs.select(F.col("a").alias("t")).unionAll(pairs.select("b")).distinct()
+    texts = documents.select(F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text")).join(nodes, "t", "left_semi").dropDuplicates(["t"])
+    both = pairs.join(texts.withColumnsRenamed({"t": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"t": "b", "text": "y"}), "b")
+    return bounded_batches(both.select("a", "b", "x", "y"), 128).mapInArrow(run, "a long, b long")
+
+
+def similar_components(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, label) of the similar ones of ``pairs``; a pair that others connect already needs no comparison.
+
+    While pairs are many for their texts, each component compares one pair that leaves it; then all pairs left are compared.
+    """
+    left, edges, label = cut(pairs), None, None
+    while True:
+        ends = left.select(F.col("la" if label else "a").alias("c"), "a", "b").unionAll(left.select(F.col("lb" if label else "b").alias("c"), "a", "b"))
+        chosen = ends.groupBy("c").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        last = left.count() <= 2 * ends.select("c").distinct().count()
+        tried = cut(left.select("a", "b") if last else chosen)
+        good = cut(similar(tried, documents))
+        edges = good if edges is None else edges.unionAll(good)
+        label = components(edges)
+        if last:
+            return label
+        left = left.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            found = label.select(F.col("node").alias(side), F.col("label").alias("l"))
+            left = left.join(found, side, "left").withColumn("l" + side, F.coalesce("l", side)).drop("l")
+        left = cut(left.where("la <> lb"))
+
+
+def keep_first_similar(documents: DataFrame) -> DataFrame:
+    """``documents`` without all but one row of each component of similar texts, that with the smallest doc_id."""
+    docs = cut(wide_fingerprints(documents))
+    distinct = cut(docs.groupBy("t").agg(*[F.first(c).alias(c) for c in FP]))
+    label = similar_components(candidates(distinct), documents)
+    found = docs.select("doc_id", "r", "t").join(label, F.col("t") == F.col("node"), "left")
+    return _survivors(documents, found.select("doc_id", "r", F.coalesce("label", "t").alias("root")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -11,6 +11,9 @@ removed lines once, at the end.
 Defined cases: a null text stays null and has no lines; a null site counts as no site; blank lines are never
 boilerplate; lines are compared without white space at their ends; rows with one doc_id are told apart by text, and
 equal rows are treated alike.  A document may become empty; it stays as a row.  Extra columns pass through.
+
+With ``long_words``, lines of more words are passages: two documents that carry one are enough, on whatever sites.  The
+least and the greatest document of a line tell that exactly, without a count.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ SITES = 5
 #: Share of the threshold within which an estimate is not trusted.
 MARGIN = 0.2
 LOG_K = 10
+#: Words beyond which a line is a passage, for callers that tell passages apart.
+LONG_WORDS = 50
 #: Most rows of a table of line hashes that is broadcast, under 10 MB; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(doc_id, __r, site, pos, h) for each line that is not blank."""
+def _lines(docs: DataFrame, site: str, long_words: int | None = None) -> DataFrame:
+    """(doc_id, __r, site, pos, h, long) for each line that is not blank."""
+    bare = F.trim("line", F.lit(" \t\r"))
+    long = F.lit(False) if long_words is None else F.size(F.split(bare, r"\s+")) > long_words
     lines = docs.select("doc_id", "__r", F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "__r", "site", "pos", line_hash(F.col("line")).alias("h")).where("h is not null")
+    return lines.select("doc_id", "__r", "site", "pos", line_hash(F.col("line")).alias("h"), long.alias("long")).where("h is not null")
 
 
 def line_hash(line: Column) -> Column:
@@ -51,10 +58,22 @@ def boilerplate(lines: DataFrame, sites: int = SITES, margin: float = MARGIN) ->
     return spread.where(F.col("sites") > sites * (1 + margin)).select("h").unionByName(exact.where(F.col("sites") >= sites).select("h"))
 
 
-def removed_lines(docs: DataFrame, site: str, sites: int = SITES, margin: float = MARGIN) -> DataFrame:
+def passages(lines: DataFrame) -> DataFrame:
+    """(h): hashes of long ``lines`` that at least two documents carry."""
+    place = F.struct("doc_id", "__r")
+    ends = lines.where("long").groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    return ends.where(~F.col("a").eqNullSafe(F.col("b"))).select("h")
+
+
+def removed_lines(docs: DataFrame, site: str, sites: int = SITES, margin: float = MARGIN, long_words: int | None = None) -> DataFrame:
     """(doc_id, __r, removed array<int>): numbers of each document's removed lines, for documents that have any."""
-    lines = _lines(docs, site)
-    spread = small(cut(boilerplate(lines, sites, margin)), BROADCAST_ROWS)
+    lines = _lines(docs, site, long_words)
+    if long_words is None:
+        shared = boilerplate(lines, sites, margin)
+    else:
+        lines = cut(lines)  # words are counted once
+        shared = boilerplate(lines.where("not long"), sites, margin).unionByName(passages(lines))
+    spread = small(cut(shared), BROADCAST_ROWS)
     found = lines.select("doc_id", "__r", "pos", "h").join(spread, "h")
     place = F.struct("doc_id", "__r", "pos")
     first = cut(found.groupBy("h").agg(F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("stays")))
@@ -62,11 +81,11 @@ def removed_lines(docs: DataFrame, site: str, sites: int = SITES, margin: float
     return gone.groupBy("doc_id", "__r").agg(F.collect_set("pos").alias("removed"))
 
 
-def drop_boilerplate(documents: DataFrame, site: str = "source", sites: int = SITES, margin: float = MARGIN) -> DataFrame:
+def drop_boilerplate(documents: DataFrame, site: str = "source", sites: int = SITES, margin: float = MARGIN, long_words: int | None = None) -> DataFrame:
     """``documents`` with boilerplate lines taken out of text, and n_lines, n_removed added."""
     names = documents.columns
     docs = documents.withColumn("__r", row_key("doc_id", "text"))
-    gone = removed_lines(docs.select("doc_id", "text", site, "__r"), site, sites, margin).withColumnsRenamed({"doc_id": "__d", "__r": "__q"})
+    gone = removed_lines(docs.select("doc_id", "text", site, "__r"), site, sites, margin, long_words).withColumnsRenamed({"doc_id": "__d", "__r": "__q"})
     kept = docs.join(cut(gone), (F.col("__r") == F.col("__q")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     lines = F.split("text", "\n")
     # positions are marked in place: one pass over the lines, whatever their number

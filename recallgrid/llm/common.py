@@ -2,41 +2,65 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks over which the rows of one key spread in a salted join.
+SALTS = 16
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any store Spark knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is set
-    only where none is named, as in tests.  Checkpoints are files, so a lost executor loses nothing.
+    Only a session of one machine, as in tests, gets a folder of its own where none is named: other executors could not read it.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return (named or tempfile.mkdtemp(prefix="checkpoint-")).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there.  Checkpoints are files, so a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def salted(rows: DataFrame, side: DataFrame, key: str, *by: str) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row a key: the rows of a key spread by columns ``by`` over SALTS tasks."""
+    each = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(each, [key, "__salt"]).drop("__salt")
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Mark a written table for broadcast if it has at most ``most`` rows; else leave the join to Spark."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def bounded_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """Let Arrow carry at most ``rows`` texts at a time to Python, so that long texts do not add up in a worker."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
+def rounds(batch: pa.RecordBatch, name: str, most: int = 2_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes of column ``name`` and at most ``rows`` rows; a longer text is a slice of its own."""
+    size = np.cumsum(pc.binary_length(batch.column(name)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        done = size[first - 1] if first else 0
+        after = min(max(first + 1, int(np.searchsorted(size, done + most, "right"))), first + rows, batch.num_rows)
+        yield batch.slice(first, after - first)
+        first = after
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -18,14 +18,15 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table, text_or_empty
-from .pieces import PieceEncoder, chunks
+from .common import cut, rounds, table, text_or_empty
+from .pieces import PieceEncoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -40,7 +41,7 @@ class WordIds:
     Pieces that begin with a space are encoded many at a time: set end to end they fall apart at those spaces again.
     """
 
-    TOGETHER = 200
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,25 +50,27 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def one(self, piece: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.int32)
-
-    def __call__(self, pieces: list[bytes]) -> list[np.ndarray]:
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = [p.decode() for p in pieces]
-        out: list = [None] * len(words)
-        led = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1:].isspace()]
-        for k in range(0, len(led), self.TOGETHER):
-            some = led[k : k + self.TOGETHER]
-            found = self.tokenizer.encode("".join([words[i] for i in some]), add_special_tokens=False)
-            of, ids = np.array(found.word_ids), np.array(found.ids, np.int32)
-            ends = np.flatnonzero(np.diff(of)) + 1
-            if len(ends) + 1 == len(some):
-                for i, x in zip(some, np.split(ids, ends)):
-                    out[i] = x
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = self.one(words[i])
-        return out
+        size, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        led = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1 and not w[1:].isspace()]
+        some = [led[k : k + self.TOGETHER] for k in range(0, len(led), self.TOGETHER)]
+        flat, used = [], 0
+        for part, found in zip(some, self.tokenizer.encode_batch(["".join([words[i] for i in p]) for p in some], add_special_tokens=False)):
+            n = np.bincount(found.word_ids)
+            if len(n) == len(part):
+                size[part], at[part] = n, used + np.cumsum(n) - n
+                flat.append(found.ids)
+                used += len(found.ids)
+        rest = np.flatnonzero(size == 0).tolist()
+        for k in range(0, len(rest), self.TOGETHER):
+            part = rest[k : k + self.TOGETHER]
+            for i, found in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                ids = found.ids
+                size[i], at[i] = len(ids), used
+                flat.append(ids)
+                used += len(ids)
+        return np.fromiter(chain.from_iterable(flat), np.int32, used), at, size
 
 
 _stores: dict[str, PieceEncoder] = {}
@@ -85,30 +88,33 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
     A document over ``capacity`` tokens has full pieces only, but for its first.
     """
 
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = store(path)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, at = encoder.ids(texts[a:b])
-                rows: list[tuple] = []
-                lists = []
-                for key, i, j in zip(keys[a:b], at[:-1].tolist(), at[1:].tolist()):
-                    own = np.append(ids[i:j], end_id).astype("<u4")
-                    n, start = len(own), 0
-                    size = n % capacity or capacity
-                    for piece in range(-(-n // capacity)):
-                        part = own[start : start + size]
-                        rows.append((key, piece, start, size, zlib.crc32(part.tobytes())))
-                        if with_ids:
-                            lists.append(part.astype(np.int32))
-                        start, size = start + size, capacity
-                columns = list(zip(*rows))
-                arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays + ([pa.array(lists, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+            for part in rounds(batch, "text"):
+                ids, at = encoder.ids(part.column("text").to_pylist())
+                n = np.diff(at) + 1
+                doc = np.arange(len(n))
+                own = np.full(len(ids) + len(n), end_id, "<u4")  # all documents end to end, each with its end id
+                own[np.arange(len(ids)) + np.repeat(doc, n - 1)] = ids
+                pieces = -(-n // capacity)
+                of = np.repeat(doc, pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = n - (pieces - 1) * capacity
+                length = np.where(piece == 0, first[of], capacity)
+                start = np.where(piece == 0, 0, first[of] + (piece - 1) * capacity)
+                ends = np.cumsum(length)  # pieces stand end to end, as the documents do
+                raw = memoryview(own.tobytes())
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(((ends - length) * 4).tolist(), (ends * 4).tolist())]
+                arrays = [part.column("doc_id").take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(own.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return bounded_batches(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), 1000).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
 class _Bag:

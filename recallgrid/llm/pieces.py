@@ -3,22 +3,25 @@
 ``split`` finds the pieces of the public byte-level pattern (contractions, letters, numbers, other, white
 space; one space may lead a piece) from character classes alone.  ``PieceEncoder`` keeps each distinct piece's
 ids once and spreads them over the texts.  The piece store is emptied when it has ``most`` pieces, so its
-memory is bounded however many words a partition has.
+memory is bounded however many words a partition has.  A text much longer than a round is cut before a space that
+follows something else, which no piece crosses.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-#: Characters in one round of work: about 150 MB of arrays.
+#: Bytes of text in one round of work: about 150 MB of arrays.
 CHUNK = 2_000_000
 #: Unicode's White_Space.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+_WORD_END = re.compile(r"\S(?= )")
 _classes: np.ndarray | None = None
 
 
@@ -27,7 +30,7 @@ def classes() -> np.ndarray:
     global _classes
     if _classes is None:
         table = np.full(0x110000, OTHER, np.uint8)
-        for i in range(0x110000):
+        for i in range(0x40000):  # planes beyond have neither letters nor numbers
             kind = unicodedata.category(chr(i))[0]
             if kind == "L":
                 table[i] = LETTER
@@ -82,9 +85,9 @@ def spread(flat: np.ndarray, offset: np.ndarray, count: np.ndarray, index: np.nd
 
 
 class PieceEncoder:
-    """``encode``: list of distinct pieces (bytes) -> list of id arrays."""
+    """``encode``: list of distinct pieces (bytes) -> ids in any order, and where each piece's begin and how many they are."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 800_000):
         self.encode, self.most = encode, most
         base = np.uint64(0x9E3779B97F4A7C15)
         inverse = np.uint64(pow(int(base), -1, 2**64))
@@ -106,19 +109,18 @@ class PieceEncoder:
         return np.multiply.accumulate(out)
 
     def _add(self, fresh: list[bytes]) -> None:
-        ids = self.encode(fresh)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.known), self.used + int(sizes.sum())
+        ids, at, sizes = self.encode(fresh)
+        first, total = len(self.known), self.used + len(ids)
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(ids) > len(self.offset):
+        while first + len(fresh) > len(self.offset):
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.flat[self.used : total] = np.concatenate(ids)
-        self.offset[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.count[first : first + len(ids)] = sizes
+        self.flat[self.used : total] = ids
+        self.offset[first : first + len(fresh)] = self.used + at
+        self.count[first : first + len(fresh)] = sizes
         self.used = total
-        self.known.update(zip(fresh, range(first, first + len(ids))))
+        self.known.update(zip(fresh, range(first, first + len(fresh))))
 
     def _pieces(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Number of each piece in the store; pieces are told apart by hash, and equal hashes are compared byte by byte."""
@@ -140,13 +142,20 @@ class PieceEncoder:
         distinct = [data[a:b] for a, b in zip(start[where].tolist(), (start[where] + size[where]).tolist())]
         if len(self.known) + len(distinct) > self.most:
             self.clear()
-        fresh = [p for p in dict.fromkeys(distinct) if p not in self.known]
-        if fresh:
-            self._add(fresh)
-        return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[back]
+        found = list(map(self.known.get, distinct))
+        if None in found:
+            self._add(list(dict.fromkeys(p for p, i in zip(distinct, found) if i is None)))
+            found = list(map(self.known.__getitem__, distinct))
+        return np.array(found, np.int64)[back]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more at the end)."""
+        if not any(len(t) > 2 * CHUNK for t in texts):
+            return self._ids(texts)
+        found = [np.concatenate([self._ids([part])[0] for part in parts(t)]) for t in texts]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         text = "".join(texts)
         if not text:
@@ -164,13 +173,10 @@ class PieceEncoder:
         return spread(self.flat, self.offset, self.count, index), made[np.searchsorted(starts, bounds)]
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of whole texts with about ``most`` characters each."""
-    first, n = 0, 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield first, i + 1
-            first, n = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def parts(text: str, most: int = CHUNK) -> Iterator[str]:
+    """``text`` in parts of about ``most`` characters that no piece crosses."""
+    first = 0
+    while len(text) - first > most and (cut := _WORD_END.search(text, first + most)):
+        yield text[first : cut.end()]
+        first = cut.end()
+    yield text[first:]

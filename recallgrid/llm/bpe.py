@@ -4,6 +4,10 @@ Pieces go to buckets by length; each bucket is a padded matrix of ids, one piece
 row merges its leftmost pair of minimum rank: pair ranks come from a hashed pair table, the merged row closes
 up, and rows without a pair left leave the matrix.  Decoding gathers each id's bytes.
 
+A round of a matrix costs its width, so pieces over LONG bytes (a row each) are merged otherwise, to the same ids: ids are
+a chain, pairs wait in one list a rank, and each round merges the pairs of the minimum rank from left to right, up to
+the first merge that makes a pair of lower rank, which is then the next minimum.  That costs the pairs, not the width.
+
 Tasks are independent and keep nothing between partitions but the vocabulary, so a lost executor costs its
 running tasks only.  Defined cases: a null text counts as empty and has no ids; rows with one doc_id each get
 their own row; other columns of the input are ignored.
@@ -13,18 +17,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_or_empty
-from .pieces import PieceEncoder, chunks, spread
+from .common import rounds, table, text_or_empty
+from .pieces import PieceEncoder, spread
 
 NONE = np.int32(2**31 - 1)
 #: Pieces longer than this get a matrix of their own length; shorter ones share the next of these widths.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
+#: Bytes from which a piece has a chain instead of a row.
+LONG = 2048
 #: Cells of one matrix.
 CELLS = 4_000_000
 
@@ -93,23 +101,34 @@ class Vocabulary:
         with open(path, "rb") as lines:
             return cls({base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)})
 
-    def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece."""
-        out: list = [None] * len(pieces)
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces in any order, where each piece's begin and how many they are."""
+        size, at = np.ones(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        whole = list(map(self.ranks.get, pieces))
         buckets: dict[int, list[int]] = {}
+        parts = [(np.array([i for i, r in enumerate(whole) if r is not None], np.int64), None, np.array([r for r in whole if r is not None], np.int32))]
         for i, piece in enumerate(pieces):
-            if (whole := self.ranks.get(piece)) is not None:
-                out[i] = np.array([whole], np.int32)
-            else:
+            if whole[i] is None:
                 n = len(piece)
-                buckets.setdefault(next((w for w in WIDTHS if w >= n), n), []).append(i)
+                if n > LONG:
+                    ids = self._chain(piece)
+                    parts.append((np.array([i]), np.array([len(ids)]), ids))
+                else:
+                    buckets.setdefault(next((w for w in WIDTHS if w >= n), n), []).append(i)
         for width, rows in buckets.items():
             step = max(1, CELLS // width)
             for k in range(0, len(rows), step):
-                self._merge(pieces, rows[k : k + step], width, out)
-        return out
-
-    def _merge(self, pieces: list[bytes], rows: list[int], width: int, out: list) -> None:
+                parts += self._merge(pieces, rows[k : k + step], width)
+        used = 0
+        for rows, n, ids in parts:
+            n = np.ones(len(rows), np.int64) if n is None else n
+            size[rows], at[rows] = n, used + np.cumsum(n) - n
+            used += len(ids)
+        return np.concatenate([ids for _, _, ids in parts]), at, size
+
+    def _merge(self, pieces: list[bytes], rows: list[int], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, how many ids each has, the ids end to end) of the rows that are done after each round."""
+        out = []
         n = np.fromiter((len(pieces[i]) for i in rows), np.int64, len(rows))
         raw = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
         ids = np.where(np.arange(width) < n[:, None], self.byte_ids[raw], -1).astype(np.int32)
@@ -123,11 +142,10 @@ class Vocabulary:
             best = rank[np.arange(len(row)), at]
             done = best == NONE
             if done.any():
-                for r, line, k in zip(row[done].tolist(), ids[done], n[done].tolist()):
-                    out[r] = line[:k].copy()
+                out.append((row[done], n[done], ids[done][np.arange(ids.shape[1]) < n[done][:, None]]))
                 live = ~done
                 if not live.any():
-                    return
+                    return out
                 row, n, at, best = row[live], n[live], at[live], best[live]
                 most = int(n.max())
                 ids, rank = ids[live, :most], rank[live, :most]
@@ -145,6 +163,60 @@ class Vocabulary:
             left = np.flatnonzero(at > 0)
             rank[left, at[left] - 1] = self.pairs.find(ids[left, at[left] - 1], ids[left, at[left]])
 
+    def _chain(self, piece: bytes) -> np.ndarray:
+        """Ids of one long piece."""
+        n = len(piece)
+        ids = np.append(self.byte_ids[np.frombuffer(piece, np.uint8)], -1).astype(np.int32)  # no pair has -1
+        after, before = np.arange(1, n + 2), np.arange(-1, n)  # the last place stands for the end, also as place -1
+        rank, live = np.full(n + 1, NONE, np.int32), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            found = rank[places]
+            order = np.argsort(found, kind="stable")
+            order = order[: np.searchsorted(found[order], NONE)]
+            places, found = places[order], found[order]
+            begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+            for r, some in zip(found[begins].tolist(), np.split(places, begins[1:])):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(some)
+
+        rank[: n - 1] = self.pairs.find(ids[: n - 1], ids[1:n])
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # of pairs that overlap in a run, the leftmost and every second one from there
+            run = np.append(True, after[at[:-1]] != at[1:])
+            first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            chosen = at[(np.arange(len(at)) - first) % 2 == 0]
+            second = after[chosen]
+            right, left = after[second], before[chosen]
+            # what each merge makes before the next one, as if one came after the other
+            met = np.append(False, right[:-1] == chosen[1:])
+            beside = np.where(met, r, ids[left])
+            lower = (self.pairs.find(beside, np.full(len(chosen), r)) < r) | (self.pairs.find(np.full(len(chosen), r), ids[right]) < r)
+            if lower.any():
+                k = int(lower.argmax()) + 1
+                waiting[r] = [at[at > chosen[k - 1]]]
+                heapq.heappush(heap, r)
+                chosen, second, right, left = chosen[:k], second[:k], right[:k], left[:k]
+            ids[chosen], rank[second], live[second] = r, NONE, False
+            after[chosen] = right
+            before[right] = chosen
+            left = before[chosen]
+            left = left[left >= 0]
+            rank[chosen] = self.pairs.find(ids[chosen], ids[after[chosen]])
+            rank[left] = self.pairs.find(ids[left], ids[after[left]])
+            wait(np.unique(np.concatenate([left, chosen])))
+        return ids[:n][live]
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ``ids``."""
         return spread(self.bytes_flat, self.bytes_at, self.bytes_n, ids)
@@ -167,12 +239,11 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, store = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, at = store.ids(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
+            for part in rounds(batch, "text"):
+                ids, at = store.ids(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return bounded_batches(documents.select("doc_id", text_or_empty().alias("text")), 1000).mapInArrow(run, "doc_id long, ids array<int>")
+    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -194,16 +265,15 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, store = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, at = store.ids(texts[a:b])
+            for part in rounds(batch, "text"):
+                ids, at = store.ids(part.column("text").to_pylist())
                 plain, decimal = words.decode(ids).tobytes(), spread(words.digits_flat, words.digits_at, words.digits_n, ids).tobytes()
                 bytes_at = np.concatenate([[0], np.cumsum(words.bytes_n[ids])])[at].tolist()
                 digits_at = np.concatenate([[0], np.cumsum(words.digits_n[ids])])[at].tolist()
                 hexed = [[hashlib.sha256(x[i : max(i, j - less)]).hexdigest() for i, j in zip(k[:-1], k[1:])] for x, k, less in ((decimal, digits_at, 1), (plain, bytes_at, 0))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(at)), pa.array(hexed[0]), pa.array(hexed[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(hexed[0]), pa.array(hexed[1])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return bounded_batches(documents.select("doc_id", text_or_empty().alias("text")), 1000).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

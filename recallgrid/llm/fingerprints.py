@@ -7,22 +7,22 @@ sketched apart.  From two sketches come resemblance (Jaccard), containment and t
 
 Only SQL functions are used.  Defined cases: a null text counts as empty; two empty sketches resemble each
 other fully (1.0), an empty and another one not at all (0.0); rows with one doc_id are ordered by text;
-rows without doc_id come first; other columns of the input are ignored, whatever their names.
+rows without doc_id come first, as if it were the smallest there is; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, table, text_or_empty
+from .common import cut, table, text_or_empty
 
 K = 128
 WIDTH = 5
-#: Documents in one bucket of the successor search, about.
-BUCKET_DOCS = 512
-#: Most rows of a table that is broadcast: pairs of numbers, under 10 MB.
-BROADCAST_ROWS = 200_000
+#: Documents in one bucket of the successor search, about, and most buckets: their bounds are in the plan and their heads are broadcast.
+BUCKET_DOCS, MOST_BUCKETS = 512, 16_384
 
 
 def with_sketch(df: DataFrame, text: Column, name: str, k: int = K, width: int = WIDTH) -> DataFrame:
@@ -77,27 +77,32 @@ def merge_sketches(df: DataFrame, by: list[str], name: str, k: int = K) -> DataF
 def _with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the next row's columns as struct ``nxt``, the first row's after the last.
 
-    Texts shuffle once: rows go to buckets of neighbouring ids, and the first row of each bucket is also
-    sent to the bucket before.  Which bucket is before comes from ids alone.
+    Rows are in order of doc_id and text.  Spark's range partitioning of ids and texts' beginnings gives the bounds of buckets
+    of about BUCKET_DOCS rows (MOST_BUCKETS at most), however ids are spread; an id that many texts share spans several buckets.  Then texts shuffle once: each row goes to its bucket, and the first row of each
+    bucket also to the bucket before.
     """
-    ids = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo = ids["lo"] or 0
-    width = max(1, ((ids["hi"] or 0) - lo + 1) * BUCKET_DOCS // max(1, ids["n"]))
-    bucket = F.coalesce(F.floor((F.col("doc_id") - lo) / width).cast("long"), F.lit(-1))
-    docs = docs.withColumn("__b", bucket)
-    firsts = docs.groupBy("__b").agg(F.min("doc_id").alias("first")).withColumn("__s", F.floor(F.col("__b") / 4096))
-    # next bucket inside a group of 4,096 buckets; the last of a group looks at the next group
-    groups = firsts.groupBy("__s").agg(F.min(F.struct("__b", "first")).alias("head"))
-    turn = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    groups = groups.select("__s", F.coalesce(F.lead("head").over(Window.orderBy("__s")), F.first("head").over(turn)).alias("after"))
-    own = F.lead(F.struct("__b", "first")).over(Window.partitionBy("__s").orderBy("__b"))
-    ghosts = firsts.withColumn("own", own).join(groups, "__s").select(F.col("__b").alias("__to"), F.coalesce("own", "after")["first"].alias("__id"), F.coalesce("own", "after")["__b"].alias("__from"))
-    ghosts = small(cut(ghosts), BROADCAST_ROWS)
-    copies = docs.join(ghosts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__b") == F.col("__from"))).withColumn("__b", F.col("__to")).drop("__to", "__id", "__from")
+    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hex(F.substring("text", 1, 16)).alias("h"))
+    keys = cut(docs.select(key.alias("__key")))
+    wanted = min(MOST_BUCKETS, max(1, keys.count() // BUCKET_DOCS))
+    first = F.min("__key").alias("first")
+    bounds = sorted(tuple(r["first"]) for r in keys.repartitionByRange(wanted, "__key").groupBy(F.spark_partition_id().alias("p")).agg(first).collect())
+    step = max(1, math.isqrt(len(bounds)))
+    flat = [F.split(F.lit(",".join(str(b[i]) for b in bounds[1:])), ",").cast(kind) if len(bounds) > 1 else F.array().cast(kind) for i, kind in enumerate(("array<bigint>", "array<string>"))]
+    flat = F.transform(F.arrays_zip(flat[0].alias("k"), flat[1].alias("h")), lambda b: F.struct(b["k"].alias("k"), b["h"].alias("h")))
+    coarse = F.filter(flat, lambda b, i: i % step == step - 1)
+    whole = F.size(F.filter(coarse, lambda b: b <= F.col("__key"))) * step
+    bucket = whole + F.size(F.filter(F.slice(flat, whole + 1, step), lambda b: b <= F.col("__key")))
+    docs = docs.withColumn("__key", key).withColumn("__b", bucket)
+    heads = keys.withColumn("__b", bucket).groupBy("__b").agg(first)  # a row a bucket
+    turn = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct("__b", "first")
+    after = F.coalesce(F.lead(here).over(Window.orderBy("__b")), F.first(here).over(turn))
+    ghosts = F.broadcast(heads.select(F.col("__b").alias("__to"), after.alias("a")).select("__to", F.col("a.first").alias("__id"), F.col("a.__b").alias("__from")))
+    copies = docs.join(ghosts, (F.col("__key") == F.col("__id")) & (F.col("__b") == F.col("__from"))).withColumn("__b", F.col("__to")).drop("__to", "__id", "__from")
     rows = docs.withColumn("__ghost", F.lit(0)).unionByName(copies.withColumn("__ghost", F.lit(1)))
-    columns = [c for c in docs.columns if c != "__b"]
-    order = Window.partitionBy("__b").orderBy("__ghost", F.col("doc_id").asc_nulls_first(), "text")
-    return rows.withColumn("nxt", F.lead(F.struct(*columns)).over(order)).where("__ghost = 0").drop("__b", "__ghost")
+    columns = [c for c in docs.columns if c not in ("__b", "__key")]
+    order = Window.partitionBy("__b").orderBy("__ghost", "__key", "text")
+    return rows.withColumn("nxt", F.lead(F.struct(*columns)).over(order)).where("__ghost = 0").drop("__b", "__ghost", "__key")
 
 
 def fingerprint(documents: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:

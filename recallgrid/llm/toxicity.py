@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table, text_or_empty
+from .common import rounds, table, text_or_empty
 from .pieces import spread
 
 #: Most labelled rows of each label that the fit collects.
@@ -34,8 +34,8 @@ THRESHOLD = 0.7
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 10, 8
 CHAR_BUCKETS, GRAMS = 1 << 15, (3, 5, 7)
 MIN_DOCS = 4
-#: Words kept ready in a worker, 250 bytes each, and words in one round of scoring.
-READY_WORDS, ROUND_WORDS = 120_000, 60_000
+#: Words kept ready in a worker, 250 bytes each, and bytes of text in one round of scoring.
+READY_WORDS, ROUND_BYTES = 120_000, 400_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
 #: Samples under this size set their threshold in four turns; share of toxic texts that the threshold supposes.
 FEW, TOXIC_SHARE = 1200, 0.1
@@ -211,6 +211,9 @@ class Scorer:
             np.maximum.at(best, owner[k : k + 4096], self.network.logits(self.ready, index, live))
         return best
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.network.probability(self.logits(texts).astype(np.float64))
+
 
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None:
     """A network for ``texts`` with labels 0 and 1; None without both.
@@ -337,15 +340,17 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     """Fit on up to ``sample`` labelled rows of each label that are not held out."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
     # twice as many ids as are wanted: some may have no document or too long a one
-    order = Window.partitionBy("__toxic").orderBy(F.xxhash64("__id"), "__id")
-    known = known.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= 2 * sample)
+    known = _first_of_each(known.withColumn("__n", F.xxhash64("__id")), 2 * sample, "__n", "__id")
     some = documents.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    some = some.groupBy("__toxic", "__n").agg(F.min("text").alias("text")).withColumn("__k", F.row_number().over(Window.partitionBy("__toxic").orderBy("__n"))).where(F.col("__k") <= sample)
-    rows = some.select("text", "__toxic", "__k").toPandas().sort_values(["__toxic", "__k"])
+    some = _first_of_each(some.groupBy("__toxic", "__n", "__id").agg(F.min("text").alias("text")), sample, "__n", "__id")
+    rows = some.select("text", "__toxic", "__n", "__id").toPandas().sort_values(["__toxic", "__n", "__id"])
     return fit(rows["text"].tolist(), rows["__toxic"].to_numpy(np.int64))
 
 
-_scorers: dict[int, Scorer] = {}
+def _first_of_each(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of each label: each task keeps its own first ones, so no task sees a label's rows."""
+    zero, one = (rows.where(F.col("__toxic") == k).orderBy(*order).limit(n) for k in (0, 1))
+    return zero.unionAll(one)
 
 
 def score(documents: DataFrame, network: Network | None) -> DataFrame:
@@ -356,18 +361,10 @@ def score(documents: DataFrame, network: Network | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out, first, n = [np.zeros(0)], 0, 0
-            for i, t in enumerate(texts):
-                n += len(t) // 6 + 1
-                if n >= ROUND_WORDS or i + 1 == len(texts):
-                    out.append(scorer.logits(texts[first : i + 1]))
-                    first, n = i + 1, 0
-            found = shared.value.probability(np.concatenate(out).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "score"])
+        for part in (x for batch in batches for x in rounds(batch, "text", ROUND_BYTES)):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer.scores(part.column("text").to_pylist()))], ["doc_id", "score"])
 
-    return bounded_batches(documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))).mapInArrow(run, "doc_id long, score double")
+    return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def clean(documents: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -378,17 +375,10 @@ def clean(documents: DataFrame, network: Network | None, threshold: float = THRE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            out, first, n = [np.zeros(0)], 0, 0
-            for i, t in enumerate(texts):
-                n += len(t) // 6 + 1
-                if n >= ROUND_WORDS or i + 1 == len(texts):
-                    out.append(scorer.logits(texts[first : i + 1]))
-                    first, n = i + 1, 0
-            yield batch.filter(pa.array(shared.value.probability(np.concatenate(out).astype(np.float64)) < threshold))
-
-    return bounded_batches(documents).mapInArrow(run, documents.schema)
+        for part in (x for batch in batches for x in rounds(batch, "text", ROUND_BYTES)):
+            yield part.filter(pa.array(scorer.scores([t or "" for t in part.column("text").to_pylist()]) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ null doc_id never names a component unless all its members are null; other colum
 100 bits of two fingerprints differ, which no ball of a few bits holds.  Fingerprints are WIDE bits; texts whose bits
 agree in all places of one of many chosen segments are candidates, so many segments that a pair at 0.8 meets with
 probability RECALL.  Candidates that are near as whole fingerprints are compared by their sets, exactly.  A segment's
-value that many texts share is split into groups of about GROUP, other ones for each segment, so no group is paired
-in full and none lies in one task.
+value that many texts share is split into groups of about GROUP, other ones for each segment; in a group each text is paired
+with its nearest ones by 64 bits, so no group is paired in full and none lies in one task.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import bounded_batches, cut, row_key, table, text_or_empty
+from .common import cut, rounds, row_key, salted, small, table, text_or_empty
 
 SHINGLE = 3
 SEED = 42
@@ -44,10 +44,16 @@ SIMILAR = 0.8
 RECALL = 0.99
 #: Bits of a wide fingerprint, and in how many two of similar texts may differ: 78 are expected at 0.8, 256 of others.
 WIDE = 512
-NEAR = 150
+NEAR = 130
 #: The same of the first 64 bits, compared before pairs are written: 10 are expected at 0.8, 32 of others.
 NEAR_FIRST = 24
-GROUP = 8
+#: A segment's value that at least HOT_IN_SAMPLE texts of a sample of one in ONE_IN share is split into groups of about GROUP.
+ONE_IN, HOT_IN_SAMPLE, GROUP = 64, 4, 64
+#: Of the texts of its group that are near, each is paired with so many nearest ones.
+PARTNERS = 3
+TURNS = 2
+#: Most rows of a table of hot values that is broadcast, under 10 MB.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -70,12 +76,12 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
     """(doc_id, r, fp) for each row; r tells texts of one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "r", "fp"])
+        for part in (x for batch in batches for x in rounds(batch, "text")):
+            found = np.fromiter((fingerprint(t, shingle, seed) for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("r"), pa.array(found.view(np.int64))], ["doc_id", "r", "fp"])
 
     texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"))
-    return bounded_batches(texts).mapInArrow(run, "doc_id long, r long, fp long")
+    return texts.mapInArrow(run, "doc_id long, r long, fp long")
 
 
 def variants(fp: Column, radius: int) -> Column:
@@ -94,7 +100,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spread = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     met = spread.select("fp", F.explode(variants(F.col("fp"), radius // 2)).alias("v"))
     least = met.groupBy("v").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("v", "a")
-    pairs = met.join(least, "v").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    pairs = salted(met, least, "v", "fp").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -102,7 +108,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Large-star and small-star in turn: neighbours move to the smallest of the neighbourhood, until the edges are
-    stars.  Neighbourhoods are grouped by minima that combine before the shuffle and joined back, so no task holds one.
+    stars.  Neighbourhoods are grouped by minima that combine before the shuffle and joined back with a salt, so no task
+    holds one.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
@@ -110,10 +117,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node hands its larger neighbours to the smallest of itself and its neighbours
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = salted(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
+        small = salted(large, low, "b", "a").select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
         edges = cut(small.unionAll(low.select(F.col("m").alias("a"), "b")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -129,7 +136,7 @@ def _grouped(documents: DataFrame, radius: int, shingle: int, seed: int) -> Data
     linked = components(links(distinct.select("fp"), radius))
     grouped = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("root"))
     roots = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    return docs.join(grouped.join(roots, "root").select("fp", "root", "component_id"), "fp")
+    return salted(docs, salted(grouped, roots, "root", "fp").select("fp", "root", "component_id"), "fp", "doc_id", "r")
 
 
 def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -192,12 +199,12 @@ def wide_fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, r, t, f0 ...) for each row; t is the hash of the text, the same for equal texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], np.int64).reshape(batch.num_rows, len(FP))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *(pa.array(c) for c in found.T)], ["doc_id", "r", "t", *FP])
+        for part in (x for batch in batches for x in rounds(batch, "text")):
+            found = np.array([wide_fingerprint(t) for t in part.column("text").to_pylist()], np.int64).reshape(part.num_rows, len(FP))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("r"), part.column("t"), *(pa.array(c) for c in found.T)], ["doc_id", "r", "t", *FP])
 
     texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"), F.xxhash64(text_or_empty()).alias("t"))
-    return bounded_batches(texts).mapInArrow(run, "doc_id long, r long, t long, " + ", ".join(f"{c} long" for c in FP))
+    return texts.mapInArrow(run, "doc_id long, r long, t long, " + ", ".join(f"{c} long" for c in FP))
 
 
 def segments(n: int) -> np.ndarray:
@@ -216,25 +223,30 @@ def candidates(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, first = 1 << np.arange(width, dtype=np.int64), np.arange(len(places), dtype=np.int64) << width
         for batch in batches:
-            fps = np.ascontiguousarray(np.stack([batch.column(k + 1).to_numpy() for k in range(len(FP))], axis=1))
-            bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-            values = np.stack([bits[:, p] @ powers for p in places], axis=1) + first
-            t, f0 = (pa.array(np.repeat(batch.column(k).to_numpy(), len(places))) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([t, f0, pa.array(values.ravel())], ["t", "f0", "s"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                fps = np.ascontiguousarray(np.stack([part.column(c).to_numpy() for c in FP], axis=1))
+                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
+                values = np.stack([bits[:, p] @ powers for p in places], axis=1) + first
+                t, f0 = (pa.array(np.repeat(part.column(c).to_numpy(), len(places))) for c in ("t", "f0"))
+                yield pa.RecordBatch.from_arrays([t, f0, pa.array(values.ravel())], ["t", "f0", "s"])
 
     conf = distinct.sparkSession.conf
     spread = distinct.select("t", *FP).repartition(int(conf.get("spark.sql.shuffle.partitions")), "t")
-    met = bounded_batches(spread).mapInArrow(run, "t long, f0 long, s long")
-    shared = met.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    group = F.pmod(F.xxhash64("t", "s"), F.ceil(F.col("n") / GROUP))
-    lists = met.join(shared, "s").groupBy("s", group.alias("g")).agg(F.collect_list(F.struct("t", "f0")).alias("l")).where(F.size("l") > 1)
+    schema = "t long, f0 long, s long"
+    # values that many texts share are known from a sample of texts, so that segments shuffle once
+    counts = spread.where(F.pmod(F.xxhash64("t"), F.lit(ONE_IN)) == 0).mapInArrow(run, schema).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(counts.where(F.col("n") >= HOT_IN_SAMPLE).select("s", F.ceil(F.col("n") * ONE_IN / GROUP).alias("parts")))
+    met = spread.mapInArrow(run, schema).join(small(hot, BROADCAST_ROWS), "s", "left")
+    group = F.pmod(F.xxhash64("t", "s"), F.coalesce("parts", F.lit(1)))
+    lists = met.groupBy("s", group.alias("g")).agg(F.collect_list(F.struct("t", "f0")).alias("l")).where(F.size("l") > 1)
 
     def partners(a: Column) -> Column:
-        near = F.filter("l", lambda b: (b["t"] > a["t"]) & (F.bit_count(a["f0"].bitwiseXOR(b["f0"])) <= NEAR_FIRST))
-        return F.transform(near, lambda b: F.struct(a["t"].alias("a"), b["t"].alias("b")))
+        apart = F.transform("l", lambda b: F.struct(F.bit_count(a["f0"].bitwiseXOR(b["f0"])).alias("n"), b["t"].alias("t")))
+        near = F.slice(F.sort_array(F.filter(apart, lambda b: (b["t"] != a["t"]) & (b["n"] <= NEAR_FIRST))), 1, PARTNERS)
+        return F.transform(near, lambda b: F.struct(F.least(a["t"], b["t"]).alias("a"), F.greatest(a["t"], b["t"]).alias("b")))
 
-    pair = F.flatten(F.transform("l", partners))
-    pairs = lists.select(F.explode(pair).alias("p")).select("p.a", "p.b").distinct()
+    pairs = lists.select(F.explode(F.flatten(F.transform("l", partners))).alias("p")).select("p.a", "p.b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(distinct.select(F.col("t").alias(side), *[F.col(c).alias(side + c) for c in FP]), side)
     apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in FP), F.lit(0))
@@ -245,37 +257,38 @@ def similar(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b), hashes of texts, whose sets of shingles are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield batch.select(["a", "b"]).filter(pa.array([jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in texts], pa.bool_()))
+        for part in (x for batch in batches for x in rounds(batch, "x")):
+            texts = zip(part.column("x").to_pylist(), part.column("y").to_pylist())
+            yield part.select(["a", "b"]).filter(pa.array([jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in texts], pa.bool_()))
 
     nodes = pairs.select(F.col("a").alias("t")).unionAll(pairs.select("b")).distinct()
     texts = documents.select(F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text")).join(nodes, "t", "left_semi").dropDuplicates(["t"])
     both = pairs.join(texts.withColumnsRenamed({"t": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"t": "b", "text": "y"}), "b")
-    return bounded_batches(both.select("a", "b", "x", "y"), 128).mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def similar_components(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """(node, label) of the similar ones of ``pairs``; a pair that others connect already needs no comparison.
 
-    While pairs are many for their texts, each component compares one pair that leaves it; then all pairs left are compared.
+    In each of TURNS turns every component compares the pair that takes it to the smallest other component, which joins a
+    large group around few of its texts; then all pairs that still leave their component are compared.
     """
-    left, edges, label = cut(pairs), None, None
-    while True:
-        ends = left.select(F.col("la" if label else "a").alias("c"), "a", "b").unionAll(left.select(F.col("lb" if label else "b").alias("c"), "a", "b"))
-        chosen = ends.groupBy("c").agg(F.min(F.struct(F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        last = left.count() <= 2 * ends.select("c").distinct().count()
-        tried = cut(left.select("a", "b") if last else chosen)
+    left, edges, label = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), None, None
+    for turn in range(TURNS + 1):
+        left = cut(left)
+        ends = left.select(F.col("la").alias("c"), F.col("lb").alias("other"), "a", "b").unionAll(left.select("lb", "la", "a", "b"))
+        chosen = ends.groupBy("c").agg(F.min(F.struct("other", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        tried = left.select("a", "b") if turn == TURNS else cut(chosen)
         good = cut(similar(tried, documents))
         edges = good if edges is None else edges.unionAll(good)
         label = components(edges)
-        if last:
-            return label
-        left = left.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            found = label.select(F.col("node").alias(side), F.col("label").alias("l"))
-            left = left.join(found, side, "left").withColumn("l" + side, F.coalesce("l", side)).drop("l")
-        left = cut(left.where("la <> lb"))
+        if turn < TURNS:
+            left = left.select("a", "b").join(tried, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                found = label.select(F.col("node").alias(side), F.col("label").alias("l"))
+                left = left.join(found, side, "left").withColumn("l" + side, F.coalesce("l", side)).drop("l")
+            left = left.where("la <> lb")
+    return label
 
 
 def keep_first_similar(documents: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers as P
 import tiktoken
@@ -46,3 +47,25 @@ def test_queries(spark, edge, empty):
     assert bpe.digests(empty, PATH).count() == 0
     round_trip = bpe.decode(bpe.encode(edge, PATH), PATH).collect()
     assert sorted((r.doc_id or -1, bytes(r.bytes).decode()) for r in round_trip) == texts
+
+
+def test_long_pieces_by_chain():
+    words, other = library()
+    random.seed(4)
+    for alphabet in ("ab", "etaoinshr", "éàñß", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"):
+        for _ in range(60):
+            piece = "".join(random.choices(alphabet, k=random.randint(2, 300))).encode()
+            assert words._chain(piece).tolist() == other._core_bpe.encode_single_piece(piece)
+    for long in ("".join(random.choices("abcdefghijklmnop", k=300_000)), "a" * 300_000):
+        began = time.time()
+        ids, at = bpe.encoder(PATH)[1].ids([long])
+        assert time.time() - began < 20 and ids.tolist() == other._core_bpe.encode_single_piece(long.encode())
+
+
+def test_texts_longer_than_a_round(monkeypatch):
+    _, other = library()
+    monkeypatch.setattr(pieces, "CHUNK", 50)
+    text = "one two  three\n four's   five " * 30 + "x" * 500 + "  end "
+    assert "".join(pieces.parts(text, 50)) == text and len(list(pieces.parts(text, 50))) > 10
+    ids, at = bpe.encoder(PATH)[1].ids(["a b", text, ""])
+    assert ids[at[1] : at[2]].tolist() == other.encode_ordinary(text) and at.tolist()[2:] == [len(ids), len(ids)]

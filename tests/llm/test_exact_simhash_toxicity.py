@@ -23,6 +23,20 @@ def test_exact_groups(spark, edge, empty):
     assert exact.exact_groups(empty).count() == 0
 
 
+def test_ranges_give_the_same_groups(spark, edge):
+    docs = edge.select("doc_id", "text").unionAll(spark.range(300).select(F.col("id"), F.concat(F.lit("t"), F.col("id") % 120)))
+    one, many = (sorted(map(str, exact.exact_groups(docs, n).collect())) for n in (10**6, 60))
+    assert one == many and len(one) == docs.count()
+
+
+def test_segments_as_lists():
+    rng = np.random.default_rng(1)
+    for share in (0, 1e-5, 1e-3, 0.2):
+        segment = np.packbits(rng.random(exact.SEGMENT) < share, bitorder="little")
+        assert (exact._unpacked(exact._packed(segment)) == segment).all()
+    assert len(exact._packed(np.zeros(exact.SEGMENT // 8, np.uint8))) == 0
+
+
 def test_filter_holds_every_repeated_hash(spark):
     hashes = spark.range(50_000).select(F.xxhash64(F.col("id") % 49_000).alias("h")).repartition(7)
     bits = 1 << 21

@@ -41,3 +41,28 @@ def test_estimates_and_merges(spark):
 
 def test_empty(empty):
     assert X.edited_neighbours(empty).count() == 0
+
+
+def test_ids_far_apart_and_shared(spark, monkeypatch):
+    monkeypatch.setattr(X, "BUCKET_DOCS", 8)
+    ids = [-(2**62), 2**62, 2**63 - 1, -(2**63), None, None, *range(60), *[7] * 40, 10**15]
+    docs = spark.createDataFrame([(i, f"text {k % 50} of {i}") for k, i in enumerate(ids)], "doc_id long, text string")
+    texts = [t for _, _, t in sorted((i is not None, i or 0, f"text {k % 50} of {i}") for k, i in enumerate(ids))]
+    order = sorted((i if i is not None else -(2**63), f"text {k % 50} of {i}") for k, i in enumerate(ids))
+    expected = []
+    for k, (_, t) in enumerate(order):
+        n = len(t) // 2
+        expected.append(hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in X.edited_neighbours(docs).collect()) == sorted(expected) and len(texts) == len(order)
+
+
+def test_sketch_is_the_smallest_hashes(spark):
+    """Against brute force on exploded shingles, and likeness against the sets themselves."""
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 7 : k * 7 + 200])) for k in range(20)], "doc_id long, text string")
+    shingle = F.explode(F.expr("transform(sequence(0, size(w) - 5), i -> xxhash64(xxhash64(w[i]), xxhash64(w[i+1]), xxhash64(w[i+2]), xxhash64(w[i+3]), xxhash64(w[i+4])))"))
+    brute = docs.withColumn("w", F.split("text", " ")).select("doc_id", shingle.alias("h")).distinct().groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("h")), 1, X.K).alias("s"))
+    got = {r.doc_id: r.sketch for r in X.fingerprint(docs).collect()}
+    assert got == {r.doc_id: r.s for r in brute.collect()}
+    near = {r.doc_id: r.near_next for r in X.edited_neighbours(docs).collect()}
+    assert all(abs(near[k] - 189 / 203) < 0.06 for k in range(19))

@@ -1,4 +1,5 @@
 import re
+import time
 
 from recallgrid.llm import pii as X
 
@@ -44,3 +45,18 @@ def test_mask(spark, edge):
     docs = spark.createDataFrame([(1, "mail a@b.co, +1 (212) 555-1234!", 1), (2, "clean text", 2), (3, None, 3), (1, "mail a@b.co, +1 (212) 555-1234!", 1)], "doc_id long, text string, extra long")
     assert sorted(map(str, [(r.doc_id, r.text, r.extra) for r in X.mask(docs).collect()])) == sorted(map(str, [(1, "mail [EMAIL], [PHONE]!", 1), (1, "mail [EMAIL], [PHONE]!", 1), (2, "clean text", 2), (3, None, 3)]))
     assert X.mask(edge).count() == edge.count() and X.mask(edge).columns == edge.columns
+
+
+def test_many_identifiers_in_one_text(spark):
+    n = 10_000
+    text = " ".join(f"mail u{i}@ex{i}.com id AB{i:06d}x" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in X.spans(docs).collect()}
+    assert [text[s.start : s.end] for s in rows[1].base] == [f"u{i}@ex{i}.com" for i in range(n)] and not rows[2].base
+    masked = {r.doc_id: r.text for r in X.mask(docs).collect()}
+    expected = list(text)
+    for s in sorted(rows[1].base + rows[1].more, key=lambda s: -s.start):
+        expected[s.start : s.end] = ["[" + s.kind.removeprefix("found_").upper() + "]"]
+    assert masked == {1: "".join(expected), 2: "nothing"}
+    assert time.time() - began < 90

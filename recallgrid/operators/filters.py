@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,10 +124,19 @@ def image_urls(df: DataFrame) -> DataFrame:
 def clean_concepts(values: Column, most: int = 5) -> Column:
     """Terms of three or more characters that say something, each once whatever its case, in order."""
     generic = F.array(*map(F.lit, GENERIC_TERMS))
-    keyed = F.transform(values, lambda v: F.struct(normalize(v).alias("k"), F.trim(v).alias("v")))
-    keyed = F.filter(keyed, lambda x: (F.length(x["k"]) >= 3) & ~F.array_contains(generic, x["k"]))
-    first = F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), lambda k: F.filter(keyed, lambda x: x["k"] == k)[0]["v"])
-    return F.slice(first, 1, most)
+    useful = lambda k: (F.length(k) >= 3) & ~F.array_contains(generic, k)
+    return first_spelled(values, normalize, useful, most)
+
+
+def first_spelled(values: Column, key: Callable[[Column], Column], useful: Callable[[Column], Column], most: int) -> Column:
+    """The first ``most`` distinct useful keys of ``values``, as first spelled.  Keys are made once, and only those kept are looked up."""
+
+    def kept(x: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.filter(x["k"], useful)), 1, most)
+        return F.transform(keys, lambda k: F.trim(x["v"][F.array_position(x["k"], k).cast("int") - 1]))
+
+    both = F.transform(F.array(values), lambda v: F.struct(v.alias("v"), F.transform(v, key).alias("k")))
+    return F.transform(both, kept)[0]
 
 
 def due_jobs(jobs: DataFrame, now: Column, most: int = 10) -> DataFrame:

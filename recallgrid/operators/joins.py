@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import first_spelled
+
 
 def merge_candidates(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
     """One row for each (query_id, memory_id) of either side: the side's highest score, or 0.
@@ -109,9 +111,7 @@ def merge_pages(pages: Sequence[DataFrame], key: str = "memory_id") -> DataFrame
 
 def merge_words(a: Column, b: Column, most: int) -> Column:
     """Both lists in order, each word once whatever its case, as first spelled."""
-    both = F.filter(F.transform(F.concat(a, b), lambda w: F.trim(w)), lambda w: w != "")
-    first = F.transform(F.array_distinct(F.transform(both, F.lower)), lambda k: F.filter(both, lambda w: F.lower(w) == k)[0])
-    return F.slice(first, 1, most)
+    return first_spelled(F.concat(a, b), lambda w: F.lower(F.trim(w)), lambda k: k != "", most)
 
 
 def dedup_words(values: Column, most: int) -> Column:

@@ -12,19 +12,34 @@ from ..functions.text import meaningful_tokens, normalize, tokenize_doc, tokeniz
 from . import filters, joins, scoring, windows
 from .vectors import knn, retrieval_k
 
-# Words of other languages that queries may use for common things.
+# Words that queries use in other languages and scripts, and what they stand for.
 TRANSLATIONS = {
-    "comida": "food", "essen": "food", "nourriture": "food", "recibo": "receipt", "quittung": "receipt", "reçu": "receipt", "factura": "invoice", "rechnung": "invoice", "facture": "invoice",
-    "viaje": "travel", "reise": "travel", "voyage": "travel", "foto": "photo", "bild": "photo", "camisa": "shirt", "hemd": "shirt", "chemise": "shirt", "azul": "blue", "blau": "blue", "bleu": "blue",
-    "negro": "black", "schwarz": "black", "noir": "black", "ayer": "yesterday", "gestern": "yesterday", "hier": "yesterday", "hoy": "today", "heute": "today",
+    "நேற்று": "yesterday", "நேத்து": "yesterday", "நேற்றைய": "yesterday", "இன்று": "today", "இன்னைக்கு": "today", "வெளியே": "outside", "வெளிய": "outside", "சாப்பாடு": "food", "உணவு": "food",
+    "பைக்": "bike", "வண்டி": "vehicle", "பில்": "bill", "ரசீது": "receipt", "படம்": "photo", "போட்டோ": "photo", "புகைப்படம்": "photo", "புகைப்படங்கள்": "photos", "எடுத்த": "taken",
+    "எடுத்தது": "taken", "விளக்கு": "light", "லைட்": "light", "nethu": "yesterday", "netru": "yesterday", "innaiku": "today", "inniku": "today", "velila": "outside", "veliye": "outside",
+    "saapadu": "food", "sapadu": "food", "vandi": "vehicle", "edutha": "taken", "eduthathu": "taken", "rasidhu": "receipt", "naan": "", "nan": "", "enoda": "", "आज": "today", "बाहर": "outside",
+    "खाना": "food", "तस्वीर": "photo", "फ़ोटो": "photo", "फोटो": "photo", "बाइक": "bike", "रसीद": "receipt", "నిన్న": "yesterday", "ఈరోజు": "today", "బయట": "outside", "ఆహారం": "food", "బైక్": "bike",
+    "ఫోటో": "photo", "బిల్లు": "bill", "రసీదు": "receipt", "ഇന്നലെ": "yesterday", "ഇന്ന്": "today", "പുറത്ത്": "outside", "ഭക്ഷണം": "food", "ബൈക്ക്": "bike", "ഫോട്ടോ": "photo", "ബിൽ": "bill",
+    "രസീത്": "receipt", "ನಿನ್ನೆ": "yesterday", "ಇಂದು": "today", "ಹೊರಗೆ": "outside", "ಊಟ": "food", "ಬೈಕ್": "bike", "ಫೋಟೋ": "photo", "ಬಿಲ್": "bill", "ರಸೀದಿ": "receipt", "গতকাল": "yesterday",
+    "আজ": "today", "বাইরে": "outside", "খাবার": "food", "বাইক": "bike", "ছবি": "photo", "বিল": "bill", "রসিদ": "receipt", "बाहेर": "outside", "जेवण": "food", "बाईक": "bike", "पावती": "receipt",
+    "ગઈકાલે": "yesterday", "આજે": "today", "બહાર": "outside", "ખોરાક": "food", "બાઈક": "bike", "ફોટો": "photo", "બિલ": "bill", "રસીદ": "receipt", "ਅੱਜ": "today", "ਬਾਹਰ": "outside", "ਖਾਣਾ": "food",
+    "ਬਾਈਕ": "bike", "ਫੋਟੋ": "photo", "ਬਿੱਲ": "bill", "ਰਸੀਦ": "receipt", "آج": "today", "باہر": "outside", "کھانا": "food", "بائیک": "bike", "تصویر": "photo", "بل": "bill", "رسید": "receipt",
+    "ayer": "yesterday", "hoy": "today", "afuera": "outside", "comida": "food", "bicicleta": "bike", "moto": "bike", "foto": "photo", "factura": "bill", "recibo": "receipt", "hier": "yesterday",
+    "aujourd'hui": "today", "dehors": "outside", "nourriture": "food", "vélo": "bike", "photo": "photo", "facture": "bill", "reçu": "receipt", "gestern": "yesterday", "heute": "today",
+    "draußen": "outside", "essen": "food", "fahrrad": "bike", "motorrad": "bike", "rechnung": "bill", "beleg": "receipt", "ontem": "yesterday", "hoje": "today", "fora": "outside", "fatura": "bill",
+    "أمس": "yesterday", "اليوم": "today", "خارج": "outside", "طعام": "food", "دراجة": "bike", "صورة": "photo", "فاتورة": "bill", "إيصال": "receipt", "昨日": "yesterday", "今日": "today", "外": "outside",
+    "食べ物": "food", "バイク": "bike", "自転車": "bike", "写真": "photo", "請求書": "bill", "レシート": "receipt", "어제": "yesterday", "오늘": "today", "밖": "outside", "음식": "food", "오토바이": "bike", "자전거": "bike",
+    "사진": "photo", "청구서": "bill", "영수증": "receipt", "昨天": "yesterday", "今天": "today", "外面": "outside", "食物": "food", "摩托车": "bike", "自行车": "bike", "照片": "photo", "发票": "bill", "收据": "receipt",
+    "aaj": "today", "bahar": "outside", "tasveer": "photo", "rasid": "receipt", "ninna": "yesterday", "ivala": "today", "bayata": "outside", "tindi": "food", "billu": "bill", "raseedu": "receipt",
+    "innale": "yesterday", "innu": "today", "purathu": "outside", "bhakshanam": "food", "ninne": "yesterday", "horage": "outside", "oota": "food", "rasidi": "receipt", "gotokal": "yesterday",
+    "ajke": "today", "baire": "outside", "baher": "outside", "jevan": "food", "pavati": "receipt", "gaikale": "yesterday", "aaje": "today",
 }
 
 
 def translate_query(c: Column, words: dict[str, str] = TRANSLATIONS) -> Column:
-    """Known foreign words in English, the longest first, whole words only."""
-    for word in sorted(words, key=lambda w: (-len(w), w)):
-        c = F.regexp_replace(c, rf"(?iU)\b{word}\b", words[word])
-    return c
+    """Known foreign words in English wherever they stand, the longest first and equals in order; white space collapsed."""
+    table = F.array(*[F.struct(F.lit(rf"(?iu)\Q{w}\E").alias("w"), F.lit(words[w]).alias("to")) for w in sorted(words, key=len, reverse=True)])
+    return F.trim(F.regexp_replace(F.aggregate(table, c, lambda acc, x: F.regexp_replace(acc, x["w"], x["to"])), r"\s+", " "))
 
 
 def date_window(df: DataFrame, text: str, today: Column) -> DataFrame:

@@ -7,13 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import dot, is_valid_vector, norm
 
-#: Most queries of one broadcast block, 1 MB of vectors each 256 of 1,024 floats.
-BLOCK = 256
+#: Queries in one matrix product, and most queries that are broadcast, under 20 MB of 1,024 floats.
+BLOCK, BROADCAST_QUERIES = 256, 4096
+#: Vectors of one shard where queries are too many to broadcast.
+SHARD = 20_000
 
 
 def upsert_vectors(store: DataFrame, batch: DataFrame) -> DataFrame:
@@ -48,51 +51,66 @@ def pending_backfill(memories: DataFrame, state: DataFrame, force: bool = False,
     return rows.orderBy("memory_id").limit(limit) if limit else rows
 
 
+def _matrix(ids: pa.Array, lists: pa.Array, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and finite vectors of one length (``size``, else the first one's), without a Python object for each number."""
+    lengths = pc.list_value_length(lists).fill_null(-1)
+    size = size or next((n for n in lengths.to_pylist() if n > 0), 0)
+    fits = pc.equal(lengths, size)
+    m = lists.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(size, 1))
+    good = np.isfinite(m).all(axis=1)
+    return ids.filter(fits).to_numpy(zero_copy_only=False)[good], m[good]
+
+
+def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_score: float | None) -> Iterator[pa.RecordBatch]:
+    """The k nearest of ``m`` for each query, equal scores by id."""
+    for a in range(0, len(q) if len(m) else 0, BLOCK):
+        scores = q[a : a + BLOCK] @ m.T
+        last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
+        if min_score is not None:
+            last = np.maximum(last, min_score)
+        row, at = np.nonzero(scores >= last)
+        s = scores[row, at]
+        order = np.lexsort((ids[at], -s, row))
+        row, at, s = row[order], at[order], s[order]
+        n = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = n < k
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + row[keep]]), pa.array(ids[at[keep]]), pa.array(s[keep])], ["query_id", "vec_id", "score"])
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, size: int | None = None) -> DataFrame:
     """Exact inner-product neighbours: (query_id, vec_id, score, rank).
 
-    Queries go out in blocks of BLOCK vectors, so what a task holds is bounded; each Arrow batch of vectors is one matrix product
-    that keeps k rows for each query, and only those shuffle.  Vectors of another length or not finite are left out.
+    Up to BROADCAST_QUERIES queries go out to one scan of the vectors; each Arrow batch of vectors is a matrix product that
+    keeps k rows for each query, equal scores by id, and only those shuffle.  More queries are dealt into blocks and
+    vectors into shards, and each block meets each shard in a group of bounded size.  Vectors of another length or not finite
+    are left out.
     """
-    fields = queries.select("query_id", F.col("vec").cast("array<float>").alias("vec")).orderBy("query_id").toLocalIterator()
-    found = None
-    block: list = []
+    schema = "query_id long, vec_id long, score double"
+    q = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"))
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"))
+    first = q.limit(BROADCAST_QUERIES + 1).toArrow().combine_chunks()
+    if first.num_rows <= BROADCAST_QUERIES:
+        batch = first.to_batches()[0] if first.num_rows else None
+        shared = vectors.sparkSession.sparkContext.broadcast(_matrix(batch.column(0), batch.column(1), size) if batch else (np.zeros(0, np.int64), np.zeros((0, 1))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            for batch in batches:
+                if len(ids):
+                    yield from _nearest(ids, m, *_matrix(batch.column(0), batch.column(1), m.shape[1]), k, min_score)
 
-    def near(block: list) -> DataFrame:
-        ids = np.array([r[0] for r in block])
-        q = np.array([r[1] for r in block], np.float32).astype(np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+        found = v.mapInArrow(scan, schema)
+    else:
+        blocks, shards = -(-q.count() // BLOCK), max(1, v.count() // SHARD)
+        left = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        right = v.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                v = [(i, x) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x is not None and len(x) == q.shape[1]]
-                if not v:
-                    continue
-                m = np.array([x for _, x in v], np.float32).astype(np.float64)
-                good = np.isfinite(m).all(axis=1)
-                names, m = np.array([i for i, _ in v])[good], m[good]
-                scores = q @ m.T
-                top = np.argsort(-scores, axis=1, kind="stable")
-                # ties at the k-th place are kept: the final rank decides them by id
-                for row, order in enumerate(top):
-                    keep = order[:k]
-                    if len(order) > k:
-                        keep = np.union1d(keep, np.flatnonzero(scores[row] == scores[row, order[k - 1]]))
-                    s = scores[row, keep]
-                    if min_score is not None:
-                        keep, s = keep[s >= min_score], s[s >= min_score]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), ids[row])), pa.array(names[keep]), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        return vectors.select("vec_id", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, "query_id long, vec_id long, score double")
-
-    for row in fields:
-        block.append(row)
-        if len(block) == BLOCK:
-            found = near(block) if found is None else found.unionAll(near(block))
-            block = []
-    if block or found is None:
-        found = near(block) if found is None else found.unionAll(near(block))
+        def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+            sides = [_matrix(t.column(i).combine_chunks(), t.column("vec").combine_chunks(), size) for t, i in ((a, "query_id"), (b, "vec_id"))] if a.num_rows and b.num_rows else None
+            found = list(_nearest(*sides[0], *sides[1], k, min_score)) if sides else []
+            return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+        found = left.groupBy("__b", "__s").cogroup(right.groupBy("__b", "__s")).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -120,13 +120,13 @@ def f19(spark, d):
 
 
 @book.add("f20_clean_concepts", oracle("""
-    WITH w AS (SELECT memory_id, unnest(string_split(substr(ocr_text, 1, 200), ' ')) AS v, generate_subscripts(string_split(substr(ocr_text, 1, 200), ' '), 1) AS i FROM mem),
+    WITH w AS (SELECT memory_id, unnest(string_split(ocr_text, ' ')) AS v, generate_subscripts(string_split(ocr_text, ' '), 1) AS i FROM mem),
     k AS (SELECT memory_id, i, trim(v) AS v, trim(regexp_replace(lower(v), '\\s+', ' ', 'g')) AS k FROM w),
     f AS (SELECT *, row_number() OVER (PARTITION BY memory_id, k ORDER BY i) AS n FROM k WHERE length(k) >= 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY i) AS o FROM f WHERE n = 1)
     SELECT m.memory_id, coalesce(string_agg(v, '|' ORDER BY i) FILTER (o <= 5), '') AS concepts FROM mem m LEFT JOIN r USING (memory_id) GROUP BY m.memory_id""".replace("\\\\", "\\").replace("length(k) >= 3", "length(k) >= 3 AND k NOT IN ('" + "', '".join(O.GENERIC_TERMS) + "')")))
 def f20(spark, d):
-    return memories(spark, d).select("memory_id", F.array_join(O.clean_concepts(F.split(F.substring("ocr_text", 1, 200), " ")), "|").alias("concepts"))
+    return memories(spark, d).select("memory_id", F.array_join(O.clean_concepts(F.split(F.col("ocr_text"), " ")), "|").alias("concepts"))
 
 
 JOBS = """SELECT doc_id AS job_id, 'm' || CAST(doc_id AS STRING) AS memory_id, CASE doc_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'retrying' WHEN 2 THEN 'completed' ELSE 'failed' END AS status,

@@ -96,20 +96,20 @@ def j13(spark, d):
     return O.primary_image(images)
 
 
-@book.add("j14_attach_by_position", "SELECT doc_id, i AS pos, a AS file, b AS meta FROM (SELECT doc_id, unnest(range(3)) AS i, unnest(string_split(substr(text, 1, 300), ' ')[1:3]) AS a, unnest(list_resize(string_split(substr(text, 20, 300), ' ')[1:2], 3)) AS b FROM documents WHERE len(string_split(substr(text, 1, 300), ' ')) >= 3 AND len(string_split(substr(text, 20, 300), ' ')) >= 2)")
+@book.add("j14_attach_by_position", "SELECT doc_id, i AS pos, a AS file, b AS meta FROM (SELECT doc_id, unnest(range(3)) AS i, unnest(string_split(text, ' ')[1:3]) AS a, unnest(list_resize(string_split(substr(text, 20), ' ')[1:2], 3)) AS b FROM documents WHERE len(string_split(text, ' ')) >= 3 AND len(string_split(substr(text, 20), ' ')) >= 2)")
 def j14(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 300), " ").alias("f"), F.split(F.substring("text", 20, 300), " ").alias("m")).where("size(f) >= 3 and size(m) >= 2")
+    docs = read(spark, d, "documents").select("doc_id", F.split(F.col("text"), " ").alias("f"), F.split(F.substring("text", 20, 1 << 30), " ").alias("m")).where("size(f) >= 3 and size(m) >= 2")
     return O.attach_by_position(docs.select("doc_id", F.slice("f", 1, 3).alias("f")), docs.select("doc_id", F.slice("m", 1, 2).alias("m")), "f", "m", "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "file", "meta")
 
 
 @book.add("x1_merge_keywords", """
-    WITH w AS (SELECT doc_id, unnest(string_split(substr(text, 1, 150), ' ')) AS v, generate_subscripts(string_split(substr(text, 1, 150), ' '), 1) AS i FROM documents
-        UNION ALL SELECT doc_id, unnest(string_split(substr(text, 40, 150), ' ')), 1000 + generate_subscripts(string_split(substr(text, 40, 150), ' '), 1) FROM documents),
+    WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS v, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents
+        UNION ALL SELECT doc_id, unnest(string_split(substr(text, 40), ' ')), 1000000 + generate_subscripts(string_split(substr(text, 40), ' '), 1) FROM documents),
     f AS (SELECT doc_id, i, trim(v) AS v, row_number() OVER (PARTITION BY doc_id, lower(trim(v)) ORDER BY i) AS n FROM w WHERE trim(v) <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM f WHERE n = 1)
     SELECT doc_id, string_agg(v, '|' ORDER BY i) AS words FROM r WHERE o <= 30 GROUP BY doc_id""")
 def x1(spark, d):
-    words = O.merge_words(F.split(F.substring("text", 1, 150), " "), F.split(F.substring("text", 40, 150), " "), 30)
+    words = O.merge_words(F.split(F.col("text"), " "), F.split(F.substring("text", 40, 1 << 30), " "), 30)
     return read(spark, d, "documents").select("doc_id", F.array_join(words, "|").alias("words"))
 
 
@@ -120,10 +120,11 @@ def x2(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(F.array_intersect(tokens, query)).cast("long").alias("n"))
 
 
-@book.add("x3_merge_pages", "SELECT doc_id, min(CASE WHEN doc_id < 300 THEN 0 ELSE 1 END) AS page FROM documents WHERE doc_id < 300 OR doc_id BETWEEN 200 AND 500 GROUP BY doc_id")
+@book.add("x3_merge_pages", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 0 ELSE 1 END AS page FROM documents WHERE lang IN ('en', 'de') OR n_chars % 2 = 0")
 def x3(spark, d):
-    docs = read(spark, d, "documents").select("doc_id")
-    return O.merge_pages([docs.where("doc_id < 300").withColumn("page", F.lit(0)), docs.where("doc_id between 200 and 500").withColumn("page", F.lit(1))], "doc_id")
+    docs = read(spark, d, "documents")
+    pages = [docs.where("lang in ('en', 'de')"), docs.where("n_chars % 2 = 0")]
+    return O.merge_pages([p.select("doc_id", F.lit(i).alias("page")) for i, p in enumerate(pages)], "doc_id")
 
 
 @book.add("x4_except_seen", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -200,7 +200,7 @@ def c43(spark, d):
 
 @book.add("c44_understand_query")
 def c44(spark, d):
-    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("gestern Rechnung "), F.substring("text", 1, 60)).alias("query_text"))
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("gestern Rechnung "), "text").alias("query_text"))
     return S.understand_queries(q, F.lit("2024-03-10").cast("date")).select("query_id", "search_text", "q_norm", F.array_join("q_tokens", " ").alias("tokens"), F.col("date_from").cast("string").alias("day"))
 
 
@@ -213,22 +213,38 @@ def k7(spark, d):
     return S.fast_lookup(queries_of(spark, d), memories(spark, d))
 
 
+#: Depth and floor of the semantic and of the visual search.
+SEMANTIC_K, SEMANTIC_FLOOR, VISUAL_K = 50, 0.15, 80
+
+
 def pairs_of(spark, d):
-    """Semantic and visual similarities of some pairs, by arithmetic."""
-    q = queries_of(spark, d).select("query_id")
-    m = memories(spark, d).select("memory_id", "doc_id", "confidence")
-    near = q.join(m, F.pmod(F.col("doc_id"), F.lit(40)) == F.pmod(F.col("query_id"), F.lit(40)))
-    return near.select("query_id", "memory_id", (F.col("confidence") * 0.3).alias("score")), near.select("query_id", "memory_id", F.col("confidence").alias("score"))
+    """Visual and semantic candidates: a query's vector is the embedding numbered 50 times its id; its first half stands for the visual space."""
+    v = unit_vectors(spark, d)
+    q = v.where("vec_id % 50 = 0").select((F.col("vec_id") / 50).cast("long").alias("query_id"), "vec").join(queries_of(spark, d).select("query_id"), "query_id", "left_semi")
+    half = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))
+    named = lambda df: df.select("query_id", F.concat(F.lit("m"), "vec_id").alias("memory_id"), F.round("score", 6).alias("score"))
+    return named(V.knn(half(q), half(v), VISUAL_K)), named(V.knn(q, v, SEMANTIC_K, min_score=SEMANTIC_FLOOR))
+
+
+def near_sql(name: str, v: str, k: int, floor: float | None = None) -> str:
+    return f"""{name} AS (SELECT query_id, memory_id, round(score, 6) AS score FROM (
+        SELECT a.vec_id // 50 AS query_id, 'm' || CAST(b.vec_id AS STRING) AS memory_id, list_inner_product(a.{v}, b.{v}) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.{v}, b.{v}) DESC, b.vec_id) AS r
+        FROM {VEC2} a, {VEC2} b WHERE a.vec_id % 50 = 0 AND a.vec_id // 50 IN (SELECT item_id FROM benchmark)) WHERE r <= {k} {"" if floor is None else f"AND score >= {floor}"})"""
+
+
+VEC2 = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS h FROM embeddings)"
+SEM, VIS = near_sql("sem", "v", SEMANTIC_K, SEMANTIC_FLOOR), near_sql("vis", "h", VISUAL_K)
 
 
 P1 = oracle(f"""
     WITH q AS (SELECT query_id, t AS tl, list_distinct(t) AS t, array_to_string(t, ' ') AS qn FROM {Q}),
-    near AS (SELECT query_id, memory_id, confidence FROM q JOIN mem ON doc_id % 40 = query_id % 40),
-    fl AS (SELECT query_id, greatest(0.255, max(confidence * 0.3) - 0.035) AS vf, greatest(0.56, max(confidence) - 0.07) AS sf FROM near GROUP BY 1),
+    {SEM}, {VIS},
+    near AS (SELECT query_id, memory_id, any_value(v) AS v, any_value(s) AS s FROM (SELECT query_id, memory_id, score AS v, NULL AS s FROM vis UNION ALL SELECT query_id, memory_id, NULL, score FROM sem) GROUP BY ALL),
+    fl AS (SELECT query_id, greatest(0.255, max(v) - 0.035) AS vf, greatest(0.56, max(s) - 0.07) AS sf FROM near GROUP BY 1),
     fb AS (SELECT 'm' || CAST(doc_id AS STRING) AS memory_id, quality FROM labels),
     m0 AS MATERIALIZED (SELECT *, {NORM.format("ocr_text")} AS ocr, {NORM.format("concat_ws(' ', filename, category, title)")} AS con, {NORM.format("concat_ws(chr(10), title, summary, ocr_text)")} AS doc FROM mem),
     m AS MATERIALIZED (SELECT *, {TOKENS.format("ocr")} AS ot, {TOKENS.format("con")} AS ct, {DOC_TOKENS.format("coalesce(summary, '')")} AS smt, {DOC_TOKENS.format("filename")} AS ft, {DOC_TOKENS.format("coalesce(category, '')")} AS cat FROM m0),
-    x AS (SELECT q.query_id, q.t, q.tl, q.qn, m.*, coalesce(n.confidence * 0.3, 0) AS v, coalesce(n.confidence, 0) AS s, coalesce(vf, 999) AS vf, coalesce(sf, 999) AS sf, len(q.t) AS nt,
+    x AS (SELECT q.query_id, q.t, q.tl, q.qn, m.*, coalesce(n.v, 0) AS v, coalesce(n.s, 0) AS s, coalesce(vf, 999) AS vf, coalesce(sf, 999) AS sf, len(q.t) AS nt,
         len(list_intersect(q.t, ot)) AS oh, len(list_intersect(q.t, ct)) AS ch, length(qn) >= 3 AND contains(con, qn) AS ec, length(qn) >= 3 AND contains(ocr, qn) AS eo,
         regexp_matches(qn, '[0-9?$@.]') OR regexp_matches(qn, '(?i)\\b[A-Z]{{2,}}\\d{{2,}}\\b') AS st,
         len(list_intersect(q.t, smt)) AS sh, len(list_intersect(q.t, ft)) AS fh, len(list_intersect(q.t, cat)) AS cah
@@ -256,7 +272,7 @@ def p1(spark, d):
 
 
 @book.add("p2_search_service", oracle(f"""
-    WITH q AS (SELECT query_id, list_distinct(t) AS t FROM {Q}), sem AS (SELECT query_id, memory_id, confidence AS score FROM q JOIN mem ON doc_id % 40 = query_id % 40),
+    WITH q AS (SELECT query_id, list_distinct(t) AS t FROM {Q}), {SEM},
     kw AS (SELECT query_id, memory_id, score FROM ({HITS.strip()[5:].join(['WITH ', ''])} SELECT * FROM s WHERE score >= 0.5)),
     a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS r FROM sem) WHERE r <= 15), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS r FROM kw) WHERE r <= 15),
     m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.memory_id, b.memory_id) AS memory_id, round(coalesce(a.score, 0) * 0.65 + coalesce(b.score, 0) * 0.35, 6) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.memory_id = b.memory_id)
@@ -271,16 +287,18 @@ OWNED = "(SELECT vec_id, 'src' || CAST(vec_id % 20 AS STRING) AS user_id, list_t
 
 
 @book.add("p3_search_owner", oracle(f"""
-    WITH q AS (SELECT vec_id AS query_id, user_id, v, 'th' AS term FROM {OWNED} WHERE vec_id < 20),
-    n AS (SELECT query_id, vec_id, d FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.query_id, b.vec_id, round(1 - list_inner_product(q.v, b.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS d FROM q JOIN {OWNED} b USING (user_id))) WHERE r <= 20),
-    l AS (SELECT query_id, doc_id AS vec_id, NULL::DOUBLE AS d FROM mem JOIN q USING (user_id) WHERE status IN ('ready', 'partial') AND (ocr_text ILIKE '%th%' OR filename ILIKE '%th%')),
+    WITH q AS (SELECT o.vec_id AS query_id, o.user_id, v, coalesce(nullif(regexp_extract(ocr_text, '[A-Za-z]{{3,}}'), ''), 'th') AS term FROM {OWNED} o JOIN mem ON doc_id = o.vec_id WHERE o.vec_id % 50 = 0),
+    n AS (SELECT query_id, vec_id, d FROM (SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM (SELECT q.query_id, b.vec_id, round(1 - list_inner_product(q.v, b.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS d FROM q JOIN {OWNED} b USING (user_id))) WHERE r <= 20),
+    l AS (SELECT query_id, doc_id AS vec_id, NULL::DOUBLE AS d FROM mem JOIN q USING (user_id) WHERE status IN ('ready', 'partial') AND (ocr_text ILIKE '%' || term || '%' OR filename ILIKE '%' || term || '%')),
     u AS (SELECT query_id, vec_id, coalesce(min(d), 2.0) AS distance FROM (SELECT * FROM n UNION ALL SELECT * FROM l) GROUP BY ALL),
-    r AS (SELECT query_id, vec_id AS memory_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, created_s DESC, vec_id) AS rank, ocr_text, filename FROM u JOIN mem ON doc_id = vec_id)
-    SELECT query_id, memory_id, distance, rank, concat_ws(',', CASE WHEN distance < 2.0 THEN 'Semantic' END, CASE WHEN contains(lower(ocr_text), 'th') THEN 'OCR' END, CASE WHEN contains(lower(filename), 'th') THEN 'Filename' END) AS why FROM r WHERE rank <= 20"""))
+    r AS (SELECT query_id, vec_id AS memory_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, created_s DESC, vec_id) AS rank, ocr_text, filename, term FROM u JOIN mem ON doc_id = vec_id JOIN (SELECT query_id, term FROM q) USING (query_id))
+    SELECT query_id, memory_id, distance, rank, concat_ws(',', CASE WHEN distance < 2.0 THEN 'Semantic' END, CASE WHEN contains(lower(ocr_text), lower(term)) THEN 'OCR' END, CASE WHEN contains(lower(filename), lower(term)) THEN 'Filename' END) AS why FROM r WHERE rank <= 20"""))
 def p3(spark, d):
     v = unit_vectors(spark, d).withColumn("user_id", F.concat(F.lit("src"), (F.col("vec_id") % 20).cast("string")))
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "user_id", "vec", F.lit("th").alias("term"))
-    return S.search_owner(q, memories(spark, d).withColumn("memory_id", F.col("doc_id")), v)
+    m = memories(spark, d).withColumn("memory_id", F.col("doc_id"))
+    term = F.coalesce(F.nullif(F.regexp_extract("ocr_text", "[A-Za-z]{3,}", 0), F.lit("")), F.lit("th")).alias("term")
+    q = v.where("vec_id % 50 = 0").join(m.select(F.col("doc_id").alias("vec_id"), term), "vec_id").select(F.col("vec_id").alias("query_id"), "user_id", "vec", "term")
+    return S.search_owner(q, m, v)
 
 
 @book.add("p5_retrieve_context")

@@ -12,7 +12,7 @@ from .book import Book
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
 
-PART_WORDS = "string_split(lower(substr(ocr_text, 1, 100)), ' ')"
+PART_WORDS = "string_split(lower(ocr_text), ' ')"
 
 
 @book.add("a1_category_counts", oracle("SELECT coalesce(nullif(trim(category), ''), 'unclassified') AS category, count(*) AS n FROM mem GROUP BY 1"))
@@ -54,16 +54,16 @@ def a5(spark, d):
 
 @book.add("a6_suggest", oracle(f"WITH v AS (SELECT unnest(list_distinct({PART_WORDS})) AS value FROM mem) SELECT value, count(*) AS n FROM v WHERE starts_with(trim(regexp_replace(value, '\\s+', ' ', 'g')), 'th') GROUP BY value ORDER BY n DESC, lower(value), value LIMIT 8"))
 def a6(spark, d):
-    return O.suggest(memories(spark, d), "Th", F.array_distinct(F.split(F.lower(F.substring("ocr_text", 1, 100)), " ")))
+    return O.suggest(memories(spark, d), "Th", F.array_distinct(F.split(F.lower(F.col("ocr_text")), " ")))
 
 
 @book.add("a7_suggest_first", oracle("""
-    WITH v AS (SELECT doc_id, unnest(string_split(substr(ocr_text, 1, 100), ' ')) AS value, generate_subscripts(string_split(substr(ocr_text, 1, 100), ' '), 1) AS pos FROM mem WHERE status IN ('ready', 'partial')),
+    WITH v AS (SELECT doc_id, unnest(string_split(ocr_text, ' ')) AS value, generate_subscripts(string_split(ocr_text, ' '), 1) AS pos FROM mem WHERE status IN ('ready', 'partial')),
     f AS (SELECT *, row_number() OVER (PARTITION BY lower(value) ORDER BY doc_id DESC, pos, value) AS n FROM v WHERE contains(lower(value), 'an'))
     SELECT value FROM f WHERE n = 1 ORDER BY doc_id DESC, pos, value LIMIT 10"""))
 def a7(spark, d):
     m = memories(spark, d).where(F.col("status").isin("ready", "partial"))
-    return O.suggest_first(m, "AN", F.split(F.substring("ocr_text", 1, 100), " "), 10, -F.col("doc_id"))
+    return O.suggest_first(m, "AN", F.split(F.col("ocr_text"), " "), 10, -F.col("doc_id"))
 
 
 @book.add("a8_search_stats", "SELECT count(*) AS total, count(*) FILTER (event_type <> 'error') AS successful, count(*) FILTER (user_id % 5 = 0) AS empty, round(avg(value), 6) AS average_ms, round(avg(user_id % 5), 6) AS average_results FROM events")
@@ -162,10 +162,10 @@ def a23(spark, d):
 
 
 @book.add("a24_starter_suggestions", oracle("""
-    WITH v AS (SELECT doc_id, unnest(list_prepend(trim(category), string_split(substr(ocr_text, 1, 60), ' ')[1:5])) AS value, unnest(range(least(5, len(string_split(substr(ocr_text, 1, 60), ' '))) + 1)) AS pos FROM mem WHERE trim(category) <> '')
-    SELECT value FROM v GROUP BY value ORDER BY min(doc_id * 10 + pos) LIMIT 8"""))
+    WITH v AS (SELECT doc_id, unnest(list_prepend(trim(category), string_split(ocr_text, ' '))) AS value, unnest(range(len(string_split(ocr_text, ' ')) + 1)) AS pos FROM mem WHERE trim(category) <> '')
+    SELECT value FROM v GROUP BY value ORDER BY min(doc_id * 1000000 + pos) LIMIT 8"""))
 def a24(spark, d):
-    m = memories(spark, d).where("trim(category) <> ''").select("doc_id", F.posexplode(F.concat(F.array(F.trim("category")), F.slice(F.split(F.substring("ocr_text", 1, 60), " "), 1, 5))).alias("pos", "value"))
+    m = memories(spark, d).where("trim(category) <> ''").select("doc_id", F.posexplode(F.concat(F.array(F.trim("category")), F.split("ocr_text", " "))).alias("pos", "value"))
     return m.groupBy("value").agg(F.min(F.struct("doc_id", "pos")).alias("first")).orderBy("first").limit(8).select("value")
 
 

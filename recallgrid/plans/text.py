@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import classify as C
 from ..operators import documents as D
 from ..operators import rules
+from ..operators.search import TRANSLATIONS, translate_query
 from ..schemas import memories, oracle, read
 from .book import Book
 
@@ -54,7 +55,7 @@ simple("c4_strip_ocr_artifacts", lambda: F.sha2(T.strip_ocr_artifacts(F.concat(F
 simple("c5_clean_text", lambda: F.sha2(T.clean_text(TXT("text")), 256), None)
 simple("c6_normalize_for_search", lambda: F.sha2(T.normalize_for_search(TXT("text"), unicode=False), 256), None)
 simple("c7_normalize_query", lambda: F.sha2(T.normalize_query(TXT("text")), 256), S(r"sha256(trim(substr(trim(regexp_replace(text, '\s+', ' ', 'g')), 1, 1000)))"))
-simple("c8_tokenize_query", lambda: F.array_join(T.tokenize_query(F.substring("text", 1, 60)), "|"), None)
+simple("c8_tokenize_query", lambda: F.array_join(T.tokenize_query(TXT("text")), "|"), None)
 simple("c9_tokenize_doc", lambda: F.array_join(T.tokenize_doc(TXT("text")), "|"), S(r"array_to_string(regexp_extract_all(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[a-zA-Z0-9₹$@._-]+'), '|')"))
 simple("c10_tokenize_rerank", lambda: F.size(T.tokenize_rerank(TXT("text"))).cast("long"), S(r"len(list_distinct(regexp_extract_all(trim(regexp_replace(lower(substr(text, 1, 50000)), '\s+', ' ', 'g')), '[a-z0-9₹$€£]+(?:[._+#@:/-][a-z0-9₹$€£]+)*')))"))
 simple("c11_meaningful_tokens", lambda: F.array_join(T.meaningful_tokens(TXT("text")), "|"), S(r"array_to_string(list_filter(regexp_extract_all(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[a-zA-Z0-9₹$@._-]+'), lambda t: length(t) >= 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], t)), '|')"))
@@ -70,7 +71,7 @@ simple("c19_extract_emails", lambda: F.array_join(T.extract_emails(TXT("text")),
 simple("c19_extract_urls", lambda: F.array_join(T.extract_urls(TXT("text")), "|"), R(r"array_to_string(regexp_extract_all(text, '(?i)\b(?:https?://|www\.)[^\s<>]+'), '|')"), source=rich)
 simple("c19_extract_money", lambda: F.array_join(T.extract_money(TXT("text")), "|"), R(r"array_to_string(regexp_extract_all(text, '(?i)(?:Rs\.?\s?\d[\d,]*(?:\.\d+)?|₹\s?\d[\d,]*(?:\.\d+)?|INR\s?\d[\d,]*(?:\.\d+)?|\$\s?\d[\d,]*(?:\.\d+)?)'), '|')"), source=rich)
 simple("c19_extract_phones", lambda: F.array_join(T.extract_phones(TXT("text")), "|"), None)
-simple("c23_normalize_entity", lambda: C.normalize_entity(F.substring("text", 1, 40)), S(r"""trim(regexp_replace(regexp_replace(lower(substr(text, 1, 40)), '\s+', ' ', 'g'), '^[ .,;:!?()\[\]{}<>"'']+|[ .,;:!?()\[\]{}<>"'']+$', '', 'g'))"""))
+simple("c23_normalize_entity", lambda: C.normalize_entity(TXT("text")), S(r"""trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^[ .,;:!?()\[\]{}<>"'']+|[ .,;:!?()\[\]{}<>"'']+$', '', 'g'))"""))
 simple("c27_keywords_plain", lambda: F.size(T.keywords_plain(TXT("text"))).cast("long"), None)
 simple("c27_keywords_symbols", lambda: F.array_join(T.keywords_symbols(TXT("text")), "|"), None)
 simple("c27_keywords_split", lambda: F.array_join(T.keywords_split(TXT("text")), "|"), None)
@@ -83,14 +84,14 @@ simple("c31_level", lambda: numbers.level(F.col("doc_id") % 101 / 1.0), S("CASE
 simple("c32_generate_title", lambda: D.generate_title(F.when(F.col("doc_id") % 2 == 0, F.col("source")), TXT("text")), S(r"CASE WHEN length(o) > 80 THEN rtrim(substr(o, 1, 79)) || '…' ELSE coalesce(o, 'Untitled Memory') END").replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1]) END AS o FROM documents)"))
 simple("c33_summarize", lambda: D.summarize(TXT("source"), TXT("text")), S(r"upper(source[1]) || source[2:] || CASE WHEN l IS NOT NULL THEN ' screenshot: ' || substr(l, 1, 140) ELSE ' screenshot' END").replace("FROM documents", r"FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 5)[1] AS l FROM documents)"))
 simple("c34_generate_tags", lambda: F.array_join(D.generate_tags(TXT("lang"), F.lit("Two Words"), F.lit(" "), TXT("lang")), "|"), S("lang || '|two_words'"))
-simple("c35_search_document", lambda: D.search_document(title=TXT("source"), category=F.lit(" "), ocr_text=F.substring("text", 1, 20)), S("concat_ws(chr(10), 'Title: ' || source, 'Ocr Text: ' || nullif(trim(substr(text, 1, 20)), ''))"))
+simple("c35_search_document", lambda: D.search_document(title=TXT("source"), category=F.lit(" "), ocr_text=TXT("text")), S("concat_ws(chr(10), 'Title: ' || source, 'Ocr Text: ' || nullif(trim(text), ''))"))
 simple("c36_flatten_json", lambda: D.flatten_json(F.to_json(F.struct("lang", "source"))), S("'lang ' || lang || ' source ' || source"))
 simple("c37_non_ocr_text", lambda: F.concat_ws(" ", "lang", "source"), S("lang || ' ' || source"))
 simple("c41_context_block", lambda: F.concat_ws("\n", F.concat(F.lit("source: "), "source"), F.concat(F.lit("ocr: "), F.substring("text", 1, 2200))), S("'source: ' || source || chr(10) || 'ocr: ' || substr(text, 1, 2200)"))
 simple("c45_captured_at", lambda: F.unix_timestamp(F.coalesce(F.try_to_timestamp(F.when(F.col("doc_id") % 2 == 0, F.lit("2024:02:03 04:05:06")).otherwise("bad"), F.lit("yyyy:MM:dd HH:mm:ss")), F.timestamp_millis(F.col("doc_id") * 1000))), S("CASE WHEN doc_id % 2 = 0 THEN 1706933106 ELSE doc_id END"))
-simple("c46_sanitize_filename", lambda: ids.sanitize_filename(F.concat(F.lit("/a b/"), F.substring("text", 1, 30))), S(r"CASE WHEN f = '' THEN 'upload' ELSE f END").replace("FROM documents", r"FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(x[-1], '[^A-Za-z0-9._-]+', '_', 'g'), '_{2,}', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 180) AS f FROM (SELECT doc_id, regexp_split_to_array('/a b/' || substr(text, 1, 30), '[/\\]') AS x FROM documents))"))
+simple("c46_sanitize_filename", lambda: ids.sanitize_filename(F.concat(F.lit("/a b/"), "text")), S(r"CASE WHEN f = '' THEN 'upload' ELSE f END").replace("FROM documents", r"FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(x[-1], '[^A-Za-z0-9._-]+', '_', 'g'), '_{2,}', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 180) AS f FROM (SELECT doc_id, regexp_split_to_array('/a b/' || text, '[/\\]') AS x FROM documents))"))
 simple("c46_extension", lambda: ids.extension(F.concat("source", F.lit(".PnG"))), S("'.png'"))
-simple("c49_validate_id", lambda: ids.is_valid_id(F.substring("text", 1, 5)), S("regexp_full_match(substr(text, 1, 5), '[A-Za-z0-9_.:-]+')"))
+simple("c49_validate_id", lambda: ids.is_valid_id(TXT("text")), S("regexp_full_match(text, '[A-Za-z0-9_.:-]+')"))
 simple("c50_join_parts", lambda: ids.join_parts(" / ", TXT("lang"), F.lit("  "), TXT("source")), S("lang || ' / ' || source"))
 simple("c51_ocr_quality", lambda: F.round(D.ocr_quality(TXT("text")), 6), None)
 simple("c52_vision_confidence", lambda: D.vision_confidence(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4 == 0, TXT("lang"), F.lit(""), F.array(TXT("lang"))), S("CASE WHEN doc_id % 4 = 2 THEN 0.8 ELSE 0.0 END::DOUBLE"))
@@ -127,7 +128,7 @@ def c20(spark, d):
 
 @book.add("c21_dictionary_entities", rich_sql("SELECT doc_id, 'TECHNOLOGY' AS type, 'python' AS text FROM r"))
 def c21(spark, d):
-    return rich(spark, d).select("doc_id", F.explode(C.dictionary_entities(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.text").where("text = 'python'")
+    return rich(spark, d).select("doc_id", F.explode(C.dictionary_entities(F.col("text"))).alias("e")).select("doc_id", "e.type", "e.text")
 
 
 @book.add("c22_parse_entities", "SELECT doc_id, 'BRAND' AS type, lang AS text, 0.8::DOUBLE AS confidence FROM documents")
@@ -162,11 +163,18 @@ def c40(spark, d):
     return D.receipt_fields(rich(spark, d), "text").select("doc_id", "receipt_date", "total")
 
 
-@book.add("c42_translate_query", "SELECT doc_id, 'food and receipt ' || lang AS value FROM documents")
-def c42(spark, d):
-    from ..operators.search import translate_query
+def _translate_sql() -> str:
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    value = "list_extract([" + ", ".join(map(quoted, TRANSLATIONS)) + f"], CAST((conv_id * 7 + turn) % {len(TRANSLATIONS)} AS INT) + 1) || ' ' || text"
+    for word in sorted(TRANSLATIONS, key=len, reverse=True):
+        value = f"regexp_replace({value}, {quoted(word)}, '{TRANSLATIONS[word]}', 'gi')"
+    return f"SELECT conv_id, turn, sha256(trim(regexp_replace({value}, '\\s+', ' ', 'g'))) AS value FROM conversations"
+
 
-    return docs(spark, d).select("doc_id", translate_query(F.concat(F.lit("Essen and recibo "), "lang")).alias("value"))
+@book.add("c42_translate_query", _translate_sql())
+def c42(spark, d):
+    word = F.get(F.array(*map(F.lit, TRANSLATIONS)), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(TRANSLATIONS))).cast("int"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.sha2(translate_query(F.concat(word, F.lit(" "), "text")), 256).alias("value"))
 
 
 @book.add("c47_l2_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4)::DOUBLE AS norm FROM embeddings")

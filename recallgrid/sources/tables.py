@@ -49,13 +49,20 @@ def upsert(table: DataFrame, updates: DataFrame, key: str) -> DataFrame:
 
 
 def write_swapped(df: DataFrame, path: str, staging: str) -> None:
-    """Write beside the table, then put it in its place: readers see the old rows or the new."""
+    """Write beside the table, set the old rows aside by a rename, and rename the new ones into place.
+
+    A crash leaves the rows of before whole, at ``path`` or at ``path`` with ``.before`` added; the next call puts them back first.
+    """
+    context = df.sparkSession.sparkContext
+    new, old, before = (context._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, path, path.rstrip("/") + ".before"))
+    files = old.getFileSystem(context._jsc.hadoopConfiguration())
+    if files.exists(before) and not files.exists(old):
+        files.rename(before, old)
     df.write.mode("overwrite").parquet(staging)
-    jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
-    files = old.getFileSystem(context)
-    files.delete(old, True)
-    files.rename(new, old)
+    files.delete(before, True)
+    if files.exists(old) and not files.rename(old, before) or not files.rename(new, old):
+        raise OSError(f"{path} was not replaced")
+    files.delete(before, True)
 
 
 def ocr_records(df: DataFrame) -> DataFrame:
@@ -78,15 +85,15 @@ def latest_feedback(log: DataFrame) -> DataFrame:
 
 
 def find_paths(df: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, name, value) of all values under known path keys anywhere in a JSON document, objects and lists to any depth of eight."""
+    """(key, name, value) of all values under known path keys anywhere in a JSON document, at any depth: a level a pass, until one is empty."""
     level = df.select(key, F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
-    found = None
-    for _ in range(8):
+    found, depth = None, 0
+    while found is None or depth % 8 or not level.isEmpty():  # emptiness is asked every eighth level
         level.createOrReplaceTempView("__paths")
         pairs = df.sparkSession.sql(f"SELECT {key}, x.key AS name, x.value AS v FROM __paths, LATERAL variant_explode_outer(v) AS x").where("v is not null")
         hits = pairs.where(F.col("name").isin(*PATH_KEYS)).select(key, "name", F.try_variant_get("v", "$", "string").alias("value"))
         found = hits if found is None else found.unionAll(hits)
-        level = pairs.select(key, "v")
+        level, depth = pairs.select(key, "v"), depth + 1
     return found.where("value is not null")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Iterator
@@ -63,6 +66,13 @@ def rounds(batch: pa.RecordBatch, name: str, most: int = 2_000_000, rows: int =
         first = after
 
 
+def release_memory() -> None:
+    """Give this process's freed memory back to the system: what large arrays have left would else stay with a driver or a worker that is used again."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a system without glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

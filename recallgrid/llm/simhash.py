@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, rounds, row_key, salted, small, table, text_or_empty
+from .common import cut, release_memory, rounds, row_key, salted, small, table, text_or_empty
 
 SHINGLE = 3
 SEED = 42
@@ -51,7 +51,7 @@ NEAR_FIRST = 24
 ONE_IN, HOT_IN_SAMPLE, GROUP = 64, 4, 64
 #: Of the texts of its group that are near, each is paired with so many nearest ones.
 PARTNERS = 3
-TURNS = 2
+TURNS = 1
 #: Most rows of a table of hot values that is broadcast, under 10 MB.
 BROADCAST_ROWS = 200_000
 
@@ -202,6 +202,7 @@ def wide_fingerprints(documents: DataFrame) -> DataFrame:
         for part in (x for batch in batches for x in rounds(batch, "text")):
             found = np.array([wide_fingerprint(t) for t in part.column("text").to_pylist()], np.int64).reshape(part.num_rows, len(FP))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("r"), part.column("t"), *(pa.array(c) for c in found.T)], ["doc_id", "r", "t", *FP])
+        release_memory()
 
     texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"), F.xxhash64(text_or_empty()).alias("t"))
     return texts.mapInArrow(run, "doc_id long, r long, t long, " + ", ".join(f"{c} long" for c in FP))
@@ -270,7 +271,7 @@ def similar(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 def similar_components(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """(node, label) of the similar ones of ``pairs``; a pair that others connect already needs no comparison.
 
-    In each of TURNS turns every component compares the pair that takes it to the smallest other component, which joins a
+    In each of TURNS turns (the first: texts) every component compares the pair that takes it to the smallest other component, which joins a
     large group around few of its texts; then all pairs that still leave their component are compared.
     """
     left, edges, label = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), None, None

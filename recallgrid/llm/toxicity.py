@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rounds, table, text_or_empty
+from .common import release_memory, rounds, table, text_or_empty
 from .pieces import spread
 
 #: Most labelled rows of each label that the fit collects.
@@ -344,7 +344,10 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     some = documents.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     some = _first_of_each(some.groupBy("__toxic", "__n", "__id").agg(F.min("text").alias("text")), sample, "__n", "__id")
     rows = some.select("text", "__toxic", "__n", "__id").toPandas().sort_values(["__toxic", "__n", "__id"])
-    return fit(rows["text"].tolist(), rows["__toxic"].to_numpy(np.int64))
+    network = fit(rows["text"].tolist(), rows["__toxic"].to_numpy(np.int64))
+    del rows
+    release_memory()
+    return network
 
 
 def _first_of_each(rows: DataFrame, n: int, *order: str) -> DataFrame:
@@ -363,6 +366,8 @@ def score(documents: DataFrame, network: Network | None) -> DataFrame:
         scorer = Scorer(shared.value)
         for part in (x for batch in batches for x in rounds(batch, "text", ROUND_BYTES)):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scorer.scores(part.column("text").to_pylist()))], ["doc_id", "score"])
+        scorer = None
+        release_memory()
 
     return documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -377,6 +382,8 @@ def clean(documents: DataFrame, network: Network | None, threshold: float = THRE
         scorer = Scorer(shared.value)
         for part in (x for batch in batches for x in rounds(batch, "text", ROUND_BYTES)):
             yield part.filter(pa.array(scorer.scores([t or "" for t in part.column("text").to_pylist()]) < threshold))
+        scorer = None
+        release_memory()
 
     return documents.mapInArrow(run, documents.schema)
 

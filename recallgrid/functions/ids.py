@@ -33,6 +33,24 @@ def sanitize_filename(c: Column, most: int = 180) -> Column:
     return F.when(name == "", F.lit("upload")).otherwise(name)
 
 
+def display_filename(c: Column, most: int = 180) -> Column:
+    """The same for showing: runs of what is not safe become one underscore, the extension survives the cut; nothing left: unnamed_file."""
+    name = F.element_at(F.split(F.regexp_replace(c, r"[/\\]+$", ""), r"[/\\]"), -1)
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._ -]", "_"), r"\s+", "_"), r"^\.+", ""), "_+", "_")
+    name = F.regexp_replace(name, r"^[ ._]+|[ ._]+$", "")
+    suffix = F.regexp_extract(name, r"(?<=[^.])\.[^.]+$", 0)
+    stem = F.substr(name, F.lit(1), F.length(name) - F.length(suffix))
+    cut = F.concat(F.substr(stem, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.length(suffix))), suffix)
+    name = F.when(F.length(name) > most, cut).otherwise(name)
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("unnamed_file")).otherwise(name)
+
+
+def storage_name(c: Column, most: int = 180) -> Column:
+    """Letters and digits of any script, dots, hyphens and underscores; others become underscores; no name: image."""
+    given = F.coalesce(F.nullif(c, F.lit("")), F.lit("image"))
+    return F.substring(F.regexp_replace(given, r"[^\p{L}\p{N}._-]", "_"), 1, most)
+
+
 def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"\.[A-Za-z0-9]+$", 0))
 

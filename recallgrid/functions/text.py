@@ -220,3 +220,9 @@ def chunk_text(df: DataFrame, key: str, name: str, size: int = 1500, overlap: in
     kind = dict(df.dtypes)[key]
     given = df.select(F.col(key).alias("k"), normalize_ws(F.col(name)).alias("t"))
     return given.mapInPandas(run, f"key {kind}, chunk_index int, chunk_start int, chunk_end int, chunk string").withColumnRenamed("key", key)
+
+
+def token_intersection(query: Column, text: Column) -> Column:
+    """Distinct tokens of letters and digits that both have, whatever their case."""
+    low = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_intersect(low(text), low(query))

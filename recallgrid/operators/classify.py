@@ -177,6 +177,16 @@ def entity_text(entities: Column) -> Column:
     return F.array_join(F.transform(entities, lambda e: F.concat(e["type"], F.lit(": "), e["text"])), " | ")
 
 
+def build_entities(lists: dict[str, Column]) -> Column:
+    """(type, text) of typed lists, in their order, each pair once; null and blank texts are left out."""
+
+    def typed(kind: str, texts: Column) -> Column:
+        named = F.transform(F.filter(texts, lambda x: F.trim(x) != ""), lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("text")))
+        return F.coalesce(named, F.array().cast("array<struct<type:string,text:string>>"))
+
+    return F.array_distinct(F.concat(*[typed(kind, texts) for kind, texts in lists.items()]))
+
+
 def normalize_label(c: Column, aliases: dict[str, str], known: list[str], other: str = "other") -> Column:
     """A label or its alias, if it is known."""
     low = F.lower(F.trim(c))

@@ -41,6 +41,42 @@ def search_document(**parts: Column) -> Column:
     return F.concat_ws("\n", *[F.concat(F.lit(f"{k.replace('_', ' ').title()}: "), F.nullif(F.trim(v), F.lit(""))) for k, v in parts.items()])
 
 
+def embedding_text(title: Column, category: Column, intent: Column, entities: Column, tags: Column, content: Column, most: int | None = None) -> Column:
+    """The layout for embeddings; entities (type, text) and tags are lists.  Parts that are empty are left out."""
+    named = F.array_join(F.transform(entities, lambda e: F.concat(e["type"], F.lit(": "), e["text"])), ", ")
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.nullif(c, F.lit(""))) for n, c in (("Title", title), ("Category", category), ("Intent", intent), ("Entities", named), ("Tags", F.array_join(tags, ", ")), ("Content", content))])
+    return F.substring(text, 1, most) if most else text
+
+
+def search_text(title: Column, summary: Column, labels: dict[str, Column], visual: Column, ocr: Column, lists: dict[str, Column]) -> Column:
+    """The parser's layout: plain lines where there are any, and named lines for labels and lists, there or not."""
+    plain = lambda c: F.nullif(c, F.lit(""))
+    named = [F.concat(F.lit(f"{n}: "), F.coalesce(c, F.lit(""))) for n, c in labels.items()]
+    listed = [F.concat(F.lit(f"{n}: "), F.coalesce(F.array_join(c, ", "), F.lit(""))) for n, c in lists.items()]
+    return T.clean_text(F.concat_ws("\n", plain(title), plain(summary), *named, plain(visual), plain(ocr), *listed))
+
+
+def indexed_document(filename: Column, category: Column, summary: Column, entities: Column, ocr: Column) -> Column:
+    """The indexer's layout: five named lines, there or not."""
+    parts = {"Filename": filename, "Category": category, "Summary": summary, "Entities": F.array_join(entities, ", "), "Visible text": ocr}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.coalesce(c, F.lit(""))) for n, c in parts.items()])
+
+
+def plain_document(*parts: Column) -> Column:
+    """The upload's layout: lines of the texts and of the lists, joined by spaces, that are not empty."""
+    return F.concat_ws("\n", *[F.nullif(c, F.lit("")) for c in parts])
+
+
+def non_ocr_text(*fields: Column) -> Column:
+    """What a memory says beside its read text: the fields that are not blank, joined by spaces."""
+    return F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in fields])
+
+
+def captured_at(given: Column, other: Column, pattern: str = "yyyy:MM:dd HH:mm:ss") -> Column:
+    """A camera's time stamp; what is not one gives way to ``other``."""
+    return F.coalesce(F.try_to_timestamp(given, F.lit(pattern)), other)
+
+
 def flatten_json(json: Column) -> Column:
     """Keys and scalar values of any JSON as text."""
     return T.collapse(F.regexp_replace(json, r'[{}\[\]",:]+', " "))

@@ -101,12 +101,12 @@ def relevance_gate() -> Column:
 def field_hits(queries: DataFrame, memories: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(query_id, memory_id, hits_<field>...): how many of a query's tokens stand in each field, for pairs that share any.
 
-    Fields' tokens meet the queries' in a broadcast join and are counted: no pair is scored by reading its texts.
+    Fields' tokens meet the queries' in a join, a broadcast one below Spark's threshold, and are counted: no pair is scored by reading its texts.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct("q_tokens")).alias("token"))
     lists = F.array(*[F.struct(F.lit(n).alias("field"), F.array_distinct(tokenize_doc(c)).alias("tokens")) for n, c in fields.items()])
     tokens = memories.select("memory_id", F.explode(lists).alias("x")).select("memory_id", "x.field", F.explode("x.tokens").alias("token"))
-    met = tokens.join(F.broadcast(wanted), "token")
+    met = tokens.join(wanted, "token")
     return met.groupBy("query_id", "memory_id").agg(*[F.count_if(F.col("field") == n).alias(f"hits_{n}") for n in fields])
 
 

@@ -1,6 +1,7 @@
 """Retrieval and whole searches: many queries against many memories.
 
-Queries are the small side; memories are met through token equi-joins, never in an unbounded product.
+Queries are the small side; memories are met through token equi-joins, never in an unbounded product.  No side is marked for
+broadcast: Spark sends one out if it is below its threshold, as planned or as measured when its stage has run.
 """
 
 from __future__ import annotations
@@ -8,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import meaningful_tokens, normalize, tokenize_doc, tokenize_query
+from ..functions.text import DOC_TOKEN, meaningful_tokens, normalize, tokenize_doc, tokenize_query
 from . import filters, joins, scoring, windows
 from .vectors import knn, retrieval_k
 
+# Characters of the read text that an assistant is given.
+OCR_CHARS = 2200
+
 # Words that queries use in other languages and scripts, and what they stand for.
 TRANSLATIONS = {
     "நேற்று": "yesterday", "நேத்து": "yesterday", "நேற்றைய": "yesterday", "இன்று": "today", "இன்னைக்கு": "today", "வெளியே": "outside", "வெளிய": "outside", "சாப்பாடு": "food", "உணவு": "food",
@@ -70,13 +74,13 @@ def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5, wri
     """
     tokens = queries.select("query_id", F.array_distinct("q_tokens").alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     if not written:
-        counted = index.join(F.broadcast(tokens), "token").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
+        counted = index.join(tokens, "token").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
         return counted.select("query_id", "memory_id", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
-    frequency = index.join(F.broadcast(tokens.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    frequency = index.join(tokens.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(frequency, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
     probes = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
-    met = index.join(F.broadcast(tokens), "token")
-    candidates = index.join(F.broadcast(probes.select("query_id", "token")), "token").select("query_id", "memory_id").distinct()
+    met = index.join(tokens, "token")
+    candidates = index.join(probes.select("query_id", "token"), "token").select("query_id", "memory_id").distinct()
     counted = met.join(candidates, ["query_id", "memory_id"], "left_semi").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
     return counted.select("query_id", "memory_id", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
 
@@ -91,10 +95,10 @@ def trigram_candidates(queries: DataFrame, memories: DataFrame, text: str) -> Da
 
     q = grams(queries, "query_id", F.col("q_norm"))
     wanted = q.select("gram").distinct()
-    index = grams(memories, "memory_id", normalize(F.col(text))).join(F.broadcast(wanted), "gram")
+    index = grams(memories, "memory_id", normalize(F.col(text))).join(wanted, "gram")
     frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rarest = q.join(frequency, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
-    return index.join(F.broadcast(rarest), "gram").select("query_id", "memory_id")
+    return index.join(rarest, "gram").select("query_id", "memory_id")
 
 
 def search(queries: DataFrame, memories: DataFrame, visual: DataFrame, semantic: DataFrame, feedback: DataFrame, limit: int = 10) -> DataFrame:
@@ -115,8 +119,8 @@ def search(queries: DataFrame, memories: DataFrame, visual: DataFrame, semantic:
     pairs = pairs.join(hits, ["query_id", "memory_id"], "left").na.fill(0, [f"hits_{n}" for n in fields])
     sims = joins.merge_candidates(visual, semantic).withColumnsRenamed({"semantic_score": "visual", "keyword_score": "semantic"})
     pairs = pairs.join(sims, ["query_id", "memory_id"], "left").na.fill(0.0, ["visual", "semantic"])
-    pairs = pairs.join(F.broadcast(floors), "query_id", "left").na.fill(999.0, ["visual_floor", "semantic_floor"])
-    pairs = pairs.join(F.broadcast(queries), "query_id").join(m.drop("concept_text").withColumnRenamed("concept_norm", "concept_text"), "memory_id")
+    pairs = pairs.join(floors, "query_id", "left").na.fill(999.0, ["visual_floor", "semantic_floor"])
+    pairs = pairs.join(queries, "query_id").join(m.drop("concept_text").withColumnRenamed("concept_norm", "concept_text"), "memory_id")
     dated = F.col("date_from_s").isNotNull()
     inside = filters.in_date_window([F.col("captured_s"), F.col("created_s"), F.col("indexed_s")], F.col("date_from_s"), F.col("date_to_s"))
     pairs = pairs.where(~dated | inside).withColumn("query_norm", F.col("q_norm"))
@@ -134,7 +138,7 @@ def search_hybrid(queries: DataFrame, memories: DataFrame, semantic: DataFrame,
     merged = joins.attach_memory(joins.merge_candidates(near, lexical), memories)
     scored = windows.rank_results(merged.withColumn("score", scoring.hybrid_score(F.col("semantic_score"), F.col("keyword_score"))), top_k)
     text = F.lower(F.concat_ws(" ", "title", "category", "intent", "ocr_text"))
-    known = scored.join(F.broadcast(queries.select("query_id", tokenize_query(F.col("query_text")).alias("terms"))), "query_id").join(memories.select("memory_id", "ocr_text"), "memory_id", "left")
+    known = scored.join(queries.select("query_id", tokenize_query(F.col("query_text")).alias("terms")), "query_id").join(memories.select("memory_id", "ocr_text"), "memory_id", "left")
     terms = F.filter("terms", lambda t: F.contains(text, t))
     reason = scoring.explain_hybrid(F.col("semantic_score"), F.lit(0.0), terms, F.array().cast("array<string>"))
     return known.select("query_id", "memory_id", "title", "score", "rank", reason.alias("reason"))
@@ -145,7 +149,7 @@ def rerank(queries: DataFrame, candidates: DataFrame, memories: DataFrame, now:
     from ..functions.text import tokenize_rerank
 
     few = windows.top_per_key(candidates, "query_id", most, F.desc("semantic"), F.col("memory_id")).drop("rank")
-    pairs = few.join(F.broadcast(queries.select("query_id", normalize(F.col("query_text")).alias("q"), tokenize_rerank(F.col("query_text")).alias("t"))), "query_id").join(memories, "memory_id")
+    pairs = few.join(queries.select("query_id", normalize(F.col("query_text")).alias("q"), tokenize_rerank(F.col("query_text")).alias("t")), "query_id").join(memories, "memory_id")
     text = normalize(F.concat_ws(" ", "title", "summary", "ocr_text", "category", "subcategory", "intent"))
     meta = F.concat_ws(" ", "category", "subcategory", "intent")
     parts = {
@@ -164,36 +168,59 @@ def search_owner(queries: DataFrame, memories: DataFrame, vectors: DataFrame, mo
 
     queries: query_id, user_id, term, vec.  The owner is an equi-join key, so each owner's rows meet its queries only.
     """
-    from .vectors import knn_columns
-
-    near = knn_columns(queries.select("query_id", "user_id", "vec"), vectors, most, distance=True, by=["user_id"]).select("query_id", F.col("vec_id").alias("memory_id"), F.col("score").alias("distance"))
+    near = knn(queries.select("query_id", "user_id", "vec"), vectors, most, distance=True, by=["user_id"]).select("query_id", F.col("vec_id").alias("memory_id"), F.col("score").alias("distance"))
     q = queries.select("query_id", "user_id", "term")
     ready = memories.where(F.col("status").isin("ready", "partial"))
     hit = F.ilike(F.col("ocr_text"), F.concat(F.lit("%"), F.col("term"), F.lit("%"))) | F.ilike(F.col("filename"), F.concat(F.lit("%"), F.col("term"), F.lit("%")))
-    lexical = ready.join(F.broadcast(q), "user_id").where(hit).select("query_id", "memory_id", F.lit(None).cast("double").alias("distance"))
+    lexical = ready.join(q, "user_id").where(hit).select("query_id", "memory_id", F.lit(None).cast("double").alias("distance"))
     both = near.unionByName(lexical).groupBy("query_id", "memory_id").agg(F.coalesce(F.min("distance"), F.lit(2.0)).alias("distance"))
-    rows = both.join(memories.select("memory_id", "created_s", "filename", "ocr_text"), "memory_id").join(F.broadcast(q.select("query_id", "term")), "query_id")
+    rows = both.join(memories.select("memory_id", "created_s", "filename", "ocr_text"), "memory_id").join(q.select("query_id", "term"), "query_id")
     top = windows.top_per_key(rows, "query_id", most, F.col("distance"), F.desc("created_s"), F.col("memory_id"))
     why = scoring.why_matched(F.col("distance"), F.contains(F.lower("ocr_text"), F.lower("term")), F.lit(False), F.contains(F.lower("filename"), F.lower("term")))
     return top.select("query_id", "memory_id", F.round("distance", 6).alias("distance"), "rank", F.array_join(why, ",").alias("why"))
 
 
+def substring_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word): the words that contain each token of two or more characters.
+
+    A word that contains a token has the token's head at some place, so both meet by heads of two and of three characters.
+    """
+    two = lambda i: F.concat(F.get("c", i), F.get("c", i + 1))
+    heads = F.flatten(F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.array(two(i), F.concat(two(i), F.get("c", i + 2)))))
+    placed = words.where(F.length("word") >= 2).select("word", F.split("word", "").alias("c")).select("word", F.explode(F.array_distinct(heads)).alias("head"))
+    return tokens.select("token", F.substring("token", 1, 3).alias("head")).join(placed, "head").where(F.contains("word", F.col("token"))).select("token", "word")
+
+
 def fast_lookup(queries: DataFrame, memories: DataFrame, most: int = 4) -> DataFrame:
-    """Substring hits of a message's tokens: (query_id, memory_id, score).  The messages are few; texts are read once."""
+    """Substring hits of a message's tokens: (query_id, memory_id, score, rank).
+
+    A token that stands in a text stands inside one of its words, so tokens meet the distinct words of all texts, those words
+    their texts, and pairs are counted; a text is read again only where all tokens of a message are in it, for the phrase.
+    """
     text = F.lower(F.concat_ws(" ", "filename", "category", "summary", "ocr_text"))
-    pairs = memories.select("memory_id", text.alias("text")).join(F.broadcast(queries.select("query_id", meaningful_tokens(F.col("query_text")).alias("t")).where(F.size("t") > 0)))
-    hits = F.filter("t", lambda x: F.contains(F.col("text"), x))
-    pairs = pairs.select("query_id", "memory_id", "t", hits.alias("h"), F.contains("text", F.array_join("t", " ")).alias("phrase")).where(F.size("h") > 0)
-    ratio = F.size("h") / F.size("t")
-    points = ratio * 6 + F.aggregate("h", F.lit(0), lambda a, x: a + F.when(F.length(x) >= 5, 3).otherwise(2)) + F.when(F.col("phrase"), 8).otherwise(0)
-    kept = pairs.where((ratio >= 0.5) | (F.size("t") == 1)).select("query_id", "memory_id", F.round(points, 6).alias("score"))
+    asked = queries.select("query_id", meaningful_tokens(F.col("query_text")).alias("t")).where(F.size("t") > 0)
+    tokens = asked.select("query_id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("query_id", "n", "token").agg(F.count(F.lit(1)).alias("times"))
+    words = memories.select("memory_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(DOC_TOKEN), F.lit(0)))).alias("word"))
+    met = substring_words(tokens.select("token").distinct(), words.select("word").distinct())
+    hits = words.join(met, "word").select("memory_id", "token").distinct().join(tokens, "token")
+    points = F.col("times") * F.when(F.length("token") >= 5, 3).otherwise(2)
+    pairs = hits.groupBy("query_id", "memory_id", "n").agg(F.sum("times").alias("h"), F.sum(points).alias("points")).where((F.col("h") >= F.col("n") * 0.5) | (F.col("n") == 1))
+    phrase = pairs.where("h = n").select("query_id", "memory_id").join(asked.select("query_id", F.array_join("t", " ").alias("whole")), "query_id")
+    phrase = phrase.join(memories.select("memory_id", text.alias("text")), "memory_id").where(F.contains("text", F.col("whole"))).select("query_id", "memory_id", F.lit(8).alias("bonus"))
+    score = F.col("h") / F.col("n") * 6 + F.col("points") + F.coalesce("bonus", F.lit(0))
+    kept = pairs.join(phrase, ["query_id", "memory_id"], "left").select("query_id", "memory_id", F.round(score, 6).alias("score"))
     return windows.top_per_key(kept, "query_id", most, F.desc("score"), F.desc("memory_id"))
 
 
+def context_block(**parts: Column) -> Column:
+    """The lines of one memory that an assistant reads: each part that is there, with its name."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), c) for name, c in parts.items()])
+
+
 def retrieve_context(queries: DataFrame, memories: DataFrame, turns: DataFrame | None = None, most: int = 4) -> DataFrame:
     """What an assistant reads for each message: the blocks of its memories, best first, and the last turns."""
     found = fast_lookup(queries, memories, most)
-    block = F.concat_ws("\n", F.concat(F.lit("title: "), F.col("title")), F.concat(F.lit("category: "), F.nullif(F.trim("category"), F.lit(""))), F.concat(F.lit("summary: "), F.col("summary")), F.concat(F.lit("ocr: "), F.substring("ocr_text", 1, 2200)))
+    block = context_block(title=F.col("title"), category=F.nullif(F.trim("category"), F.lit("")), summary=F.col("summary"), ocr=F.substring("ocr_text", 1, OCR_CHARS))
     blocks = found.join(memories.select("memory_id", block.alias("block")), "memory_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("b"))
     context = queries.join(blocks, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit("")).alias("context"))
     if turns is None:
@@ -203,6 +230,6 @@ def retrieve_context(queries: DataFrame, memories: DataFrame, turns: DataFrame |
 
 def related(vectors: DataFrame, ids: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     """The k nearest other memories of each of ``ids``."""
-    q = vectors.join(F.broadcast(ids.select(F.col("memory_id").alias("vec_id"))), "vec_id").select(F.col("vec_id").alias("query_id"), "vec")
+    q = vectors.join(ids.select(F.col("memory_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "vec")
     near = knn(q, vectors, k + 1).where("query_id <> vec_id")
     return windows.top_per_key(near.drop("rank"), "query_id", k, F.desc("score"), F.col("vec_id"))

@@ -164,3 +164,9 @@ def system_stats(memories: DataFrame, images: DataFrame, entities: DataFrame) ->
     i = images.agg(F.count(F.lit(1)).alias("images"), (F.count(F.lit(1)) - F.countDistinct("file_hash")).alias("duplicates"))
     e = entities.agg(F.count(F.lit(1)).alias("entities"))
     return m.join(i).join(e)  # three rows of one
+
+
+def starter_suggestions(memories: DataFrame, most: int = 8) -> DataFrame:
+    """(value): the first distinct suggestions, by doc_id, then the category before the words of the text."""
+    values = memories.where("trim(category) <> ''").select("doc_id", F.posexplode(F.concat(F.array(F.trim("category")), F.split("ocr_text", " "))).alias("pos", "value"))
+    return values.groupBy("value").agg(F.min(F.struct("doc_id", "pos")).alias("first")).orderBy("first").limit(most).select("value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import dot, is_valid_vector, norm
+from ..functions.numbers import is_valid_vector
 
 #: Queries in one matrix product, and most queries that are broadcast, under 20 MB of 1,024 floats.
 BLOCK, BROADCAST_QUERIES = 256, 4096
@@ -61,10 +61,14 @@ def _matrix(ids: pa.Array, lists: pa.Array, size: int | None = None) -> tuple[np
     return ids.filter(fits).to_numpy(zero_copy_only=False)[good], m[good]
 
 
-def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_score: float | None) -> Iterator[pa.RecordBatch]:
-    """The k nearest of ``m`` for each query, equal scores by id."""
+def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_score: float | None, distance: bool = False) -> Iterator[pa.RecordBatch]:
+    """The k nearest of ``m`` for each query, equal scores by id; as cosine distances of six digits, if asked for."""
+    if distance:
+        q, m = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (q, m))
     for a in range(0, len(q) if len(m) else 0, BLOCK):
         scores = q[a : a + BLOCK] @ m.T
+        if distance:
+            scores = -np.round(1 - scores, 6)
         last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
         if min_score is not None:
             last = np.maximum(last, min_score)
@@ -74,22 +78,22 @@ def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
         row, at, s = row[order], at[order], s[order]
         n = np.arange(len(row)) - np.searchsorted(row, row)
         keep = n < k
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + row[keep]]), pa.array(ids[at[keep]]), pa.array(s[keep])], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + row[keep]]), pa.array(ids[at[keep]]), pa.array(0.0 - s[keep] if distance else s[keep])], ["query_id", "vec_id", "score"])
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, size: int | None = None) -> DataFrame:
-    """Exact inner-product neighbours: (query_id, vec_id, score, rank).
+def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, size: int | None = None, distance: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Exact neighbours: (query_id, vec_id, score, rank) by inner product, or by cosine ``distance``, the smallest first.
 
     Up to BROADCAST_QUERIES queries go out to one scan of the vectors; each Arrow batch of vectors is a matrix product that
-    keeps k rows for each query, equal scores by id, and only those shuffle.  More queries are dealt into blocks and
-    vectors into shards, and each block meets each shard in a group of bounded size.  Vectors of another length or not finite
-    are left out.
+    keeps k rows for each query, equal scores by id, and only those shuffle.  More queries, or queries that meet the vectors
+    of their own ``by`` columns only (an owner, say), are dealt into blocks and vectors into shards, and each block meets
+    each shard in a group of bounded size.  Vectors of another length or not finite are left out.
     """
     schema = "query_id long, vec_id long, score double"
-    q = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"))
-    v = vectors.select(F.col("vec_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"))
-    first = q.limit(BROADCAST_QUERIES + 1).toArrow().combine_chunks()
-    if first.num_rows <= BROADCAST_QUERIES:
+    q = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), *by)
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), *[F.col(c).alias(c) for c in by])
+    first = None if by else q.limit(BROADCAST_QUERIES + 1).toArrow().combine_chunks()
+    if first is not None and first.num_rows <= BROADCAST_QUERIES:
         batch = first.to_batches()[0] if first.num_rows else None
         shared = vectors.sparkSession.sparkContext.broadcast(_matrix(batch.column(0), batch.column(1), size) if batch else (np.zeros(0, np.int64), np.zeros((0, 1))))
 
@@ -97,37 +101,28 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
             ids, m = shared.value
             for batch in batches:
                 if len(ids):
-                    yield from _nearest(ids, m, *_matrix(batch.column(0), batch.column(1), m.shape[1]), k, min_score)
+                    yield from _nearest(ids, m, *_matrix(batch.column(0), batch.column(1), m.shape[1]), k, min_score, distance)
 
         found = v.mapInArrow(scan, schema)
     else:
-        blocks, shards = -(-q.count() // BLOCK), max(1, v.count() // SHARD)
+        blocks, shards = max(1, -(-q.count() // BLOCK)), max(1, v.count() // SHARD)
         left = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        right = v.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        # a vector goes to the blocks in which its owner has queries, or to all of them
+        wanted = left.select(F.col("__b").alias("__o"), *[F.col(c).alias(c) for c in by]).distinct() if by else None
+        right = v.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+        right = right.join(wanted, list(by)).withColumnRenamed("__o", "__b") if by else right.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        keys = ["__b", "__s", *by]
 
         def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
             sides = [_matrix(t.column(i).combine_chunks(), t.column("vec").combine_chunks(), size) for t, i in ((a, "query_id"), (b, "vec_id"))] if a.num_rows and b.num_rows else None
-            found = list(_nearest(*sides[0], *sides[1], k, min_score)) if sides else []
+            found = list(_nearest(*sides[0], *sides[1], k, min_score, distance)) if sides else []
             return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-        found = left.groupBy("__b", "__s").cogroup(right.groupBy("__b", "__s")).applyInArrow(meet, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
+    w = Window.partitionBy("query_id").orderBy(F.col("score") if distance else F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn_columns(queries: DataFrame, vectors: DataFrame, k: int, distance: bool = False, by: list[str] | None = None) -> DataFrame:
-    """The same in column expressions: for small stores, owners (``by``) and cosine distance."""
-    q = queries.select("query_id", F.col("vec").alias("__q"), *[F.col(c).alias(f"__{c}") for c in by or []])
-    on = [F.col(c) == F.col(f"__{c}") for c in by or []] or None
-    pairs = vectors.join(F.broadcast(q), on) if on else vectors.join(F.broadcast(q))
-    score = dot(F.col("vec"), F.col("__q"))
-    if distance:
-        score = 1 - score / (norm(F.col("vec")) * norm(F.col("__q")))
-    scored = pairs.select("query_id", "vec_id", F.round(score, 6).alias("score"))
-    order = [F.col("score") if distance else F.desc("score"), F.col("vec_id")]
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
-
-
 def retrieval_k(top_k: int) -> int:
     return min(3 * top_k, 100)
 

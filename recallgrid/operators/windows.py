@@ -100,3 +100,13 @@ def sort_entities(entities: Column) -> Column:
     """By confidence, highest first, then type and normalized form."""
     keyed = F.transform(entities, lambda e: F.struct((-e["confidence"]).alias("c"), e["type"].alias("t"), e["normalized"].alias("n")))
     return F.array_sort(keyed)
+
+
+def order_hybrid(candidates: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` candidates: nearest first, those without a distance at 2.0, then the newest."""
+    return candidates.withColumn("distance", F.coalesce("distance", F.lit(2.0))).orderBy("distance", F.desc("created_s"), "memory_id").limit(most)
+
+
+def top_signals(signals: DataFrame, key: str, value: str, most: int = 50) -> DataFrame:
+    """Each key's ``most`` strongest signals."""
+    return top_per_key(signals, key, most, F.desc(value))

@@ -22,11 +22,16 @@ def shared(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Memories in one JSON object of an index.
+OBJECT_ROWS = 5_000
+
+
 @book.add("s1_read_memory_index", oracle("SELECT memory_id, title, importance FROM mem"))
 def s1(spark, d):
     # one JSON object a file, as many files as tasks: an object keyed by id, written by an aggregation of each shard
     path = shared(spark, "index")
-    m = memories(spark, d).select("memory_id", F.struct("title", "importance").alias("m"), F.pmod(F.col("doc_id"), F.lit(16)).alias("shard"))
+    shards = -(-memories(spark, d).count() // OBJECT_ROWS)
+    m = memories(spark, d).select("memory_id", F.struct("title", "importance").alias("m"), F.pmod(F.col("doc_id"), F.lit(max(1, shards))).alias("shard"))
     objects = m.groupBy("shard").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("memory_id", "m")))).alias("value"))
     objects.write.partitionBy("shard").text(path)
     return S.read_memory_index(spark, path).select("memory_id", "title", "importance")
@@ -36,7 +41,7 @@ def s1(spark, d):
 def s2(spark, d):
     path = shared(spark, "records")
     memories(spark, d).select("memory_id", "title").write.json(path)
-    return spark.read.schema("memory_id string, title string").json(path)
+    return S.read_record_lines(spark, path, "memory_id string, title string")
 
 
 @book.add("s3_scan_files")
@@ -44,8 +49,7 @@ def s3(spark, d):
     """Listing of a folder of files that Spark has written, as of images."""
     path = shared(spark, "files")
     read(spark, d, "pages").select("html").repartition(8).write.text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    return files.select(F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return S.scan_images(spark, path, ["txt"], hashed=True).select("name", "extension", "size", "sha256", "duplicate")
 
 
 @book.add("s4_upsert", oracle("SELECT memory_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE title END AS title, status FROM mem UNION ALL SELECT 'x' || memory_id, 'new', NULL FROM mem WHERE doc_id % 50 = 0"))

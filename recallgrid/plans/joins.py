@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import token_intersection
 from ..operators import joins as O
 from ..schemas import memories, oracle, read
 from .book import Book
@@ -115,9 +116,8 @@ def x1(spark, d):
 
 @book.add("x2_token_intersection", "SELECT doc_id, len(list_intersect(regexp_extract_all(lower(text), '[a-z0-9]+'), regexp_extract_all(lower('The license of that and the event is public'), '[a-z0-9]+'))) AS n FROM documents")
 def x2(spark, d):
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    query = F.regexp_extract_all(F.lower(F.lit("The license of that and the event is public")), F.lit("[a-z0-9]+"), F.lit(0))
-    return read(spark, d, "documents").select("doc_id", F.size(F.array_intersect(tokens, query)).cast("long").alias("n"))
+    common = token_intersection(F.lit("The license of that and the event is public"), F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(common).cast("long").alias("n"))
 
 
 @book.add("x3_merge_pages", "SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN 0 ELSE 1 END AS page FROM documents WHERE lang IN ('en', 'de') OR n_chars % 2 = 0")

@@ -69,10 +69,10 @@ def k1b(spark, d):
 
 @book.add("k2_knn_distance", f"""
     SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM (
-        SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) AS score FROM {VEC} a, {VEC} b WHERE a.vec_id % 50 = 0)) WHERE rank <= 5""")
+        SELECT a.vec_id AS query_id, b.vec_id, round(1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6) + 0.0 AS score FROM {VEC} a, {VEC} b WHERE a.vec_id % 50 = 0)) WHERE rank <= 5""")
 def k2(spark, d):
     v = unit_vectors(spark, d)
-    return V.knn_columns(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v, 5, distance=True)
+    return V.knn(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec"), v, 5, distance=True)
 
 
 @book.add("k3_approx_knn")
@@ -103,7 +103,7 @@ def j6(spark, d):
 def j7(spark, d):
     m = memories(spark, d)
     q = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("own"), F.slice(T.meaningful_tokens(F.col("ocr_text")), 1, 8).alias("q_tokens"))
-    found = S.lexical_scores(q, S.token_index(m), 0.5).join(F.broadcast(q.select("query_id", "own")), "query_id").where("memory_id <> own").drop("own")
+    found = S.lexical_scores(q, S.token_index(m), 0.5).join(q.select("query_id", "own"), "query_id").where("memory_id <> own").drop("own")
     from ..operators.windows import rank_results
 
     return rank_results(found, 5)

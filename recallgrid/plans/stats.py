@@ -165,8 +165,7 @@ def a23(spark, d):
     WITH v AS (SELECT doc_id, unnest(list_prepend(trim(category), string_split(ocr_text, ' '))) AS value, unnest(range(len(string_split(ocr_text, ' ')) + 1)) AS pos FROM mem WHERE trim(category) <> '')
     SELECT value FROM v GROUP BY value ORDER BY min(doc_id * 1000000 + pos) LIMIT 8"""))
 def a24(spark, d):
-    m = memories(spark, d).where("trim(category) <> ''").select("doc_id", F.posexplode(F.concat(F.array(F.trim("category")), F.split("ocr_text", " "))).alias("pos", "value"))
-    return m.groupBy("value").agg(F.min(F.struct("doc_id", "pos")).alias("first")).orderBy("first").limit(8).select("value")
+    return O.starter_suggestions(memories(spark, d))
 
 
 @book.add("a25_processing_summary", "SELECT count(*) AS total, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS indexed, count(*) FILTER (value > 10) AS ocr_ok, count(*) FILTER (value > 20) AS vision_ok, count(*) FILTER (value > 50) AS embedding_ok, round(sum(value), 2) AS total_ms, round(avg(value), 2) AS average_ms FROM events")

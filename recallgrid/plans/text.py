@@ -11,8 +11,9 @@ from ..functions import ids, numbers
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import documents as D
+from ..operators import labels as L
 from ..operators import rules
-from ..operators.search import TRANSLATIONS, translate_query
+from ..operators.search import OCR_CHARS, TRANSLATIONS, context_block, translate_query
 from ..schemas import memories, oracle, read
 from .book import Book
 
@@ -75,6 +76,25 @@ simple("c23_normalize_entity", lambda: C.normalize_entity(TXT("text")), S(r"""tr
 simple("c27_keywords_plain", lambda: F.size(T.keywords_plain(TXT("text"))).cast("long"), None)
 simple("c27_keywords_symbols", lambda: F.array_join(T.keywords_symbols(TXT("text")), "|"), None)
 simple("c27_keywords_split", lambda: F.array_join(T.keywords_split(TXT("text")), "|"), None)
+
+
+def labelled(name: str, normalize, services: dict, case) -> None:
+    """A query for each service: its labels, those of the others and unknown ones, over all documents, in other cases and spellings."""
+    words = sorted({w for aliases, known, *_ in services.values() for label, names in aliases.items() for w in (label, *names, *(known or []))} | {"no such label"})
+    spelled = [f" {w.replace('_', '-')} " if i % 3 == 0 else w.replace("-", "_").title() if i % 3 == 1 else w for i, w in enumerate(words)]
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    for service, (aliases, known, joint, replaced, other) in services.items():
+        x = f"{case(service)}(trim(regexp_replace([{quoted(spelled)}][doc_id % {len(spelled)} + 1], '\\s+', ' ', 'g')))"
+        for mark in replaced:
+            x = f"replace({x}, '{mark}', '{joint}')"
+        whens = " ".join(f"WHEN x IN ({quoted(names)}) THEN '{label}'" for label, names in aliases.items())
+        rest = f"CASE WHEN x IN ({quoted(known)}) THEN x ELSE {'NULL' if other is None else repr(other)} END" if known else "x"
+        simple(f"{name}_{service}", lambda service=service: normalize(F.element_at(F.array(*map(F.lit, spelled)), (F.col("doc_id") % len(spelled) + 1).cast("int")), service),
+               f"SELECT doc_id, CASE {whens} ELSE {rest} END AS value FROM (SELECT doc_id, {x} AS x FROM documents)")
+
+
+labelled("c28_normalize_category", L.normalize_category, L.CATEGORIES, lambda service: "lower")
+labelled("c29_normalize_intent", L.normalize_intent, L.INTENTS_OF, lambda service: "lower" if service == "parser" else "upper")
 simple("c28_normalize_category", lambda: C.normalize_label(F.when(F.col("doc_id") % 4 == 0, "Money ").when(F.col("doc_id") % 4 == 1, "FOOD").otherwise(F.col("source")), {"money": "finance", "coding": "technology"}, list(rules.CATEGORY_KEYWORDS)), S("CASE doc_id % 4 WHEN 0 THEN 'finance' WHEN 1 THEN 'food' ELSE 'other' END"))
 simple("c29_normalize_intent", lambda: F.upper(C.normalize_label(F.when(F.col("doc_id") % 3 == 0, "purchase").when(F.col("doc_id") % 3 == 1, "travel").otherwise("?"), {"purchase": "buy"}, [i.lower() for i in rules.INTENTS], "other")), S("CASE doc_id % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'TRAVEL' ELSE 'OTHER' END"))
 simple("c30_clamp", lambda: numbers.clamp(F.col("n_chars") / 1000 - 0.5), S("round(least(greatest(n_chars / 1000 - 0.5, 0), 1), 9)"))
@@ -85,11 +105,17 @@ simple("c32_generate_title", lambda: D.generate_title(F.when(F.col("doc_id") % 2
 simple("c33_summarize", lambda: D.summarize(TXT("source"), TXT("text")), S(r"upper(source[1]) || source[2:] || CASE WHEN l IS NOT NULL THEN ' screenshot: ' || substr(l, 1, 140) ELSE ' screenshot' END").replace("FROM documents", r"FROM (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 5)[1] AS l FROM documents)"))
 simple("c34_generate_tags", lambda: F.array_join(D.generate_tags(TXT("lang"), F.lit("Two Words"), F.lit(" "), TXT("lang")), "|"), S("lang || '|two_words'"))
 simple("c35_search_document", lambda: D.search_document(title=TXT("source"), category=F.lit(" "), ocr_text=TXT("text")), S("concat_ws(chr(10), 'Title: ' || source, 'Ocr Text: ' || nullif(trim(text), ''))"))
+simple("c35_embedding_text", lambda: D.embedding_text(TXT("source"), F.lit(""), TXT("lang"), F.array(F.struct(F.lit("LANG").alias("type"), F.col("lang").alias("text"))), F.array("lang", "source"), TXT("text")), S("'Title: ' || source || chr(10) || 'Intent: ' || lang || chr(10) || 'Entities: LANG: ' || lang || chr(10) || 'Tags: ' || lang || ', ' || source || CASE WHEN text = '' THEN '' ELSE chr(10) || 'Content: ' || text END"))
+simple("c35_search_text", lambda: F.sha2(D.search_text(TXT("source"), F.lit(None), {"category": TXT("lang"), "intent": F.lit("")}, F.lit(""), TXT("text"), {"people": F.array("lang"), "dates": F.array().cast("array<string>")}), 256), None)
+simple("c35_indexed_document", lambda: D.indexed_document(TXT("source"), F.lit(None), TXT("lang"), F.array("lang", "source"), TXT("text")), S("'Filename: ' || source || chr(10) || 'Category: ' || chr(10) || 'Summary: ' || lang || chr(10) || 'Entities: ' || lang || ', ' || source || chr(10) || 'Visible text: ' || text"))
+simple("c35_plain_document", lambda: D.plain_document(TXT("source"), F.lit(""), TXT("text")), S("concat_ws(chr(10), source, nullif(text, ''))"))
 simple("c36_flatten_json", lambda: D.flatten_json(F.to_json(F.struct("lang", "source"))), S("'lang ' || lang || ' source ' || source"))
-simple("c37_non_ocr_text", lambda: F.concat_ws(" ", "lang", "source"), S("lang || ' ' || source"))
-simple("c41_context_block", lambda: F.concat_ws("\n", F.concat(F.lit("source: "), "source"), F.concat(F.lit("ocr: "), F.substring("text", 1, 2200))), S("'source: ' || source || chr(10) || 'ocr: ' || substr(text, 1, 2200)"))
-simple("c45_captured_at", lambda: F.unix_timestamp(F.coalesce(F.try_to_timestamp(F.when(F.col("doc_id") % 2 == 0, F.lit("2024:02:03 04:05:06")).otherwise("bad"), F.lit("yyyy:MM:dd HH:mm:ss")), F.timestamp_millis(F.col("doc_id") * 1000))), S("CASE WHEN doc_id % 2 = 0 THEN 1706933106 ELSE doc_id END"))
+simple("c37_non_ocr_text", lambda: D.non_ocr_text(TXT("lang"), F.lit(" "), TXT("source")), S("lang || ' ' || source"))
+simple("c41_context_block", lambda: context_block(source=TXT("source"), ocr=F.substring("text", 1, OCR_CHARS)), S("'source: ' || source || chr(10) || 'ocr: ' || substr(text, 1, 2200)"))
+simple("c45_captured_at", lambda: F.unix_timestamp(D.captured_at(F.when(F.col("doc_id") % 2 == 0, F.lit("2024:02:03 04:05:06")).otherwise("bad"), F.timestamp_millis(F.col("doc_id") * 1000))), S("CASE WHEN doc_id % 2 = 0 THEN 1706933106 ELSE doc_id END"))
 simple("c46_sanitize_filename", lambda: ids.sanitize_filename(F.concat(F.lit("/a b/"), "text")), S(r"CASE WHEN f = '' THEN 'upload' ELSE f END").replace("FROM documents", r"FROM (SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(x[-1], '[^A-Za-z0-9._-]+', '_', 'g'), '_{2,}', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 180) AS f FROM (SELECT doc_id, regexp_split_to_array('/a b/' || text, '[/\\]') AS x FROM documents))"))
+simple("c46_display_filename", lambda: ids.display_filename(F.concat(F.lit("..\\\\My  shot (1)"), F.substring(F.replace("text", F.lit("/"), F.lit("-")), 1, 250), F.lit(".PnG"))), None)
+simple("c46_storage_name", lambda: ids.storage_name(TXT("text")), S("CASE WHEN text = '' THEN 'image' ELSE substr(regexp_replace(text, '[^\\p{L}\\p{N}._-]', '_', 'g'), 1, 180) END"))
 simple("c46_extension", lambda: ids.extension(F.concat("source", F.lit(".PnG"))), S("'.png'"))
 simple("c49_validate_id", lambda: ids.is_valid_id(TXT("text")), S("regexp_full_match(text, '[A-Za-z0-9_.:-]+')"))
 simple("c50_join_parts", lambda: ids.join_parts(" / ", TXT("lang"), F.lit("  "), TXT("source")), S("lang || ' / ' || source"))
@@ -98,7 +124,7 @@ simple("c52_vision_confidence", lambda: D.vision_confidence(F.col("doc_id") % 2
 simple("r2_classify_simple", lambda: C.classify_simple(TXT("text")), None, source=rich)
 simple("r3_classify_fallback", lambda: C.classify_fallback(F.when(F.col("doc_id") % 3 == 0, "Travel").otherwise("x"), TXT("text")), R("CASE WHEN doc_id % 3 = 0 THEN 'travel' ELSE 'receipt' END"), source=rich)
 simple("c25_entity_text", lambda: C.entity_text(C.dictionary_entities(TXT("text"))), None, source=rich)
-simple("c26_build_entities", lambda: F.array_join(F.transform(F.array_distinct(F.array("lang", "lang", "source")), lambda x: F.concat(F.lit("GENERIC:"), x)), "|"), S("'GENERIC:' || lang || '|GENERIC:' || source"))
+simple("c26_build_entities", lambda: F.array_join(F.transform(C.build_entities({"LANG": F.array("lang", F.lit(" "), "lang"), "SOURCE": F.array("source", F.lit(None))}), lambda e: F.concat(e["type"], F.lit(":"), e["text"])), "|"), S("'LANG:' || lang || '|SOURCE:' || source"))
 
 
 @book.add("a15_text_statistics", r"""SELECT doc_id, length(text) AS characters, length(regexp_replace(text, '\s+', '', 'g')) AS characters_no_spaces, len(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS lines,

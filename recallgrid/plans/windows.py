@@ -100,8 +100,8 @@ def k5b(spark, d):
 
 @book.add("k6_order_hybrid", oracle("SELECT memory_id, distance FROM (SELECT memory_id, created_s, coalesce(CASE WHEN doc_id % 4 = 0 THEN confidence END, 2.0) AS distance FROM mem) ORDER BY distance, created_s DESC, memory_id LIMIT 15"))
 def k6(spark, d):
-    m = memories(spark, d).select("memory_id", "created_s", F.coalesce(F.when(F.col("doc_id") % 4 == 0, F.col("confidence")), F.lit(2.0)).alias("distance"))
-    return m.orderBy("distance", F.desc("created_s"), "memory_id").limit(15).select("memory_id", "distance")
+    m = memories(spark, d).select("memory_id", "created_s", F.when(F.col("doc_id") % 4 == 0, F.col("confidence")).alias("distance"))
+    return O.order_hybrid(m, 15).select("memory_id", "distance")
 
 
 @book.add("k8_sort_entities", "SELECT user_id, string_agg(event_type || round(value)::BIGINT, ',' ORDER BY round(value)::BIGINT DESC, event_type, CAST(event_id AS STRING)) AS entities FROM events GROUP BY 1")
@@ -112,5 +112,5 @@ def k8(spark, d):
 
 @book.add("k9_top_signals", "SELECT user_id, round(sum(value), 6) AS total, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS k FROM events) WHERE k <= 10 GROUP BY 1")
 def k9(spark, d):
-    e = read(spark, d, "events").groupBy("user_id").agg(F.slice(F.sort_array(F.collect_list("value"), False), 1, 10).alias("v"))
-    return e.select("user_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("v").cast("long").alias("n"))
+    e = O.top_signals(read(spark, d, "events").select("user_id", "value"), "user_id", "value", 10)
+    return e.groupBy("user_id").agg(F.round(F.sum("value"), 6).alias("total"), F.count(F.lit(1)).alias("n"))

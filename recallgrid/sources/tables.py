@@ -28,11 +28,23 @@ def read_record_dir(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where("_corrupt_record is null").where(F.coalesce(*[F.col(n).cast("string") for n in names]).isNotNull()).select(*names)
 
 
+def read_record_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same of files with one object a line, which Spark splits."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
 def scan_images(spark: SparkSession, path: str, extensions: Sequence[str] = IMAGE_EXTENSIONS, hashed: bool = False) -> DataFrame:
-    """(path, modified, size[, sha256]) of all images under a folder; contents are read only for hashes."""
+    """(path, name, extension, modified, size[, sha256, duplicate]) of all images under a folder; contents are read only for hashes.
+
+    A file is a duplicate if one with an earlier path has its hash.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join([*extensions, *(e.upper() for e in extensions)]) + "}").load(path)
-    more = [F.sha2("content", 256).alias("sha256")] if hashed else []
-    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *more)
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = files.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.[^.]+$", 0)).alias("extension"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), *([F.sha2("content", 256).alias("sha256")] if hashed else []))
+    if not hashed:
+        return listed
+    first = listed.groupBy("sha256").agg(F.min("path").alias("__first"))
+    return listed.join(first, "sha256").withColumn("duplicate", F.col("path") > F.col("__first")).drop("__first")
 
 
 def read_table(spark: SparkSession, where: str, owner: str | None = None, **jdbc: str) -> DataFrame:

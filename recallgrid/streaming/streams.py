@@ -5,13 +5,14 @@ Each is a Structured Streaming query whose ``availableNow`` result equals the ba
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
 from ..sources.tables import backoff_s
 
@@ -50,58 +51,53 @@ def job_state(events: DataFrame, now: int, most_attempts: int = 5, lease_s: int
     return last.withColumn("status", status).select("job_id", "attempts", "status", F.when(F.col("status") == "retrying", F.when(F.col("last") == "fail", wait).otherwise(F.lit(now))).alias("next_attempt"))
 
 
-class RateLimiter(StatefulProcessor):
-    """Accepts a request while fewer than ``limit`` were accepted for its key in the trailing window."""
-
-    def __init__(self, limit: int = 60, seconds: int = 60):
-        self.limit, self.seconds = limit, seconds
+def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
+    """(client, area, request_id, accepted) of a stream of requests (client string, area string, request_id, at in seconds).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", StructType([StructField("at", LongType())]))
+    A request is accepted while fewer than ``limit`` were for its key in the trailing window.  The state of a key is the
+    accepted times of one window, at most ``limit`` numbers; a micro-batch takes its requests in order of time.
+    """
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        times = [r[0] for r in self.accepted.get()]
-        for batch in rows:
-            batch = batch.sort_values(["at", "request_id"])
-            out = []
-            for at in batch["at"]:
-                times = [t for t in times if t > at - self.seconds]
-                out.append(len(times) < self.limit)
-                if out[-1]:
-                    times.append(int(at))
-            yield pd.DataFrame({"client": key[0], "area": key[1], "request_id": batch["request_id"], "accepted": out})
-        self.accepted.put([(t,) for t in times])
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = deque(state.get[0] if state.exists else [])
+        batch = pd.concat(list(batches)).sort_values(["at", "request_id"])
+        out = []
+        for at in batch["at"]:
+            while times and times[0] <= at - seconds:
+                times.popleft()
+            out.append(len(times) < limit)
+            if out[-1]:
+                times.append(int(at))
+        state.update((list(times),))
+        yield batch[["client", "area", "request_id"]].assign(accepted=out)
 
-    def close(self) -> None:
-        pass
+    given = requests.select("client", "area", "request_id", "at")
+    return given.groupBy("client", "area").applyInPandasWithState(run, "client string, area string, request_id long, accepted boolean", "times array<long>", "append", "NoTimeout")
 
 
-def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """(client, area, request_id, accepted) of requests (client string, area string, request_id, at in seconds), batch or stream.
+def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
+    """The same for a table: Spark sorts each key's requests by time, spilling, and a task reads them a batch at a time.
 
-    The state of a key is its accepted times of one window, so at most ``limit`` numbers.
+    Whether a request is accepted depends on all before it, so a key is one task's; what the task holds is one batch and the
+    accepted times of one window.
     """
-    return requests.groupBy("client", "area").transformWithStateInPandas(RateLimiter(limit, seconds), "client string, area string, request_id long, accepted boolean", "append", "None")
-
 
-def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """The same for a table: each key's requests in order of time pass through one task, sorted by Spark, a batch at a time."""
-
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        times: list[int] = []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, times = None, deque()
         for batch in batches:
             out = []
-            for at in batch["at"]:
-                times = [t for t in times if t > at - seconds]
+            for client, area, at in zip(batch["client"], batch["area"], batch["at"]):
+                if (client, area) != key:
+                    key, times = (client, area), deque()
+                while times and times[0] <= at - seconds:
+                    times.popleft()
                 out.append(len(times) < limit)
                 if out[-1]:
                     times.append(int(at))
-            yield pd.DataFrame({"client": batch["client"], "area": batch["area"], "request_id": batch["request_id"], "accepted": out})
-
-    def group(batch: pd.DataFrame) -> pd.DataFrame:
-        return next(run(None, iter([batch.sort_values(["at", "request_id"])])))
+            yield batch[["client", "area", "request_id"]].assign(accepted=out)
 
-    return requests.groupBy("client", "area").applyInPandas(group, "client string, area string, request_id long, accepted boolean")
+    rows = requests.select("client", "area", "request_id", "at").repartition("client", "area").sortWithinPartitions("client", "area", "at", "request_id")
+    return rows.mapInPandas(run, "client string, area string, request_id long, accepted boolean")
 
 
 def heartbeat_health(beats: DataFrame, now: int, stale_s: int) -> DataFrame:

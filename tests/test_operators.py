@@ -1,10 +1,11 @@
 """Formulas by hand, properties and edge rows of the reference's own operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recallgrid import registry
-from recallgrid.functions import numbers, text
+from recallgrid.functions import ids, numbers, text
 from recallgrid.operators import classify, documents, joins, scoring, search, stats, vectors, windows
 from recallgrid.sources import tables
 from recallgrid.streaming import streams
@@ -48,13 +49,22 @@ def test_vectors_that_are_not_valid(spark):
     assert {(r.vec_id, r.rank) for r in near.collect()} == {(1, 1), (2, 2)}
 
 
-def test_knn_paths_agree(spark, data):
+def test_knn_paths_agree(spark, data, monkeypatch):
     v = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     exact = {(r.query_id, r.rank, r.vec_id) for r in vectors.knn(q, v, 5).collect()}
-    assert exact == {(r.query_id, r.rank, r.vec_id) for r in vectors.knn_columns(q, v.repartition(7), 5).collect()}
-    found = {(r.query_id, r.vec_id) for r in vectors.approx_knn(q, v, 5, bucket=2.0, tables=8).collect()}
-    assert len(found & {(a, c) for a, _, c in exact}) / len(exact) > 0.7
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 1)
+    monkeypatch.setattr(vectors, "SHARD", 300)
+    assert exact == {(r.query_id, r.rank, r.vec_id) for r in vectors.knn(q, v.repartition(7), 5).collect()}
+    owner = (F.col("vec_id") % 3).alias("owner")
+    own = vectors.knn(q.select("*", (F.col("query_id") % 3).alias("owner")), v.select("*", owner), 5, distance=True, by=["owner"]).collect()
+    m = {r.vec_id: np.array(r.vec, np.float64) for r in v.collect()}
+    unit = {i: x / np.linalg.norm(x) for i, x in m.items()}
+    for qid in {r.query_id for r in own}:
+        want = sorted((round(float(1 - unit[qid] @ unit[i]), 6), i) for i in m if i % 3 == qid % 3)[:5]
+        assert [(abs(r.score), r.vec_id) for r in sorted(own, key=lambda r: r.rank) if r.query_id == qid] == [(abs(s), i) for s, i in want]
+    found = {(r.query_id, r.vec_id) for r in vectors.approx_knn(q, v, 5).collect()}
+    assert len(found & {(a, c) for a, _, c in exact}) / len(exact) >= 0.9
 
 
 def test_lexical_prefix_filter_loses_nothing(spark, data):
@@ -114,6 +124,31 @@ def test_rate_limit_accepts_only_so_many(spark):
     assert got == [True, True, True, False, False, True, True, True]
 
 
+def test_rate_limit_of_a_stream_equals_the_table(spark, tmp_path):
+    rows = [(f"c{i % 3}", "s", i, (i * 7) % 200) for i in range(300)]
+    df = spark.createDataFrame(rows, "client string, area string, request_id long, at long")
+    want = {(r.client, r.request_id, r.accepted) for r in streams.rate_limit_batch(df, limit=4, seconds=20).collect()}
+    df.write.parquet(str(tmp_path / "in"))
+    stream = streams.rate_limit(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), limit=4, seconds=20)
+    got = streams.run_to_table(stream, "limited", str(tmp_path / "state"), "append")
+    assert {(r.client, r.request_id, r.accepted) for r in got.collect()} == want
+    assert 0 < sum(a for *_, a in want) < 300
+
+
+def test_substring_lookup_loses_no_token(spark):
+    texts = [(1, "xxabcxx ab"), (2, "a b c"), (3, "cab-abc.d"), (4, "abd"), (5, "")]
+    words = spark.createDataFrame(texts, "memory_id long, t string").select(F.explode(F.regexp_extract_all("t", F.lit(text.DOC_TOKEN), F.lit(0))).alias("word")).distinct()
+    tokens = ["ab", "abc", "abc.d", "zz"]
+    got = {(r.token, r.word) for r in search.substring_words(spark.createDataFrame([(t,) for t in tokens], "token string"), words).collect()}
+    assert got == {(t, r.word) for t in tokens for r in words.collect() if t in r.word}
+
+
+def test_names_of_files(spark):
+    names = ["../../secret.txt", "My Screenshot (1).PNG", "a" * 200 + ".jpeg", "", None, "..", "a/b/"]
+    got = [r.n for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, c string").orderBy("i").select(ids.display_filename(F.col("c")).alias("n")).collect()]
+    assert got == ["secret.txt", "My_Screenshot_1_.PNG", "a" * 175 + ".jpeg", "unnamed_file", "unnamed_file", "unnamed_file", "b"]
+
+
 def test_jobs_back_off(spark):
     events = [(1, 100, 0, "queue"), (1, 110, 1, "claim"), (1, 120, 2, "fail"), (2, 100, 3, "claim"), (3, 100, 4, "done")]
     got = {r.job_id: (r.status, r.next_attempt) for r in streams.job_state(spark.createDataFrame(events, "job_id long, at long, o long, kind string"), 2000).collect()}

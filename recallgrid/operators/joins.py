@@ -16,11 +16,12 @@ from .filters import first_spelled
 def merge_candidates(semantic: DataFrame, keyword: DataFrame) -> DataFrame:
     """One row for each (query_id, memory_id) of either side: the side's highest score, or 0.
 
-    Both sides go into one aggregation: one shuffle instead of three.
+    Not a union: one of two sides that are partitioned alike counts as partitioned so too (Spark 4.1), even where adaptive
+    execution has merged the partitions of one side in another way, and an aggregation over it may then split a group.
     """
-    zero = F.lit(None).cast("double")
-    both = semantic.select("query_id", "memory_id", F.col("score").alias("s"), zero.alias("k")).unionByName(keyword.select("query_id", "memory_id", zero.alias("s"), F.col("score").alias("k")))
-    return both.groupBy("query_id", "memory_id").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("semantic_score"), F.coalesce(F.max("k"), F.lit(0.0)).alias("keyword_score"))
+    best = lambda df, name: df.groupBy("query_id", "memory_id").agg(F.max("score").alias(name))
+    both = best(semantic, "s").join(best(keyword, "k"), ["query_id", "memory_id"], "full_outer")
+    return both.select("query_id", "memory_id", F.coalesce("s", F.lit(0.0)).alias("semantic_score"), F.coalesce("k", F.lit(0.0)).alias("keyword_score"))
 
 
 def attach_memory(candidates: DataFrame, memories: DataFrame) -> DataFrame:
@@ -45,8 +46,9 @@ def attach_feedback(pairs: DataFrame, feedback: DataFrame, plus: float = 14.0, m
 
 def union_candidates(lexical: DataFrame, vector: DataFrame, far: float = 2.0) -> DataFrame:
     """One row for each id of either side with its least distance, or ``far``."""
-    rows = lexical.select("memory_id", F.lit(None).cast("double").alias("distance")).unionByName(vector.select("memory_id", "distance"))
-    return rows.groupBy("memory_id").agg(F.coalesce(F.min("distance"), F.lit(far)).alias("distance"))
+    near = vector.groupBy("memory_id").agg(F.min("distance").alias("distance"))
+    both = lexical.select("memory_id").distinct().join(near, "memory_id", "full_outer")
+    return both.select("memory_id", F.coalesce("distance", F.lit(far)).alias("distance"))
 
 
 def new_content(scan: DataFrame, seen: DataFrame, key: str = "sha256", order: str = "path") -> DataFrame:

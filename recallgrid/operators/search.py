@@ -107,7 +107,8 @@ def search(queries: DataFrame, memories: DataFrame, visual: DataFrame, semantic:
     queries: query_id, query_text, q_norm, q_tokens, date_from_s, date_to_s.  memories: memory_id, ocr_text, summary, title, filename,
     category, concept_text, and epochs.  visual, semantic: (query_id, memory_id, score).
     """
-    floors = windows.query_floors(visual.select("query_id", F.col("score").alias("visual"), F.lit(None).cast("double").alias("semantic")).unionByName(semantic.select("query_id", F.lit(None).cast("double").alias("visual"), F.col("score").alias("semantic"))))
+    best = lambda df, name: df.groupBy("query_id").agg(F.max("score").alias(name))
+    floors = windows.query_floors(best(visual, "visual").join(best(semantic, "semantic"), "query_id", "full_outer"))
     m = memories.withColumns({"concept_norm": normalize(F.col("concept_text")), "ocr": normalize(F.col("ocr_text"))})
     both = m.withColumn("all_text", F.concat_ws(" ", "ocr", "concept_norm"))
     # any accepted pair has a token in common, or the query as a substring, or a similarity over a floor

@@ -143,6 +143,18 @@ def test_substring_lookup_loses_no_token(spark):
     assert got == {(t, r.word) for t in tokens for r in words.collect() if t in r.word}
 
 
+def test_candidates_of_two_rankings_are_merged_once(spark, data):
+    v = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vec"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    named = lambda df: df.select("query_id", F.col("vec_id").cast("string").alias("memory_id"), "score")
+    near, wide = named(vectors.knn(q, v, 50)), named(vectors.knn(q, v, 120))
+    both = joins.merge_candidates(near, wide)
+    base = near.select("query_id", "memory_id").unionByName(wide.select("query_id", "memory_id")).repartition("query_id", "memory_id").distinct()
+    rows = base.join(both, ["query_id", "memory_id"], "left").collect()
+    assert len(rows) == len({(r.query_id, r.memory_id) for r in rows}) == wide.count()
+    assert sum(r.semantic_score != 0 for r in rows) == near.where("score <> 0").count()
+
+
 def test_names_of_files(spark):
     names = ["../../secret.txt", "My Screenshot (1).PNG", "a" * 200 + ".jpeg", "", None, "..", "a/b/"]
     got = [r.n for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, c string").orderBy("i").select(ids.display_filename(F.col("c")).alias("n")).collect()]

@@ -133,11 +133,17 @@ def normalize_entity(c: Column) -> Column:
 
 
 def pattern_entities(text: Column) -> Column:
-    """array<struct<type, text, normalized, confidence>> of all patterns, each text once a type."""
+    """array<struct<type, text, normalized, confidence>> of all patterns, each text once a type.
 
+    A pattern that needs a sign is not tried on texts without it.
+    """
+    has = lambda sign: F.contains(text, F.lit(sign))
+    needs = {"EMAIL": has("@"), "USERNAME": has("@"), "TIME": has(":"), "URL": has("://") | F.contains(F.lower(text), F.lit("www."))}
 
     def typed(kind: str, pattern: str, conf: float) -> Column:
         found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        if kind in needs:
+            found = F.when(~needs[kind], F.array().cast("array<string>")).otherwise(found)
         return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("text"), normalize_entity(x).alias("normalized"), F.lit(conf).alias("confidence")))
 
     return F.concat(*[typed(kind, p, conf) for kind, (p, conf) in ENTITY_PATTERNS.items()])
@@ -166,11 +172,20 @@ def parsed_entities(json: Column) -> Column:
 
 
 def extract_entities(df: DataFrame, key: str, text: str, json: str | None = None) -> DataFrame:
-    """(key, type, text, normalized, confidence): the best of each type and normalised form."""
+    """(key, type, text, normalized, confidence): the best of each row's types and normalised forms, the first of equal ones.
+
+    A row's entities are sorted within the row, so nothing shuffles; keys that repeat are rows of their own.
+    """
     lists = [pattern_entities(F.col(text)), dictionary_entities(F.col(text))] + ([parsed_entities(F.col(json))] if json else [])
-    rows = df.select(key, F.posexplode(F.concat(*lists)).alias("pos", "e")).select(key, "pos", "e.*").where("normalized <> ''")
-    best = F.max_by(F.struct("text", "confidence"), F.struct(F.col("confidence"), -F.col("pos"))).alias("b")
-    return rows.groupBy(key, "type", "normalized").agg(best).select(key, "type", "normalized", "b.text", "b.confidence")
+    ordered = F.array_sort(F.transform(F.concat(*lists), lambda e, i: F.struct(e["type"].alias("type"), e["normalized"].alias("normalized"), (-e["confidence"]).alias("less"), i.alias("pos"), e["text"].alias("text"))))
+    rows = df.select(key, ordered.alias("l"))
+
+    def first(e: Column, i: Column) -> Column:
+        before = F.get("l", i - 1)
+        return (i == 0) | (e["type"] != before["type"]) | (e["normalized"] != before["normalized"])
+
+    kept = rows.select(key, F.explode(F.filter("l", first)).alias("e")).where("e.normalized <> ''")
+    return kept.select(key, "e.type", "e.normalized", "e.text", (-F.col("e.less")).alias("confidence"))
 
 
 def entity_text(entities: Column) -> Column:

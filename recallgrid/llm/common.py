@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), as a Parquet table that goes when the driver's session ends.
+
+    A checkpoint keeps the size that the optimizer had estimated; over rounds of joins these estimates multiply to numbers of millions
+    of digits.  A table has its own size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def salted(rows: DataFrame, side: DataFrame, key: str, *by: str) -> DataFrame:
     """``rows`` joined with ``side``, which has one row a key: the rows of a key spread by columns ``by`` over SALTS tasks."""
     each = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -5,7 +5,7 @@ A text's fingerprint is the bitwise majority of the XXH64 hashes of its word shi
 within half the radius, variants shuffle, and fingerprints that meet are verified and linked.  All fingerprints of one
 variant are within the radius of each other; each is linked with the smallest of them, which loses no connection
 and makes no pairs within a group.  Components come from alternating star contractions over links, written to the
-checkpoint folder each round; texts and documents do not take part, only distinct fingerprints that have a link.
+shared folder each round; texts and documents do not take part, only distinct fingerprints that have a link.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; a text with fewer words than
 a shingle is one shingle; equal fingerprints are one group whatever its size; rows with one doc_id get one row each; a
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, release_memory, rounds, row_key, salted, small, table, text_or_empty
+from .common import cut, release_memory, rounds, row_key, salted, small, table, text_or_empty, written
 
 SHINGLE = 3
 SEED = 42
@@ -111,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
     stars.  Neighbourhoods are grouped by minima that combine before the shuffle and joined back with a salt, so no task
     holds one.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     before = None
     while True:
         # large star: each node hands its larger neighbours to the smallest of itself and its neighbours
@@ -121,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = salted(large, low, "b", "a").select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
-        edges = cut(small.unionAll(low.select(F.col("m").alias("a"), "b")).distinct())
+        edges = written(small.unionAll(low.select(F.col("m").alias("a"), "b")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses", "pii", "toxicity", "minhash", "whitening"]
+MODULES = ["fingerprints", "bpe", "packing", "simhash", "exact", "linedup", "chat", "licenses", "pii", "toxicity", "minhash", "whitening", "merkle"]
 
 
 def _all(kind: str) -> dict:

@@ -4,10 +4,10 @@ A document's set holds its distinct shingles of four words.  Texts whose sets ha
 linked, and each document gets the smallest doc_id that links reach.  Equal texts are one text from the start.
 
 * Every text has BANDS x ROWS minimum hashes.  Texts that agree in all hashes of a band share a bucket.
-* Of a bucket, each text is first compared with the text of the smallest hash (a star, so no group is paired in full).  Texts of a
-  bucket that are not in one component then are compared with each other: the bucket is dealt into blocks of PART by
-  PART texts, and of a block each text hands on its ``4 ** turn`` nearest ones.  Turns go on until no block has a pair that
-  is neither refuted nor inside one component, so no cap on partners loses a link.
+* Of a bucket, each text is first compared with the text of the smallest hash, then, where a bucket is not in one component yet, with one drawn
+  at random (stars, so no group is paired in full).  What then still lies in other components than most of its bucket is compared with all of
+  the bucket: a task gets PART by PART texts with their signatures and sets, and hands on links that join components, one for two components.
+  So no cap on partners loses a link.
 * A comparison reads the signatures, one byte a hash, in batches of BATCH.  After each batch the posterior probability that
   the similarity is 0.8 or more, from a uniform prior, must be MISS at least, or the pair is dropped.
 * Pairs that are left are held against the full sets of shingles.  A text meets its partners where the one with more
@@ -42,8 +42,8 @@ HASHES = BANDS * ROWS
 SEED = 42
 #: Hashes compared at once, and the posterior probability below which a pair is dropped.
 BATCH, MISS = 32, 1e-4
-#: Texts on a side of a block; partners of a text that lie in one group of exact comparisons.
-PART, CHUNK = 1024, 64
+#: Texts on a side of a block; partners of a text that lie in one group of exact comparisons; turns of stars with drawn leaders.
+PART, CHUNK, STARS = 512, 64, 1
 #: Shingles hashed at once.
 BLOCK = 1 << 16
 
@@ -224,45 +224,90 @@ def _labelled(rows: DataFrame, label: DataFrame | None, *names: str) -> DataFram
     return rows
 
 
-def _block(wanted: int, table: pa.Table) -> pa.Table:
-    """Of one block, for each text its ``wanted`` nearest ones that are in other components and not refuted."""
-    schema = pa.schema([("s", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    refuted = table.filter(pa.compute.is_valid(table.column("other")))
-    rows = table.filter(pa.compute.is_null(table.column("other"))).sort_by("t")
-    t, label, p = (rows.column(c).to_numpy() for c in ("t", "lt", "p"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    x, y = np.flatnonzero(p == i), np.flatnonzero(p == j)
-    sig = _matrix(rows.column("sig").combine_chunks()) if len(t) else np.zeros((0, HASHES), np.uint8)
-    met = (label[x][:, None] != label[y][None, :]) & (t[x][:, None] < t[y][None, :] if i == j else True)
-    if refuted.num_rows:
-        at = {v: k for k, v in enumerate(x)}, {v: k for k, v in enumerate(y)}
-        one, two = (np.searchsorted(t, refuted.column(c).to_numpy()) for c in ("t", "other"))
-        for u, v in [*zip(one, two), *zip(two, one)]:
-            if u in at[0] and v in at[1]:
-                met[at[0][u], at[1][v]] = False
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets ``left`` has in common with each of ``right``, by products of indicator matrices."""
+    both = [*left, *right]
+    values, column = np.unique(np.concatenate(both), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    often = np.bincount(column, minlength=len(values)) > 1
+    number = np.cumsum(often) - 1
+    row, column = row[often[column]], number[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    found = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        here = np.zeros((len(both), 4096), np.float32)
+        here[row[a:b], column[a:b] - lo] = 1
+        found += here[: len(left)] @ here[len(left) :].T
+    return found.astype(np.int64)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """(a, b): links between the sides of one block, one for two components that are not joined yet."""
+    t, label, side = (table.column(c).to_numpy() for c in ("t", "lt", "side"))
+    x, y = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))  # 2: on both sides
+    a, b = [], []
+    met = label[x][:, None] != label[y][None, :]
+    if len(side) and side[0] == 2:
+        met &= t[x][:, None] < t[y][None, :]
     u, v = np.nonzero(met)
-    left, m = survivors(sig[x], sig[y], u, v)
-    u, v = x[u[left]], y[v[left]]
-    near = np.zeros(len(left), bool)
-    for end in (u, v):
-        order = np.lexsort((-m, end))
-        first = np.flatnonzero(np.r_[True, np.diff(end[order]) > 0]) if len(order) else order
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-        near[order[rank < wanted]] = True
-    a, b = np.minimum(t[u[near]], t[v[near]]), np.maximum(t[u[near]], t[v[near]])
-    n = len(a)
-    return pa.Table.from_arrays([pa.array([table.column("s")[0].as_py()] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-
-
-def _blocks(rest: DataFrame, refuted: DataFrame | None, wanted: int) -> DataFrame:
-    """(s, i, j, a, b): what the blocks of each bucket of ``rest`` (s, t, lt, sig, parts) hand on."""
-    p = F.pmod(F.xxhash64("t"), F.col("parts")).cast("int")
-    rows = rest.withColumn("p", p).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("s", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "t", "lt", "sig", F.lit(None).cast("long").alias("other"))
-    if refuted is not None:
-        no = F.lit(None)
-        rows = rows.unionByName(refuted.select("s", "i", "j", no.cast("int").alias("p"), F.col("a").alias("t"), no.cast("long").alias("lt"), no.cast("binary").alias("sig"), F.col("b").alias("other")))
-    return rows.groupBy("s", "i", "j").applyInArrow(lambda t: _block(wanted, t), "s long, i int, j int, a long, b long")
+    if len(u):
+        sig = _matrix(table.column("sig").combine_chunks())
+        left, _ = survivors(sig[x], sig[y], u, v)
+        u, v = u[left], v[left]
+    if len(u):
+        sets = table.column("set")
+        of = {k: np.frombuffer(sets[int(k)].as_py(), np.uint64) for k in {*x[u].tolist(), *y[v].tolist()}}
+        (rows, u), (columns, v) = np.unique(x[u], return_inverse=True), np.unique(y[v], return_inverse=True)
+        left, right = [of[int(k)] for k in rows], [of[int(k)] for k in columns]
+        both = shared_counts(left, right)[u, v]
+        sizes = np.array([len(s) for s in left])[u] + np.array([len(s) for s in right])[v]
+        good = 100 * both >= SIMILAR * (sizes - both)
+        u, v = rows[u[good]], columns[v[good]]
+        _, first = np.unique(np.stack([np.minimum(label[u], label[v]), np.maximum(label[u], label[v])]), axis=1, return_index=True)
+        root = {}
+
+        def top(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                k = up
+            return k
+
+        for k in first:
+            one, two = top(int(label[u[k]])), top(int(label[v[k]]))
+            if one != two:
+                root[one] = two
+                a.append(min(t[u[k]], t[v[k]]))
+                b.append(max(t[u[k]], t[v[k]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def blocks(rest: DataFrame, texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): links in the buckets ``rest`` (s, t, lt) that join components.
+
+    The texts of a bucket's largest component are alike already: they meet those of the others only, and these meet each other.
+    """
+    sizes = rest.groupBy("s", "lt").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(F.max(F.struct("n", "lt")).alias("m"), F.sum("n").alias("all"))
+    count = lambda n: F.ceil(n / PART).cast("int")
+    sizes = written(sizes.select("s", F.col("m.lt").alias("most"), count(F.col("m.n")).alias("p_all"), count(F.col("all") - F.col("m.n")).alias("q_all")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (x for batch in batches for x in rounds(batch, "text")):
+            found = [h.tobytes() for h in hashed_sets(part.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("t"), pa.array(found, pa.binary())], ["t", "set"])
+
+    rows = rest.join(sizes, "s")
+    part = lambda n: F.pmod(F.xxhash64("t"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    large = F.transform(each("q_all"), lambda q: place(0, part("p_all"), q, F.lit(0)))
+    other = F.transform(each("p_all"), lambda p: place(0, p, part("q_all"), F.lit(1)))
+    among = F.transform(each("q_all"), lambda q: place(1, F.least(q, part("q_all")), F.greatest(q, part("q_all")), F.when(q == part("q_all"), 2).otherwise((q < part("q_all")).cast("int"))))
+    placed = rows.select("s", "t", "lt", F.explode(F.when(F.col("lt") == F.col("most"), large).otherwise(F.concat(other, among))).alias("x"))
+    # a block within one part of the others holds each text once; between two parts, those of the first are on the left
+    known = texts.join(rest.select("t").distinct(), "t").select("t", "text").mapInArrow(sets, "t long, set binary").join(distinct.select("t", "sig"), "t")
+    full = placed.join(known, "t").select("s", "x.kind", "x.i", "x.j", "x.side", "t", "lt", "sig", "set")
+    return full.groupBy("s", "kind", "i", "j").applyInArrow(_block, "a long, b long").distinct()
 
 
 def linked(distinct: DataFrame, documents: DataFrame) -> DataFrame | None:
@@ -285,26 +330,23 @@ def linked(distinct: DataFrame, documents: DataFrame) -> DataFrame | None:
         edges = edges.unionAll(written(confirmed(more, texts)))
         label = components(edges)
     # buckets that are not in one component yet, without the text that all others were compared with
-    rest = members.where("t <> a").select("s", "t").join(distinct.select("t", "sig"), "t")
-    known = pairs.select("a", "b").join(edges, ["a", "b"], "left_anti").withColumn("good", F.lit(False))
-    refuted = None
-    for turn in itertools.count():
-        rest = _labelled(rest.drop("lt", "parts"), label, "t")
-        open_ = rest.groupBy("s").agg(F.min("lt").alias("lo"), F.max("lt").alias("hi"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")).where("lo <> hi").select("s", "parts")
+    rest = members.where("t <> a").select("s", "t")
+    known = pairs.select("a", "b")
+    for turn in range(STARS + 1):
+        rest = _labelled(rest, label, "t")
+        open_ = rest.groupBy("s").agg(F.min("lt").alias("lo"), F.max("lt").alias("hi"), F.min_by("t", F.xxhash64("t", "s", F.lit(turn))).alias("a")).where("lo <> hi").select("s", "a")
         rest = written(rest.join(written(open_), "s"))
         if rest.isEmpty():
             return label
-        here = written(_blocks(rest, refuted, 4**turn))
-        if here.isEmpty():
-            return label
-        asked = written(here.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
-        good = written(confirmed(asked, texts)) if not asked.isEmpty() else asked
-        bad = asked.join(good, ["a", "b"], "left_anti").withColumn("good", F.lit(False))
-        known = written(known.unionByName(bad).unionByName(good.withColumn("good", F.lit(True))))
-        tags = here.join(known.where("not good").select("a", "b"), ["a", "b"]).select("s", "i", "j", "a", "b")
-        refuted = written(tags if refuted is None else refuted.unionByName(tags))
-        edges = edges.unionAll(good)
+        if turn < STARS:
+            asked = _labelled(rest.where("t <> a").select(F.least("a", "t").alias("a"), F.greatest("a", "t").alias("b")).distinct(), label, "a", "b").where("la <> lb").select("a", "b")
+            found = written(plausible(asked.join(known, ["a", "b"], "left_anti"), distinct))
+            edges = edges.unionAll(written(confirmed(found, texts)))
+            rest = rest.where("t <> a").select("s", "t")
+        else:
+            edges = edges.unionAll(written(confirmed(written(blocks(rest.select("s", "t", "lt"), texts, distinct)), texts)))
         label = components(edges)
+    return label
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:

@@ -102,3 +102,10 @@ def test_long_set_is_hashed_in_parts(monkeypatch):
     whole = minhash.minima(sets)
     monkeypatch.setattr(minhash, "BLOCK", 64)
     assert (minhash.minima(sets) == whole).all()
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in (1, 5000, 300, 4000)]
+    got = minhash.shared_counts(sets[:2], sets[1:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets[:2]]

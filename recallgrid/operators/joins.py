@@ -38,6 +38,11 @@ def attach_scores(memories: DataFrame, scores: dict[str, DataFrame]) -> DataFram
     return memories
 
 
+def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``most`` rows of a few words each; else Spark picks the join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def attach_feedback(pairs: DataFrame, feedback: DataFrame, plus: float = 14.0, minus: float = -60.0) -> DataFrame:
     """Adjustment of each (query_norm, memory_id)."""
     joined = pairs.join(feedback.select("query_norm", "memory_id", "signal"), ["query_norm", "memory_id"], "left")

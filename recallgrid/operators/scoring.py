@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp
-from ..functions.text import is_structured_query, tokenize_doc
+from ..functions.text import is_structured_query
+from .joins import bounded
 
 # Weights of the final score.
 WEIGHTS = {"semantic": 0.40, "keyword": 0.18, "entity": 0.12, "metadata": 0.10, "exact": 0.08, "recency": 0.05, "agreement": 0.07}
@@ -68,13 +69,10 @@ def confidence(score: Column, agree: Column, exact: Column) -> Column:
 def evidence(df: DataFrame) -> DataFrame:
     """Add ``evidence``, the kinds of proof that a pair matches, and what they rest on.
 
-    Needs q_tokens, q_norm, query_text, concept_text and ocr (both normalised), visual, semantic and their floors, and from
-    ``field_hits`` how many of the query's tokens the texts have.
+    Needs q_tokens, query_text, visual, semantic and their floors, from ``field_hits`` how many of the query's tokens the texts have, and in
+    exact_ocr and exact_concept whether they have the whole query.
     """
-    df = df.withColumns({
-        "n_tokens": F.size(F.array_distinct("q_tokens")), "ocr_hits": F.col("hits_ocr"), "concept_hits": F.col("hits_concept"),
-        "exact_concept": (F.length("q_norm") >= 3) & F.contains("concept_text", "q_norm"), "exact_ocr": (F.length("q_norm") >= 3) & F.contains("ocr", "q_norm"),
-    })
+    df = df.withColumns({"n_tokens": F.size(F.array_distinct("q_tokens")), "ocr_hits": F.col("hits_ocr"), "concept_hits": F.col("hits_concept")})
     n, token = F.col("n_tokens"), F.get("q_tokens", F.lit(0))
     visual = F.col("visual") >= F.col("visual_floor")
     concept = (F.col("concept_hits") > 0) | F.col("exact_concept")
@@ -98,15 +96,13 @@ def relevance_gate() -> Column:
     return F.when(n == 0, F.lit(False)).when(n == 1, concept | strong_visual | structured_ocr).otherwise(many)
 
 
-def field_hits(queries: DataFrame, memories: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """(query_id, memory_id, hits_<field>...): how many of a query's tokens stand in each field, for pairs that share any.
+def field_hits(queries: DataFrame, index: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, memory_id, hits_<field>...): how many of a query's tokens stand in each field of ``index`` (token, memory_id, field, ...), for pairs that share any.
 
-    Fields' tokens meet the queries' in a join, a broadcast one below Spark's threshold, and are counted: no pair is scored by reading its texts.
+    No pair is scored by reading its texts.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct("q_tokens")).alias("token"))
-    lists = F.array(*[F.struct(F.lit(n).alias("field"), F.array_distinct(tokenize_doc(c)).alias("tokens")) for n, c in fields.items()])
-    tokens = memories.select("memory_id", F.explode(lists).alias("x")).select("memory_id", "x.field", F.explode("x.tokens").alias("token"))
-    met = tokens.join(wanted, "token")
+    met = index.select("token", "memory_id", "field").join(bounded(wanted), "token")
     return met.groupBy("query_id", "memory_id").agg(*[F.count_if(F.col("field") == n).alias(f"hits_{n}") for n in fields])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DOC_TOKEN, meaningful_tokens, normalize, tokenize_doc, tokenize_query
+from ..sources.staging import staged
 from . import filters, joins, scoring, windows
 from .vectors import knn, retrieval_k
 
@@ -46,6 +47,14 @@ def translate_query(c: Column, words: dict[str, str] = TRANSLATIONS) -> Column:
     return F.trim(F.regexp_replace(F.aggregate(table, c, lambda acc, x: F.regexp_replace(acc, x["w"], x["to"])), r"\s+", " "))
 
 
+def translated_sql(value: str, words: dict[str, str] = TRANSLATIONS) -> str:
+    """The same in DuckDB's SQL."""
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    for word in sorted(words, key=len, reverse=True):
+        value = f"regexp_replace({value}, {quoted(word)}, '{words[word]}', 'gi')"
+    return f"trim(regexp_replace({value}, '\\s+', ' ', 'g'))"
+
+
 def date_window(df: DataFrame, text: str, today: Column) -> DataFrame:
     """Add date_from, date_to and search_text: "today" and "yesterday" name a day and leave the text; nothing left: photo."""
     low = F.lower(text)
@@ -65,6 +74,59 @@ def token_index(memories: DataFrame, text: str = "ocr_text") -> DataFrame:
     return memories.select(F.explode(F.array_distinct(tokenize_doc(F.col(text)))).alias("token"), "memory_id")
 
 
+def postings(memories: DataFrame, fields: dict[str, Column], wanted: DataFrame | None = None) -> DataFrame:
+    """(token, memory_id, field, positions): where each token stands in each field, from 0.
+
+    With ``wanted`` (token), other tokens leave before anything shuffles.  Written bucketed by token, the table serves every later search.
+    """
+    lists = F.array(*[F.struct(F.lit(n).alias("field"), tokenize_doc(c).alias("tokens")) for n, c in fields.items()])
+    rows = memories.select("memory_id", F.explode(lists).alias("x")).select("memory_id", "x.field", F.posexplode("x.tokens").alias("pos", "token"))
+    if wanted is not None:
+        rows = rows.join(joins.bounded(wanted.select("token").distinct()), "token")
+    return rows.groupBy("token", "memory_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def anchors(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(query_id, t1, i1, t2, i2): the two rarest tokens inside each phrase (query_id, q_norm, q_tokens), with their places; t2 is null for phrases of three.
+
+    The first and the last token may end inside a word of a text, so they are no anchors.  Stop words are anchors only where nothing else is inside.
+    """
+    inside = _inside(queries)
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = inside.join(frequency, "token", "left").withColumn("e", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("i"), F.col("token")))
+    two = ranked.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("e")), 1, 2).alias("e"))
+    return two.select("query_id", F.get("e", F.lit(0))["token"].alias("t1"), F.get("e", F.lit(0))["i"].alias("i1"), F.get("e", F.lit(1))["token"].alias("t2"), F.get("e", F.lit(1))["i"].alias("i2"))
+
+
+def _inside(queries: DataFrame) -> DataFrame:
+    """(query_id, token, i) of the tokens that stand inside each phrase; meaningful ones if there are any."""
+    tokens = queries.select("query_id", "q_tokens", tokenize_doc(F.col("q_norm")).alias("t"))
+    within = F.filter(F.transform("t", lambda w, i: F.struct(w.alias("token"), i.alias("i"))), lambda e: (e["i"] > 0) & (e["i"] < F.size("t") - 1))
+    told = F.filter("w", lambda e: F.array_contains("q_tokens", e["token"]))
+    return tokens.select("query_id", "q_tokens", within.alias("w")).select("query_id", F.explode(F.when(F.size(told) > 0, told).otherwise(F.col("w"))).alias("e")).select("query_id", "e.token", "e.i")
+
+
+def phrase_candidates(queries: DataFrame, index: DataFrame, memories: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(query_id, memory_id): all memories of which a field may hold the whole phrase of a query (query_id, q_norm, q_tokens), and few others.
+
+    Two tokens inside the phrase must stand in one field, as far apart as in the phrase: an equi-join on the rarest token, then on the other
+    and the memory, and a look at the positions in ``index``.  Phrases of one or two tokens have nothing inside; their longest token must stand inside a word.
+    """
+    found = anchors(queries, index)
+    first = index.join(joins.bounded(found), index["token"] == found["t1"]).select("query_id", "memory_id", "field", "positions", "t2", (F.col("i2") - F.col("i1")).alias("apart"))
+    other = index.select(F.col("token").alias("t2"), "memory_id", "field", F.col("positions").alias("p2"))
+    both = first.where("t2 is not null").join(other, ["t2", "memory_id", "field"])
+    met = both.where(F.arrays_overlap(F.transform("positions", lambda p: p + F.col("apart")), "p2")).select("query_id", "memory_id")
+    met = met.unionByName(first.where("t2 is null").select("query_id", "memory_id"))
+    short = queries.select("query_id", tokenize_doc(F.col("q_norm")).alias("t")).where(F.size("t").between(1, 2))
+    short = short.select("query_id", F.reduce("t", F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)).alias("token")).where(F.length("token") >= 2)
+    if not short.isEmpty():
+        words = memories.select("memory_id", F.explode(F.array_distinct(F.flatten(F.array(*[tokenize_doc(c) for c in fields.values()])))).alias("word"))
+        hits = words.join(substring_words(short.select("token").distinct(), words.select("word").distinct()), "word").join(short, "token")
+        met = met.unionByName(hits.select("query_id", "memory_id"))
+    return met.distinct()
+
+
 def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5, written: bool = False) -> DataFrame:
     """(query_id, memory_id, score): share of the query's tokens, at least ``least``.
 
@@ -74,7 +136,7 @@ def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5, wri
     """
     tokens = queries.select("query_id", F.array_distinct("q_tokens").alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     if not written:
-        counted = index.join(tokens, "token").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
+        counted = index.join(joins.bounded(tokens), "token").groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n"))
         return counted.select("query_id", "memory_id", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
     frequency = index.join(tokens.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(frequency, "token", "left").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "token")))
@@ -85,49 +147,37 @@ def lexical_scores(queries: DataFrame, index: DataFrame, least: float = 0.5, wri
     return counted.select("query_id", "memory_id", (F.col("hits") / F.col("n")).alias("score")).where(F.col("score") >= least)
 
 
-def trigram_candidates(queries: DataFrame, memories: DataFrame, text: str) -> DataFrame:
-    """(query_id, memory_id) where the whole query may stand in the text: they share the query's rarest trigram."""
-
-    def grams(df: DataFrame, key: str, c: Column) -> DataFrame:
-        letters = df.select(key, F.split(c, "").alias("__c"))
-        three = F.transform(F.sequence(F.lit(0), F.size("__c") - 3), lambda i: F.concat(F.get("__c", i), F.get("__c", i + 1), F.get("__c", i + 2)))
-        return letters.where(F.size("__c") >= 3).select(key, F.explode(F.array_distinct(three)).alias("gram"))
-
-    q = grams(queries, "query_id", F.col("q_norm"))
-    wanted = q.select("gram").distinct()
-    index = grams(memories, "memory_id", normalize(F.col(text))).join(wanted, "gram")
-    frequency = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    rarest = q.join(frequency, "gram", "left").groupBy("query_id").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), F.col("gram"))).alias("gram"))
-    return index.join(rarest, "gram").select("query_id", "memory_id")
-
-
 def search(queries: DataFrame, memories: DataFrame, visual: DataFrame, semantic: DataFrame, feedback: DataFrame, limit: int = 10) -> DataFrame:
     """The whole local search: (query_id, memory_id, score, rank, evidence).
 
     queries: query_id, query_text, q_norm, q_tokens, date_from_s, date_to_s.  memories: memory_id, ocr_text, summary, title, filename,
     category, concept_text, and epochs.  visual, semantic: (query_id, memory_id, score).
+
+    Pairs are gated on counts and similarities.  Texts are read for the few pairs that may hold a whole query, and for the pairs that passed.
     """
-    best = lambda df, name: df.groupBy("query_id").agg(F.max("score").alias(name))
-    floors = windows.query_floors(best(visual, "visual").join(best(semantic, "semantic"), "query_id", "full_outer"))
-    m = memories.withColumns({"concept_norm": normalize(F.col("concept_text")), "ocr": normalize(F.col("ocr_text"))})
-    both = m.withColumn("all_text", F.concat_ws(" ", "ocr", "concept_norm"))
-    # any accepted pair has a token in common, or the query as a substring, or a similarity over a floor
-    fields = {"ocr": F.col("ocr"), "concept": F.col("concept_norm"), "summary": F.col("summary"), "filename": F.col("filename"), "category": F.col("category")}
-    hits = scoring.field_hits(queries, m, fields)
-    by_gram = trigram_candidates(queries, both, "all_text")
-    by_vector = visual.select("query_id", "memory_id").unionByName(semantic.select("query_id", "memory_id"))
-    pairs = hits.select("query_id", "memory_id").unionByName(by_gram).unionByName(by_vector).distinct()
-    pairs = pairs.join(hits, ["query_id", "memory_id"], "left").na.fill(0, [f"hits_{n}" for n in fields])
     sims = joins.merge_candidates(visual, semantic).withColumnsRenamed({"semantic_score": "visual", "keyword_score": "semantic"})
-    pairs = pairs.join(sims, ["query_id", "memory_id"], "left").na.fill(0.0, ["visual", "semantic"])
-    pairs = pairs.join(floors, "query_id", "left").na.fill(999.0, ["visual_floor", "semantic_floor"])
-    pairs = pairs.join(queries, "query_id").join(m.drop("concept_text").withColumnRenamed("concept_norm", "concept_text"), "memory_id")
+    sims = staged(sims)
+    floors = windows.query_floors(sims)  # a similarity that is not there counts as 0, below any floor
+    queries = staged(queries.where(F.size("q_tokens") > 0))
+    texts = {"ocr": F.col("ocr_text"), "concept": F.col("concept_text")}
+    fields = texts | {n: F.col(n) for n in ("summary", "filename", "category")}
+    wanted = queries.select(F.explode("q_tokens").alias("token")).unionByName(_inside(queries).select("token"))
+    index = staged(postings(memories, fields, wanted))
+    hits = scoring.field_hits(queries, index, list(fields))
+    phrases = phrase_candidates(queries, index.where(F.col("field").isin(*texts)), memories, texts).join(queries.select("query_id", "q_norm"), "query_id")
+    exact = phrases.join(memories.select("memory_id", *[normalize(c).alias(n) for n, c in texts.items()]), "memory_id")
+    exact = exact.select("query_id", "memory_id", *[((F.length("q_norm") >= 3) & F.contains(n, F.col("q_norm"))).alias(f"exact_{n}") for n in texts]).where("exact_ocr or exact_concept")
+    # any accepted pair has a token in common, or the query as a substring, or a similarity over a floor
+    key = ["query_id", "memory_id"]
+    pairs = hits.join(sims, key, "full_outer").join(exact, key, "full_outer").join(floors, "query_id", "left").join(joins.bounded(queries), "query_id")
+    pairs = pairs.na.fill(0, [f"hits_{n}" for n in fields]).na.fill(0.0, ["visual", "semantic"]).na.fill(999.0, ["visual_floor", "semantic_floor"]).na.fill(False, [f"exact_{n}" for n in texts])
+    gated = scoring.evidence(pairs).where(F.size("evidence") > 0).where(scoring.relevance_gate())
+    gated = gated.join(memories.drop("query_id"), "memory_id")
     dated = F.col("date_from_s").isNotNull()
     inside = filters.in_date_window([F.col("captured_s"), F.col("created_s"), F.col("indexed_s")], F.col("date_from_s"), F.col("date_to_s"))
-    pairs = pairs.where(~dated | inside).withColumn("query_norm", F.col("q_norm"))
-    pairs = joins.attach_feedback(filters.drop_rejected(pairs, feedback), feedback)
-    gated = scoring.evidence(pairs).where(F.size("evidence") > 0).where(scoring.relevance_gate())
-    scored = gated.withColumn("search_document", F.concat_ws("\n", "title", "summary", "ocr_text")).withColumn("search_document", normalize(F.col("search_document")))
+    gated = gated.where(~dated | inside).withColumn("query_norm", F.col("q_norm"))
+    gated = joins.attach_feedback(filters.drop_rejected(gated, feedback), feedback)
+    scored = gated.withColumn("search_document", normalize(F.concat_ws("\n", "title", "summary", "ocr_text")))
     scored = scored.withColumn("score", scoring.pipeline_score(scoring.memory_score(["ocr", "summary", "filename", "category"]))).withColumn("score", F.round(F.least(F.lit(100.0), F.col("score") + F.when(dated, 20).otherwise(0)), 6))
     return filters.quality_floor(scored.where("score > 0"), limit).select("query_id", "memory_id", "score", "rank", F.array_join("evidence", ",").alias("evidence"))
 

@@ -1,6 +1,6 @@
 """Queries of retrieval, scores and whole searches.
 
-Queries are the benchmark's passages, their first meaningful words; documents are the memories, embeddings the vectors.
+Queries are the benchmark's passages, whole; documents are the memories, embeddings the vectors.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 DOC_TOKENS = r"regexp_extract_all(" + NORM + r", '[a-zA-Z0-9₹$@._-]+')"
 TOKENS = "regexp_extract_all({}, '[a-zA-Z0-9₹$@._-]+')"
-Q = f"(SELECT item_id AS query_id, list_filter({DOC_TOKENS.format('text')}, lambda t: length(t) >= 2 AND NOT list_contains({STOP}, t))[1:4] AS t FROM benchmark)"
+Q = f"(SELECT item_id AS query_id, list_filter({DOC_TOKENS.format('text')}, lambda t: length(t) >= 2 AND NOT list_contains({STOP}, t)) AS t, text FROM benchmark)"
 HITS = f"""
     WITH q AS (SELECT query_id, list_distinct(t) AS t FROM {Q}), qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM q),
     d AS (SELECT doc_id, unnest(list_distinct({DOC_TOKENS.format('text')})) AS token FROM documents),
@@ -28,7 +28,7 @@ HITS = f"""
 
 
 def queries_of(spark, d):
-    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.meaningful_tokens(F.col("text")), 1, 4).alias("q_tokens"), F.array_join(F.slice(T.meaningful_tokens(F.col("text")), 1, 4), " ").alias("query_text"))
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.meaningful_tokens(F.col("text")).alias("q_tokens"), F.col("text").alias("query_text"))
 
 
 @book.add("flagship_lexical_top5", HITS + " SELECT query_id, memory_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 5")
@@ -102,7 +102,7 @@ def j6(spark, d):
 @book.add("j7_related_text")
 def j7(spark, d):
     m = memories(spark, d)
-    q = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("own"), F.slice(T.meaningful_tokens(F.col("ocr_text")), 1, 8).alias("q_tokens"))
+    q = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("own"), T.meaningful_tokens(F.col("ocr_text")).alias("q_tokens"))
     found = S.lexical_scores(q, S.token_index(m), 0.5).join(q.select("query_id", "own"), "query_id").where("memory_id <> own").drop("own")
     from ..operators.windows import rank_results
 
@@ -236,15 +236,24 @@ VEC2 = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, lis
 SEM, VIS = near_sql("sem", "v", SEMANTIC_K, SEMANTIC_FLOOR), near_sql("vis", "h", VISUAL_K)
 
 
+#: The day on which queries are asked; every fourth passage is asked for yesterday's memories, in German or English.
+TODAY = "2024-03-10"
+ASKED = F.concat(F.when(F.col("item_id") % 4 == 1, "gestern ").when(F.col("item_id") % 4 == 3, "Yesterday ").otherwise(""), F.col("text"))
+ASKED_SQL = S.translated_sql("CASE item_id % 4 WHEN 1 THEN 'gestern ' WHEN 3 THEN 'Yesterday ' ELSE '' END || text")
+
+
 P1 = oracle(f"""
-    WITH q AS (SELECT query_id, t AS tl, list_distinct(t) AS t, array_to_string(t, ' ') AS qn FROM {Q}),
+    WITH q0 AS (SELECT item_id AS query_id, {ASKED_SQL} AS tr FROM benchmark),
+    q1 AS (SELECT query_id, CASE WHEN regexp_matches(lower(tr), '\\byesterday\\b') THEN 1710028800 - 86400 WHEN regexp_matches(lower(tr), '\\btoday\\b') THEN 1710028800 END AS df,
+        trim(regexp_replace(regexp_replace(tr, '(?i)\\b(?:today|yesterday)\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS st FROM q0),
+    q AS (SELECT query_id, df, tl, list_distinct(tl) AS t, {NORM.format("st")} AS qn FROM (SELECT *, list_filter({DOC_TOKENS.format("st")}, lambda w: length(w) >= 2 AND NOT list_contains({STOP}, w)) AS tl FROM q1)),
     {SEM}, {VIS},
     near AS (SELECT query_id, memory_id, any_value(v) AS v, any_value(s) AS s FROM (SELECT query_id, memory_id, score AS v, NULL AS s FROM vis UNION ALL SELECT query_id, memory_id, NULL, score FROM sem) GROUP BY ALL),
     fl AS (SELECT query_id, greatest(0.255, max(v) - 0.035) AS vf, greatest(0.56, max(s) - 0.07) AS sf FROM near GROUP BY 1),
-    fb AS (SELECT 'm' || CAST(doc_id AS STRING) AS memory_id, quality FROM labels),
+    fb AS (SELECT 'm' || CAST(doc_id AS STRING) AS memory_id, doc_id // 50 AS query_id, quality FROM labels),
     m0 AS MATERIALIZED (SELECT *, {NORM.format("ocr_text")} AS ocr, {NORM.format("concat_ws(' ', filename, category, title)")} AS con, {NORM.format("concat_ws(chr(10), title, summary, ocr_text)")} AS doc FROM mem),
     m AS MATERIALIZED (SELECT *, {TOKENS.format("ocr")} AS ot, {TOKENS.format("con")} AS ct, {DOC_TOKENS.format("coalesce(summary, '')")} AS smt, {DOC_TOKENS.format("filename")} AS ft, {DOC_TOKENS.format("coalesce(category, '')")} AS cat FROM m0),
-    x AS (SELECT q.query_id, q.t, q.tl, q.qn, m.*, coalesce(n.v, 0) AS v, coalesce(n.s, 0) AS s, coalesce(vf, 999) AS vf, coalesce(sf, 999) AS sf, len(q.t) AS nt,
+    x AS (SELECT q.query_id, q.df, q.t, q.tl, q.qn, m.*, coalesce(n.v, 0) AS v, coalesce(n.s, 0) AS s, coalesce(vf, 999) AS vf, coalesce(sf, 999) AS sf, len(q.t) AS nt,
         len(list_intersect(q.t, ot)) AS oh, len(list_intersect(q.t, ct)) AS ch, length(qn) >= 3 AND contains(con, qn) AS ec, length(qn) >= 3 AND contains(ocr, qn) AS eo,
         regexp_matches(qn, '[0-9?$@.]') OR regexp_matches(qn, '(?i)\\b[A-Z]{{2,}}\\d{{2,}}\\b') AS st,
         len(list_intersect(q.t, smt)) AS sh, len(list_intersect(q.t, ft)) AS fh, len(list_intersect(q.t, cat)) AS cah
@@ -253,21 +262,25 @@ P1 = oracle(f"""
         CASE WHEN nt >= 2 THEN oh / nt >= 0.5 OR eo ELSE (regexp_matches(qn, '[0-9?$@]') OR contains(tl[1], '.') OR length(tl[1]) >= 10) AND oh > 0 END AS eoc FROM x),
     g AS (SELECT *, CASE WHEN nt = 1 THEN ecn OR v >= greatest(0.265, vf + 0.005) OR (st AND eo)
         ELSE ec OR (st AND eo) OR (nt <= 2 AND v >= greatest(0.265, vf + 0.005)) OR (CASE WHEN ev AND v >= greatest(0.265, vf + 0.005) THEN 1 ELSE 0 END + CASE WHEN ecn THEN 1 ELSE 0 END + CASE WHEN es AND s >= greatest(0.61, sf + 0.015) THEN 1 ELSE 0 END + CASE WHEN eoc AND (eo OR oh / nt >= 0.6) THEN 1 ELSE 0 END) >= 2 END AS ok FROM e WHERE ev OR ecn OR es OR eoc),
-    sc AS (SELECT g.*, coalesce(CASE WHEN quality = 1 THEN 14.0 WHEN quality = 0 THEN -60.0 END, 0) AS adj FROM g LEFT JOIN fb USING (memory_id) WHERE ok AND coalesce(quality, 1) <> 0),
-    p AS (SELECT query_id, memory_id, ev, ecn, es, eoc, adj, least(100.0, greatest(0.0, CASE WHEN v >= vf THEN v ELSE 0 END * 70 + CASE WHEN s >= sf THEN s ELSE 0 END * 45 + oh / nt * 30 + sh / nt * 24 + fh / nt * 12 + cah / nt * 18
+    sc AS (SELECT g.*, coalesce(CASE WHEN quality = 1 THEN 14.0 WHEN quality = 0 THEN -60.0 END, 0) AS adj FROM g LEFT JOIN fb USING (query_id, memory_id) WHERE ok AND coalesce(quality, 1) <> 0 AND (df IS NULL OR list_bool_or([t >= df AND t < df + 86400 for t in [captured_s, created_s, indexed_s] if t IS NOT NULL]))),
+    p AS (SELECT query_id, df, memory_id, ev, ecn, es, eoc, adj, least(100.0, greatest(0.0, CASE WHEN v >= vf THEN v ELSE 0 END * 70 + CASE WHEN s >= sf THEN s ELSE 0 END * 45 + oh / nt * 30 + sh / nt * 24 + fh / nt * 12 + cah / nt * 18
         + CASE WHEN length(qn) >= 4 AND contains(doc, qn) THEN 40 ELSE 0 END + adj)) AS b FROM sc),
-    f AS (SELECT *, round(least(100.0, greatest(0.0, b + CASE WHEN ev THEN 12 ELSE 0 END + CASE WHEN ecn THEN 14 ELSE 0 END + CASE WHEN es THEN 8 ELSE 0 END + CASE WHEN eoc THEN 12 ELSE 0 END + greatest(adj, 0))), 6) AS score FROM p),
-    z AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM f WHERE score > 0)
+    f AS (SELECT *, round(least(100.0, greatest(0.0, b + CASE WHEN ev THEN 12 ELSE 0 END + CASE WHEN ecn THEN 14 ELSE 0 END + CASE WHEN es THEN 8 ELSE 0 END + CASE WHEN eoc THEN 12 ELSE 0 END + greatest(adj, 0))) , 6) AS s0 FROM p), f2 AS (SELECT *, round(least(100.0, s0 + CASE WHEN df IS NULL THEN 0 ELSE 20 END), 6) AS score FROM f),
+    z AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM f2 WHERE score > 0)
     SELECT query_id, memory_id, score::DOUBLE AS score, rank, concat_ws(',', CASE WHEN ev THEN 'visual' END, CASE WHEN ecn THEN 'concept' END, CASE WHEN es THEN 'semantic' END, CASE WHEN eoc THEN 'ocr' END) AS evidence FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM z WHERE score >= greatest(24.0, best - 16.0)) WHERE rank <= 6""".replace("\\\\", "\\"))
 
 
 @book.add("p1_search", P1)
 def p1(spark, d):
-    q = queries_of(spark, d).withColumns({"q_norm": T.normalize(F.col("query_text")), "date_from_s": F.lit(None).cast("long"), "date_to_s": F.lit(None).cast("long")}).where(F.size("q_tokens") > 0)
+    today = F.lit(TODAY).cast("date")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ASKED.alias("query_text"))
+    q = S.understand_queries(asked, today).withColumn("query_text", F.col("search_text"))
+    q = q.select("query_id", "query_text", "q_norm", "q_tokens", *[F.unix_date(n).cast("long").__mul__(86400).alias(f"{n}_s") for n in ("date_from", "date_to")])
     m = memories(spark, d).withColumn("concept_text", F.concat_ws(" ", "filename", "category", "title"))
     visual, semantic = pairs_of(spark, d)
-    feedback = read(spark, d, "labels").select(F.concat(F.lit("m"), "doc_id").alias("memory_id"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("signal")).join(F.broadcast(q.select(F.col("q_norm").alias("query_norm")).distinct()))
+    votes = read(spark, d, "labels").select(F.floor(F.col("doc_id") / 50).alias("query_id"), F.concat(F.lit("m"), "doc_id").alias("memory_id"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("signal"))
+    feedback = votes.join(q.select("query_id", F.col("q_norm").alias("query_norm")), "query_id").drop("query_id")
     return S.search(q, m, visual, semantic, feedback)
 
 

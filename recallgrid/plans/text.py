@@ -13,7 +13,7 @@ from ..operators import classify as C
 from ..operators import documents as D
 from ..operators import labels as L
 from ..operators import rules
-from ..operators.search import OCR_CHARS, TRANSLATIONS, context_block, translate_query
+from ..operators.search import OCR_CHARS, TRANSLATIONS, context_block, translate_query, translated_sql
 from ..schemas import memories, oracle, read
 from .book import Book
 
@@ -192,9 +192,7 @@ def c40(spark, d):
 def _translate_sql() -> str:
     quoted = lambda w: "'" + w.replace("'", "''") + "'"
     value = "list_extract([" + ", ".join(map(quoted, TRANSLATIONS)) + f"], CAST((conv_id * 7 + turn) % {len(TRANSLATIONS)} AS INT) + 1) || ' ' || text"
-    for word in sorted(TRANSLATIONS, key=len, reverse=True):
-        value = f"regexp_replace({value}, {quoted(word)}, '{TRANSLATIONS[word]}', 'gi')"
-    return f"SELECT conv_id, turn, sha256(trim(regexp_replace({value}, '\\s+', ' ', 'g'))) AS value FROM conversations"
+    return f"SELECT conv_id, turn, sha256({translated_sql(value)}) AS value FROM conversations"
 
 
 @book.add("c42_translate_query", _translate_sql())
@@ -224,7 +222,7 @@ def r4(spark, d):
 @book.add("r15_fuzzy_tokens")
 def r15(spark, d):
     tokens = docs(spark, d).select(F.explode(T.tokenize_doc(F.col("text"))).alias("token")).where("length(token) between 4 and 12").distinct()
-    queries = read(spark, d, "benchmark").select(F.explode(F.slice(T.meaningful_tokens(F.col("text")), 1, 4)).alias("t")).select(F.concat("t", F.lit("x")).alias("token"))
+    queries = read(spark, d, "benchmark").select(F.explode(T.meaningful_tokens(F.col("text"))).alias("t")).select(F.concat("t", F.lit("x")).alias("token"))
     return D.fuzzy_tokens(queries, tokens).withColumn("ratio", F.round("ratio", 6))
 
 

@@ -5,11 +5,13 @@ Every keyword is a literal in one pass over the text: no shuffle, no join, and a
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keywords import constant_list, constant_map, keywords_in, once
 from . import rules
 
 
@@ -22,12 +24,25 @@ def _is_phrase(word: str) -> bool:
     return not word.isalnum()
 
 
-def keyword_points(low: Column, tokens: Column, words: dict[str, float]) -> Column:
-    """Sum of the weights of the keywords that a text has, each once."""
-    plain = {w: x for w, x in words.items() if not _is_phrase(w)}
-    weights = F.create_map(*[F.lit(x) for p in plain.items() for x in p])
-    points = F.aggregate(F.array_intersect(tokens, F.array(*map(F.lit, plain))), F.lit(0.0), lambda a, w: a + F.element_at(weights, w))
-    return reduce(lambda a, b: a + b, [F.when(F.contains(low, F.lit(w)), x).otherwise(0.0) for w, x in words.items() if _is_phrase(w)], points)
+def _split(words: Iterable[str]) -> tuple[list[str], list[str]]:
+    """(plain words, phrases), each once."""
+    known = sorted(set(words))
+    return [w for w in known if not _is_phrase(w)], [w for w in known if _is_phrase(w)]
+
+
+#: Words whose places in a text do not matter, for any of the rules: a text is read once for all of them.
+SUBSTRINGS = sorted({w for ws in rules.INTENT_KEYWORDS.values() for w in ws} | {w for ws in [*rules.CATEGORY_KEYWORDS.values(), *rules.DICTIONARIES.values()] for w in ws if _is_phrase(w)})
+
+
+def substrings(text: Column) -> Column:
+    """Those of SUBSTRINGS that stand in ``text``: give it to the functions below as ``inside``, if more than one of them needs it."""
+    return keywords_in(F.lower(text), SUBSTRINGS)
+
+
+def keyword_points(hits: Column, words: dict[str, float]) -> Column:
+    """Sum of the weights of the keywords among ``hits``, each once."""
+    weights = constant_map(words)
+    return F.aggregate(hits, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(weights, w), F.lit(0.0)))
 
 
 def word_tokens(c: Column) -> Column:
@@ -40,22 +55,25 @@ def _winner(scores: list[tuple[str, Column]]) -> tuple[Column, Column]:
     return F.array_sort(entries), reduce(lambda a, b: a + b, [s for _, s in scores])
 
 
-def classify(df: DataFrame, ocr: str, described: str, llm: str, intent: str) -> DataFrame:
+def classify(df: DataFrame, ocr: str, described: str, llm: str, intent: str, inside: str | None = None) -> DataFrame:
     """Add category, category_confidence, margin and alternatives by keyword points of the whole and again of each part.
 
     A keyword of the read text counts in the whole and in its part, so twice; a known label counts 4, the intent's keywords 2.5 times.
     """
     parts = {"__whole": F.concat_ws(" ", ocr, described), "__ocr": F.col(ocr), "__ai": F.col(described), "__intent": F.col(intent)}
-    for name, c in parts.items():
-        df = df.withColumn(name, F.lower(F.coalesce(c, F.lit("")))).withColumn(f"{name}_t", word_tokens(F.col(name)))
-    points = []
+    plain, phrases = _split(w for words in rules.CATEGORY_KEYWORDS.values() for w in words)
+    lows = {name: F.lower(F.coalesce(c, F.lit(""))) for name, c in parts.items()}
+    standing = {name: F.col(inside) if inside and name == "__ocr" else keywords_in(low, phrases) for name, low in lows.items()}
+    df = df.withColumns({f"{name}_p": F.array_intersect(c, constant_list(phrases)) for name, c in standing.items()})
+    df = df.withColumns({name: F.concat(F.array_intersect(word_tokens(low), constant_list(plain)), f"{name}_p") for name, low in lows.items()})
+    points = {}
     for category, words in rules.CATEGORY_KEYWORDS.items():
-        p = keyword_points(F.col("__whole"), F.col("__whole_t"), words) + keyword_points(F.col("__ocr"), F.col("__ocr_t"), words) + keyword_points(F.col("__ai"), F.col("__ai_t"), words)
-        p = p + rules.INTENT_WEIGHT * keyword_points(F.col("__intent"), F.col("__intent_t"), words) + F.when(F.lower(F.trim(llm)) == category, rules.LLM_WEIGHT).otherwise(0.0)
-        df = df.withColumn(f"__p_{category}", p)
-        points.append((category, F.col(f"__p_{category}")))
-    entries, total = _winner(points)
-    df = df.withColumn("__e", entries).withColumn("__total", total)
+        p = reduce(lambda a, b: a + b, [keyword_points(F.col(name), words) for name in ("__whole", "__ocr", "__ai")])
+        p = p + rules.INTENT_WEIGHT * keyword_points(F.col("__intent"), words) + F.when(F.lower(F.trim(llm)) == category, rules.LLM_WEIGHT).otherwise(0.0)
+        points[category] = p
+    df = df.withColumns({f"__p_{category}": p for category, p in points.items()})
+    entries, total = _winner([(category, F.col(f"__p_{category}")) for category in points])
+    df = df.withColumns({"__e": entries, "__total": total})
     top, second = -F.get("__e", F.lit(0))["neg"], -F.get("__e", F.lit(1))["neg"]
     known = F.col("__total") > 0
     df = df.withColumns({
@@ -89,25 +107,25 @@ def _weighed(entities: Column, weights: Column) -> Column:
     return F.aggregate(entities, F.lit(0.0), lambda a, e: a + e["confidence"] * F.coalesce(F.element_at(weights, e["type"]), F.lit(0.0)))
 
 
-def detect_intent(df: DataFrame, text: str, entity_types: str, llm: str | None = None, keywords: dict[str, list[str]] = rules.INTENT_KEYWORDS) -> DataFrame:
+def detect_intent(df: DataFrame, text: str, entity_types: str, llm: str | None = None, keywords: dict[str, list[str]] = rules.INTENT_KEYWORDS, inside: str | None = None) -> DataFrame:
     """Add intent, intent_confidence and intents (the first five): words .7, phrases 1, entities by weight and confidence, a given label 2.5.
 
-    entity_types: array<struct<type, confidence>>.
+    entity_types: array<struct<type, confidence>>.  inside: ``substrings`` of the text, if it is there already.
     """
-    df = df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    scores = []
+    found = keywords_in(F.lower(text), [w for words in keywords.values() for w in words]) if inside is None else F.col(inside)
+    df = df.withColumn("__found", found)
+    scores = {}
     for intent in rules.INTENTS[:-1]:
-        s = reduce(lambda a, b: a + b, [F.when(F.contains("__low", F.lit(w)), 1.0 if " " in w else 0.7).otherwise(0.0) for w in keywords[intent]])
+        s = keyword_points(F.col("__found"), {w: 1.0 if " " in w else 0.7 for w in keywords[intent]})
         weights = {t: w[intent] for t, w in rules.ENTITY_SIGNALS.items() if intent in w}
         if weights:
-            table = F.create_map(*[F.lit(x) for p in weights.items() for x in p])
-            s = s + _weighed(F.col(entity_types), table)
+            s = s + _weighed(F.col(entity_types), constant_map(weights))
         if llm:
             s = s + F.when(F.upper(F.trim(llm)) == intent, 2.5).otherwise(0.0)
-        df = df.withColumn(f"__s_{intent}", F.round(s, 6))
-        scores.append((intent, F.col(f"__s_{intent}")))
-    entries, total = _winner(scores)
-    df = df.withColumn("__e", entries).withColumn("__total", total)
+        scores[intent] = F.round(s, 6)
+    df = df.withColumns({f"__s_{intent}": s for intent, s in scores.items()})
+    entries, total = _winner([(intent, F.col(f"__s_{intent}")) for intent in scores])
+    df = df.withColumns({"__e": entries, "__total": total})
     top, name = -F.get("__e", F.lit(0))["neg"], F.get("__e", F.lit(0))["name"]
     agrees = (F.upper(F.trim(llm)) == name) if llm else F.lit(False)
     confident = F.least(F.lit(1.0), F.lit(1.0) + F.when(agrees, 0.05).otherwise(0.0))
@@ -132,34 +150,47 @@ def normalize_entity(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"^[ .,;:!?()\[\]{}<>\"']+|[ .,;:!?()\[\]{}<>\"']+$", ""))
 
 
+def _named(texts: Column, kind: str, conf: float, shown=lambda x: x, normal=lambda x: x) -> Column:
+    return F.transform(texts, lambda x: F.struct(F.lit(kind).alias("type"), shown(x).alias("text"), normal(x).alias("normalized"), F.lit(conf).alias("confidence")))
+
+
 def pattern_entities(text: Column) -> Column:
     """array<struct<type, text, normalized, confidence>> of all patterns, each text once a type.
 
-    A pattern that needs a sign is not tried on texts without it.
+    A pattern that needs a sign or a digit is not tried on texts without it, which one look for digits tells for four of them.
     """
     has = lambda sign: F.contains(text, F.lit(sign))
-    needs = {"EMAIL": has("@"), "USERNAME": has("@"), "TIME": has(":"), "URL": has("://") | F.contains(F.lower(text), F.lit("www."))}
+    none = F.array().cast("array<struct<type:string,text:string,normalized:string,confidence:double>>")
 
-    def typed(kind: str, pattern: str, conf: float) -> Column:
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        if kind in needs:
-            found = F.when(~needs[kind], F.array().cast("array<string>")).otherwise(found)
-        return F.transform(found, lambda x: F.struct(F.lit(kind).alias("type"), F.trim(x).alias("text"), normalize_entity(x).alias("normalized"), F.lit(conf).alias("confidence")))
+    def typed(kinds: list[str], needed: Column | None = None) -> Column:
+        each = []
+        for kind in kinds:
+            pattern, conf = ENTITY_PATTERNS[kind]
+            found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+            each.append(_named(found, kind, conf, F.trim, normalize_entity))
+        return F.concat(*each) if needed is None else F.when(needed, F.concat(*each)).otherwise(none)
 
-    return F.concat(*[typed(kind, p, conf) for kind, (p, conf) in ENTITY_PATTERNS.items()])
+    low = F.lower(text)
+    return F.concat(
+        typed(["EMAIL"], has("@")), typed(["URL"], has("://") | F.contains(low, F.lit("www."))), typed(["PHONE", "MONEY", "DATE", "TIME"], F.rlike(text, F.lit("[0-9]"))),
+        typed(["ORDER_ID"], F.contains(low, F.lit("ord"))), typed(["INVOICE_ID"], F.contains(low, F.lit("inv"))), typed(["USERNAME"], has("@")),
+    )
 
 
-def dictionary_entities(text: Column) -> Column:
-    """Entities of the dictionaries: words between word boundaries, phrases anywhere."""
+def dictionary_entities(text: Column, inside: Column | None = None) -> Column:
+    """Entities of the dictionaries: words between word boundaries, phrases anywhere (``inside``: the text's substrings)."""
     low = F.lower(text)
+    plain, phrases = _split(w for words in rules.DICTIONARIES.values() for w in words)
 
-    def of(kind: str, conf: float, words: list[str]) -> Column:
-        plain = F.array_intersect(word_tokens(low), F.array(*[F.lit(w) for w in words if not _is_phrase(w)]))
-        phrases = [F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words if _is_phrase(w)]
-        found = F.concat(plain, F.array_compact(F.array(*phrases))) if phrases else plain
-        return F.transform(found, lambda w: F.struct(F.lit(kind).alias("type"), w.alias("text"), w.alias("normalized"), F.lit(conf).alias("confidence")))
+    def typed(hits: Column) -> Column:
+        each = []
+        for (kind, conf), words in rules.DICTIONARIES.items():
+            own = [w for w in words if not _is_phrase(w)] + [w for w in words if _is_phrase(w)]
+            each.append(_named(F.array_intersect(hits, constant_list(own)), kind, conf))
+        return F.concat(*each)
 
-    return F.concat(*[of(kind, conf, words) for (kind, conf), words in rules.DICTIONARIES.items()])
+    standing = F.array_intersect(inside, constant_list(phrases)) if inside is not None else F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in phrases])) if phrases else constant_list([])
+    return once(F.concat(F.array_intersect(word_tokens(low), constant_list(plain)), standing), typed)
 
 
 def parsed_entities(json: Column) -> Column:

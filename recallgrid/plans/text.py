@@ -14,7 +14,7 @@ from ..operators import documents as D
 from ..operators import labels as L
 from ..operators import rules
 from ..operators.search import OCR_CHARS, TRANSLATIONS, context_block, translate_query, translated_sql
-from ..schemas import memories, oracle, read
+from ..schemas import memories, oracle, read, spread
 from .book import Book
 
 book = Book()
@@ -23,11 +23,11 @@ RICH = "text || ' Paid Rs. ' || CAST(doc_id * 7 % 9000 AS STRING) || '.50 on 202
 
 
 def docs(spark, d):
-    return read(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(read(spark, d, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def rich(spark, d):
-    return spark.sql(f"SELECT doc_id, lang, source, {RICH} AS text FROM {{documents}}", documents=read(spark, d, "documents"))
+    return spark.sql(f"SELECT doc_id, lang, source, {RICH} AS text FROM {{documents}}", documents=spread(read(spark, d, "documents")))
 
 
 def rich_sql(sql: str) -> str:

@@ -45,8 +45,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores, dealt out so that work on its texts uses all cores; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MEMORIES, documents=read(spark, sf_dir, "documents"))
+    return spark.sql(MEMORIES, documents=spread(read(spark, sf_dir, "documents")))
 
 
 def oracle(sql: str) -> str:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ids, numbers
+from ..functions import ids, numbers, tables
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators import documents as D
@@ -144,6 +144,29 @@ def c14(spark, d):
     return T.chunk_text(docs(spark, d), "doc_id", "text")
 
 
+@book.add("u4_entity_spans", rich_sql(r"""
+    SELECT doc_id, type, text, strpos(t, text) - 1 AS start, strpos(t, text) - 1 + length(text) AS "end" FROM (
+        SELECT doc_id, text AS t, 'URL' AS type, regexp_extract(text, 'https://a\.example/x\d+') AS text FROM r UNION ALL SELECT doc_id, text, 'ORDER_ID', regexp_extract(text, 'order #AB\d+') FROM r
+        UNION ALL SELECT doc_id, text, 'MONEY', regexp_extract(text, 'Rs\. \d+\.50') FROM r UNION ALL SELECT doc_id, text, 'DATE', regexp_extract(text, '2024-0\d-11') FROM r)"""))
+def u4(spark, d):
+    tables.register(spark)
+    found = spark.sql("SELECT doc_id, s.type, s.text, s.start, s.end FROM {r}, LATERAL entity_spans(text) AS s", r=rich(spark, d))
+    planted = F.rlike("text", F.lit(r"^(https://a\.example/x\d+|order #AB\d+|Rs\. \d+\.50|2024-0\d-11)$"))
+    return found.where(planted)
+
+
+@book.add("u4_entity_spans_all")
+def u4_all(spark, d):
+    return rich(spark, d).lateralJoin(tables.EntitySpans(F.col("text").outer()).alias("s")).select("doc_id", "s.type", F.col("s.text").alias("value"), "s.start", "s.end", "s.confidence")
+
+
+@book.add("u4_chunk_text")
+def u4_chunks(spark, d):
+    tables.register(spark)
+    given = docs(spark, d).select("doc_id", T.normalize_ws(F.col("text")).alias("t"))
+    return spark.sql("SELECT doc_id, c.* FROM {given}, LATERAL chunk_text(t, 1500, 150) AS c", given=given)
+
+
 @book.add("c20_pattern_entities", rich_sql(r"""
     SELECT doc_id, 'DATE' AS type, '2024-0' || CAST(1 + doc_id % 9 AS STRING) || '-11' AS text FROM r UNION ALL SELECT doc_id, 'URL', 'https://a.example/x' || CAST(doc_id AS STRING) FROM r
     UNION ALL SELECT doc_id, 'ORDER_ID', 'order #AB' || CAST(10000 + doc_id AS STRING) FROM r"""))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
 from ..schemas import memories, oracle, read
 from ..sources import tables as S
+from ..sources.staging import scratch
+from ..streaming import stateful
 from ..streaming import streams as M
 from .book import Book
 
@@ -17,9 +17,8 @@ QUERIES, ORACLES = book.queries, book.oracles
 
 
 def shared(spark, name: str) -> str:
-    """A new folder where Spark keeps what executors share; in tests, where no folder is named, the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share, gone with the session."""
+    return f"{scratch(spark)}/{name}"
 
 
 #: Memories in one JSON object of an index.
@@ -163,9 +162,21 @@ def m3(spark, d):
     l AS (SELECT job_id, arg_max(kind, t * 1000000 + event_id) AS last, max(t) AS t, count(*) FILTER (kind = 'fail') AS attempts FROM e GROUP BY 1)
     SELECT job_id, attempts, CASE WHEN last = 'done' THEN 'completed' WHEN last = 'fail' AND attempts >= 5000 THEN 'failed' WHEN last = 'fail' THEN 'retrying' WHEN last = 'claim' AND 1800000000 - t > 900 THEN 'retrying' WHEN last = 'claim' THEN 'processing' ELSE 'queued' END AS status FROM l""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
 def m4(spark, d):
+    return M.job_state(job_events(spark, d), 1_800_000_000, most_attempts=5000).drop("next_attempt")
+
+
+def job_events(spark, d):
     kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "done").otherwise("queue")
-    e = read(spark, d, "events").select((F.col("user_id") % 50).alias("job_id"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("o"), kind.alias("kind"))
-    return M.job_state(e, 1_800_000_000, most_attempts=5000).drop("next_attempt")
+    return read(spark, d, "events").select((F.col("user_id") % 50).alias("job_id"), F.unix_timestamp("ts").alias("at"), F.col("event_id").alias("o"), kind.alias("kind"))
+
+
+@book.add("m4_job_stream", ORACLES["m4_job_state"].replace("1800000000 - t > 900", "TRUE"))  # all leases are over by now
+def m4_stream(spark, d):
+    source = shared(spark, "incoming")
+    e = job_events(spark, d)
+    e.repartition(4, "o").write.parquet(source)
+    stream = stateful.job_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(source), most_attempts=5000)
+    return M.run_to_table(stream, shared(spark, "jobs"), shared(spark, "state"), "job_id").select("job_id", "attempts", "status")
 
 
 @book.add("m5_rate_limit")
@@ -174,12 +185,21 @@ def m5(spark, d):
     return M.rate_limit_batch(e, 3, 3600)
 
 
+@book.add("m5_rate_limit_stream")
+def m5_stream(spark, d):
+    source = shared(spark, "incoming")
+    e = read(spark, d, "events").select((F.col("user_id") % 5).cast("string").alias("client"), F.col("event_type").alias("area"), F.col("event_id").alias("request_id"), F.unix_timestamp("ts").alias("at"))
+    e.repartitionByRange(4, "at", "request_id").write.parquet(source)
+    stream = stateful.rate_limit(spark.readStream.schema(e.schema).parquet(source), 3, 3600)
+    return M.run_to_table(stream, shared(spark, "limited"), shared(spark, "state"), "request_id", mode="append")
+
+
 @book.add("m6_progress_stream", "SELECT event_type AS phase, count(*) AS n FROM events GROUP BY 1")
 def m6(spark, d):
     source = shared(spark, "incoming")
     read(spark, d, "events").select(F.col("event_type").alias("phase")).repartition(4).write.parquet(source)
     stream = M.progress_stream(spark.readStream.schema("phase string").parquet(source))
-    return M.run_to_table(stream, f"progress_{uuid.uuid4().hex}", shared(spark, "state"))
+    return M.run_to_table(stream, shared(spark, "progress"), shared(spark, "state"), "phase")
 
 
 @book.add("m7_heartbeat", "SELECT user_id AS worker, max(floor(epoch(ts))::BIGINT) AS at, 1800000000 - max(floor(epoch(ts))::BIGINT) <= 100000000 AS healthy FROM events GROUP BY 1")
@@ -193,4 +213,4 @@ def m8(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("query_norm"), F.col("event_type").alias("memory_id"), F.when(F.col("value") > 30, 1).otherwise(-1).alias("signal"), "ts")
     e.repartition(4).write.parquet(source)
     stream = M.latest_signal(spark.readStream.schema(e.schema).parquet(source))
-    return M.run_to_table(stream, f"feedback_{uuid.uuid4().hex}", shared(spark, "state"))
+    return M.run_to_table(stream, shared(spark, "feedback"), shared(spark, "state"), "query_norm", "memory_id")

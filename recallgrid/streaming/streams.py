@@ -11,8 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.tables import backoff_s
 
@@ -51,32 +50,8 @@ def job_state(events: DataFrame, now: int, most_attempts: int = 5, lease_s: int
     return last.withColumn("status", status).select("job_id", "attempts", "status", F.when(F.col("status") == "retrying", F.when(F.col("last") == "fail", wait).otherwise(F.lit(now))).alias("next_attempt"))
 
 
-def rate_limit(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """(client, area, request_id, accepted) of a stream of requests (client string, area string, request_id, at in seconds).
-
-    A request is accepted while fewer than ``limit`` were for its key in the trailing window.  The state of a key is the
-    accepted times of one window, at most ``limit`` numbers; a micro-batch takes its requests in order of time.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = deque(state.get[0] if state.exists else [])
-        batch = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        out = []
-        for at in batch["at"]:
-            while times and times[0] <= at - seconds:
-                times.popleft()
-            out.append(len(times) < limit)
-            if out[-1]:
-                times.append(int(at))
-        state.update((list(times),))
-        yield batch[["client", "area", "request_id"]].assign(accepted=out)
-
-    given = requests.select("client", "area", "request_id", "at")
-    return given.groupBy("client", "area").applyInPandasWithState(run, "client string, area string, request_id long, accepted boolean", "times array<long>", "append", "NoTimeout")
-
-
 def rate_limit_batch(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
-    """The same for a table: Spark sorts each key's requests by time, spilling, and a task reads them a batch at a time.
+    """As ``stateful.rate_limit``, for a table: Spark sorts each key's requests by time, spilling, and a task reads them a batch at a time.
 
     Whether a request is accepted depends on all before it, so a key is one task's; what the task holds is one batch and the
     accepted times of one window.
@@ -114,8 +89,49 @@ def first_of_each(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, into a table of the session."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+class LatestTable:
+    """A table of the last row of each key, kept by a stream in update or append mode.
+
+    A micro-batch writes its rows to a folder of its own number, over what a failed try of the same batch has left, so running a batch again changes
+    nothing.  Reading takes the row of the greatest batch for each key; a key has one row a batch.  Nothing passes the driver.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, *keys: str):
+        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+
+    def put(self, rows: DataFrame, batch: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def start(self, stream: DataFrame, checkpoint: str, mode: str = "update", interval: str | None = None):
+        """With an interval for ever, else over what is there now: without batches for the clock alone, which timers would ask for without end."""
+        writer = stream.writeStream.foreachBatch(self.put).outputMode(mode).option("checkpointLocation", checkpoint)
+        if interval:
+            return writer.trigger(processingTime=interval).start()
+        conf, name = self.spark.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = conf.get(name)
+        conf.set(name, "false")
+        try:
+            return writer.trigger(availableNow=True).start()
+        finally:
+            conf.set(name, before)
+
+    def _rows(self) -> DataFrame:
+        whole = StructType([*self.schema.fields, StructField("batch", LongType())])
+        return self.spark.read.schema(whole).option("basePath", self.path).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        last = self._rows().groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), "batch").alias("r"))
+        return last.select("r.*")
+
+    def compact(self, path: str) -> LatestTable:
+        """The same table at ``path``, in one batch of the greatest number; the stream goes on there, with its checkpoint."""
+        other = LatestTable(self.spark, path, self.schema, *self.keys)
+        other.put(self.read(), self._rows().agg(F.max("batch")).first()[0])
+        return other
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, *keys: str, mode: str = "update") -> DataFrame:
+    """Run a stream over what is there now, into a table of the last row of each key."""
+    table = LatestTable(stream.sparkSession, path, stream.schema, *keys)
+    table.start(stream, checkpoint, mode).awaitTermination()
+    return table.read()

@@ -124,17 +124,6 @@ def test_rate_limit_accepts_only_so_many(spark):
     assert got == [True, True, True, False, False, True, True, True]
 
 
-def test_rate_limit_of_a_stream_equals_the_table(spark, tmp_path):
-    rows = [(f"c{i % 3}", "s", i, (i * 7) % 200) for i in range(300)]
-    df = spark.createDataFrame(rows, "client string, area string, request_id long, at long")
-    want = {(r.client, r.request_id, r.accepted) for r in streams.rate_limit_batch(df, limit=4, seconds=20).collect()}
-    df.write.parquet(str(tmp_path / "in"))
-    stream = streams.rate_limit(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), limit=4, seconds=20)
-    got = streams.run_to_table(stream, "limited", str(tmp_path / "state"), "append")
-    assert {(r.client, r.request_id, r.accepted) for r in got.collect()} == want
-    assert 0 < sum(a for *_, a in want) < 300
-
-
 def test_substring_lookup_loses_no_token(spark):
     texts = [(1, "xxabcxx ab"), (2, "a b c"), (3, "cab-abc.d"), (4, "abd"), (5, "")]
     words = spark.createDataFrame(texts, "memory_id long, t string").select(F.explode(F.regexp_extract_all("t", F.lit(text.DOC_TOKEN), F.lit(0))).alias("word")).distinct()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.keywords import once
 from ..functions.ids import first_non_empty
 from . import classify, stats
 
@@ -19,6 +20,10 @@ ADDRESS_TERMS = ["road", "street", "nagar", "colony", "avenue", "main", "salem",
 ANALYSIS = "category string, subcategory string, title string, summary string, confidence double, keywords array<string>, products array<string>, organizations array<string>"
 
 
+# Fields of concepts that an analysis has.
+CONCEPT_FIELDS = ["visual_concepts", "objects", "actions", "relationships", "food_concepts", "product_concepts", "document_concepts", "technology_concepts", "coding_concepts", "ui_concepts", "location_concepts", "activity_concepts", "topic_concepts", "general_concepts", "scene", "environment"]
+
+
 def generate_title(title: Column, text: Column, most: int = 80) -> Column:
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     own = first_non_empty(title, F.get(lines, F.lit(0)))
@@ -72,6 +77,29 @@ def non_ocr_text(*fields: Column) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.trim(c), F.lit("")) for c in fields])
 
 
+def _json_texts(json: Column, *paths: str) -> Column:
+    """The values of an object at ``paths`` as text: scalars and the elements of lists, in order; what is empty is left out."""
+
+    def texts(path: str) -> Column:
+        value = F.get_json_object(json, f"$.{path}")
+        return F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<string>")).otherwise(F.array(value))
+
+    return F.filter(F.flatten(F.array(*[F.coalesce(texts(p), F.array().cast("array<string>")) for p in paths])), lambda x: F.trim(x) != "")
+
+
+def visual_text(json: Column) -> Column:
+    """What a memory (JSON) says about what is seen: its own and its analysis's descriptions, then both sides' concepts."""
+    own = ["visual_description", *[f"vision_analysis.{n}" for n in ("visual_description", "summary", "subcategory", "products", "keywords")]]
+    return F.array_join(_json_texts(json, *own, *CONCEPT_FIELDS, *[f"vision_analysis.{n}" for n in CONCEPT_FIELDS]), " ")
+
+
+def collection_text(json: Column) -> Column:
+    """What collections are told by, in lower case."""
+    own = ["filename", "category", "summary", "visual_description", "ocr_text", "keywords", "entities"]
+    seen = [f"vision_analysis.{n}" for n in ("objects", "visual_concepts", "food_concepts", "products", "organizations", "locations")]
+    return F.lower(F.array_join(_json_texts(json, *own, *seen), " "))
+
+
 def captured_at(given: Column, other: Column, pattern: str = "yyyy:MM:dd HH:mm:ss") -> Column:
     """A camera's time stamp; what is not one gives way to ``other``."""
     return F.coalesce(F.try_to_timestamp(given, F.lit(pattern)), other)
@@ -184,17 +212,34 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def numbered_pairs(token: Column) -> Column:
+    """Pairs of neighbouring characters, each with how often it was there before, so that equal ones stay apart."""
+    letters = F.split(token, "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(letters) - 2), lambda i: F.concat(F.get(letters, i), F.get(letters, i + 1)))
+    return once(pairs, lambda p: F.transform(p, lambda x, i: F.concat(x, F.size(F.filter(F.slice(p, F.lit(1), i), lambda y: y == x)).cast("string"))))
+
+
 def fuzzy_tokens(queries: DataFrame, tokens: DataFrame, least: float = 0.84) -> DataFrame:
     """(q, token, ratio) for query tokens of four or more characters without an exact match.
 
-    A ratio of r needs lengths within a factor of r / (2 - r), and an edit distance of at most the length that does not match.
+    Of m matching characters in blocks, m less the blocks are pairs that both tokens have, and each block but the first costs a character that does not match:
+    so 3 m - a - b - 1 pairs at least, for lengths a and b.  A query token shows all but so many of its pairs, the rarest, and one of these must be in
+    the other token, which is met by an equi-join on the pair and the length.
     """
     q = queries.select(F.col("token").alias("q")).distinct().where(F.length("q") >= 4).join(tokens.select(F.col("token").alias("q")), "q", "left_anti")
-    t = tokens.select("token").distinct()
     low = least / (2 - least)
-    sized = q.select("q", F.explode(F.sequence(F.ceil(F.length("q") * low), F.floor(F.length("q") / low))).alias("n"))
-    pairs = t.withColumn("n", F.length("token").cast("long")).join(F.broadcast(sized), "n")
-    near = pairs.where(F.levenshtein("q", "token") <= F.ceil((F.length("q") + F.length("token")) * (1 - least)))
+    a, b = F.length("q"), F.col("n")
+    sized = q.select("q", F.explode(F.sequence(F.ceil(a * low).cast("int"), F.floor(a / low).cast("int"))).alias("n"))
+    sized = sized.withColumn("shown", a - 1 - F.greatest(F.lit(1), 3 * F.ceil(least / 2 * (a + b) - 1e-9).cast("int") - a - b - 1) + 1)
+    longest = sized.agg(F.max("n")).first()[0] or 0
+    t = tokens.select("token").distinct().where(F.length("token").between(2, longest)).withColumn("n", F.length("token"))
+    index = t.select("token", "n", F.explode(numbered_pairs(F.col("token"))).alias("pair"))
+    frequency = index.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    pairs = q.select("q", F.explode(numbered_pairs(F.col("q"))).alias("pair")).join(frequency, "pair", "left")
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "pair")))
+    probes = ranked.join(sized, "q").where("r <= shown").select("q", "pair", "n")
+    near = index.join(probes, ["pair", "n"]).select("q", "token").distinct()
+    near = near.where(F.levenshtein("q", "token") <= F.ceil((F.length("q") + F.length("token")) * (1 - least)))
     return near.select("q", "token", fuzzy_ratio(F.col("q"), F.col("token")).alias("ratio")).where(F.col("ratio") >= least)
 
 

@@ -114,6 +114,23 @@ def project_summary(df: DataFrame) -> DataFrame:
     return df.select("memory_id", first_non_empty(F.col("title"), F.col("filename")).alias("title"), first_non_empty(F.col("summary"), F.substring("ocr_text", 1, 80)).alias("summary"), F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("other")).alias("category"))
 
 
+# The names under which a field of a memory may come, the first that is not empty wins.
+DETAIL_NAMES = {
+    "memory_id": ["memory_id", "id"], "filename": ["filename", "original_filename", "source_name"], "original_image_url": ["original_image_url", "image_url"], "image_hash": ["image_hash", "sha256", "file_hash"],
+    "title": ["title", "name"], "summary": ["summary", "description"], "category": ["category"],
+}
+
+
+def project_detail(df: DataFrame, names: dict[str, list[str]] = DETAIL_NAMES) -> DataFrame:
+    """A memory under its own names of fields, whatever names the source has; rows without an id go."""
+
+    def first(field: str) -> Column:
+        there = [F.col(n).cast("string") for n in names[field] if n in df.columns]
+        return first_non_empty(*there) if there else F.lit(None).cast("string")
+
+    return df.select(*[first(field).alias(field) for field in names]).where("memory_id is not null")
+
+
 def image_urls(df: DataFrame) -> DataFrame:
     """Image, preview, thumbnail and original, each the first of several places that is not empty."""
     preview, image = F.when(F.col("width") > 1000, F.concat("path", F.lit("/preview"))), F.col("path")

@@ -59,7 +59,7 @@ def union_candidates(lexical: DataFrame, vector: DataFrame, far: float = 2.0) ->
 def new_content(scan: DataFrame, seen: DataFrame, key: str = "sha256", order: str = "path") -> DataFrame:
     """Rows whose hash was never seen, the first of each hash."""
     fresh = scan.join(seen.select(key), key, "left_anti")
-    return fresh.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")
+    return fresh.groupBy(key).agg(F.min_by(F.struct(*scan.columns), order).alias("__r")).select("__r.*")
 
 
 def duplicates_of(uploads: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,11 +109,11 @@ def except_ids(df: DataFrame, ids: DataFrame, key: str = "memory_id") -> DataFra
 
 def merge_pages(pages: Sequence[DataFrame], key: str = "memory_id") -> DataFrame:
     """Rows of all pages, the first of each id."""
-    rows = None
+    rows, columns = None, pages[0].columns
     for i, page in enumerate(pages):
-        page = page.withColumn("__page", F.lit(i))
+        page = page.select(key, F.lit(i).alias("__page"), F.struct(*columns).alias("__r"))
         rows = page if rows is None else rows.unionByName(page)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__page"))).where("__n = 1").drop("__n", "__page")
+    return rows.groupBy(key).agg(F.min_by("__r", "__page").alias("__r")).select("__r.*")
 
 
 def merge_words(a: Column, b: Column, most: int) -> Column:

@@ -42,7 +42,7 @@ def memory_stats(df: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, name: str, most: int = 10) -> DataFrame:
     """Most frequent values with their share in percent."""
     counts = df.groupBy(F.substring(F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("other")), 1, 100).alias(name)).agg(F.count(F.lit(1)).alias("n"))
-    shared = counts.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+    shared = counts.withColumn("percent", F.round(F.col("n") * 100.0 / counts.agg(F.sum("n")).scalar(), 6))
     return shared.orderBy(F.desc("n"), name).limit(most)
 
 
@@ -166,6 +166,26 @@ def system_stats(memories: DataFrame, images: DataFrame, entities: DataFrame) ->
     return m.join(i).join(e)  # three rows of one
 
 
+# What is suggested to everybody.
+SUGGESTIONS = ["the shoes I wanted to buy", "my Python study notes", "receipt from my online order", "travel information I saved", "the address from my screenshot", "that coding error I saved"]
+
+
+def suggest_recent(asked: DataFrame, history: DataFrame, defaults: list[str] = SUGGESTIONS, most: int = 8) -> DataFrame:
+    """(user_id, text, value, rank) for each of ``asked`` (user_id, text): the user's queries (user_id, query, ts) that contain the text, newest first, then the defaults that do.
+
+    Case does not matter; of queries that differ in case only, the newest stays.  A user's history is combined before it is ranked.
+    """
+    mine = history.groupBy("user_id", F.lower("query").alias("k")).agg(F.max_by("query", "ts").alias("value"), F.max("ts").alias("ts"))
+    low = F.lower(F.trim("text"))
+    recent = asked.join(mine, "user_id").where(F.contains("k", low)).select("user_id", "text", "k", "value", F.lit(0).alias("o"), F.lit(0).alias("i"), "ts")
+    known = F.array(*[F.struct(F.lit(v.lower()).alias("k"), F.lit(v).alias("value")) for v in defaults])
+    common = asked.select("user_id", "text", F.posexplode(F.filter(known, lambda e: F.contains(e["k"], low))).alias("i", "e"))
+    common = common.select("user_id", "text", "e.k", "e.value", F.lit(1).alias("o"), "i", F.lit(None).cast(dict(mine.dtypes)["ts"]).alias("ts"))
+    both = recent.unionByName(common).groupBy("user_id", "text", "k").agg(F.min_by(F.struct("value", "o", "i", "ts"), "o").alias("r")).select("user_id", "text", "r.*")
+    order = Window.partitionBy("user_id", "text").orderBy("o", F.desc("ts"), "i", "value")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("user_id", "text", "value", "rank")
+
+
 def starter_suggestions(memories: DataFrame, most: int = 8) -> DataFrame:
     """(value): the first distinct suggestions, by doc_id, then the category before the words of the text."""
     values = memories.where("trim(category) <> ''").select("doc_id", F.posexplode(F.concat(F.array(F.trim("category")), F.split("ocr_text", " "))).alias("pos", "value"))

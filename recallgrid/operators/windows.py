@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+from .joins import bounded
+
 
 def rank_results(df: DataFrame, top_k: int | None = None) -> DataFrame:
     ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")))
@@ -24,9 +27,14 @@ def query_floors(df: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(scan: DataFrame) -> DataFrame:
-    """The first file of each hash in path order is the original."""
-    n = F.row_number().over(Window.partitionBy("sha256").orderBy(F.lower("path"), "path"))
-    return scan.withColumn("duplicate", n > 1)
+    """The first file of each hash in path order is the original; a path is one file.
+
+    Firsts are found by an aggregate that combines before the shuffle, and only hashes that several files share are looked up.
+    """
+    place = F.struct(F.lower("path").alias("low"), F.col("path"))
+    shared = scan.groupBy("sha256").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+    marked = scan.join(bounded(staged(shared)), "sha256", "left")
+    return marked.withColumn("duplicate", F.coalesce(place > F.col("__first"), F.lit(False))).drop("__first")
 
 
 def best_entity(entities: DataFrame) -> DataFrame:

@@ -107,6 +107,12 @@ def f17(spark, d):
     return O.project_result(memories(spark, d)).select("memory_id", "title", "image_url", "ocr_text", "score", F.size("keywords").cast("long").alias("n_keywords"))
 
 
+@book.add("f18_project_detail", oracle("SELECT memory_id, coalesce(nullif(trim(filename), ''), nullif(trim(path), '')) AS filename, nullif(trim(path), '') AS original_image_url, nullif(trim(title), '') AS title, nullif(trim(summary), '') AS summary, nullif(trim(category), '') AS category, sha256(ocr_text) AS image_hash FROM mem"))
+def f18_detail(spark, d):
+    given = memories(spark, d).select(F.col("memory_id").alias("id"), F.col("filename").alias("original_filename"), F.col("path").alias("image_url"), F.col("title").alias("name"), F.col("summary").alias("description"), "category", F.sha2("ocr_text", 256).alias("sha256"))
+    return O.project_detail(given)
+
+
 @book.add("f18_project_summary", oracle("SELECT memory_id, coalesce(nullif(trim(title), ''), nullif(trim(filename), '')) AS title, coalesce(nullif(trim(summary), ''), nullif(trim(substr(ocr_text, 1, 80)), '')) AS summary, coalesce(nullif(trim(category), ''), 'other') AS category FROM mem"))
 def f18(spark, d):
     return O.project_summary(memories(spark, d))

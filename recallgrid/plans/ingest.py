@@ -121,6 +121,17 @@ def s14(spark, d):
     return S.search_history(e).groupBy("normalized_query").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("duration_ms"), 4).alias("ms"))
 
 
+@book.add("s14_run_log", """SELECT user_id AS run_id, count(*) AS total_items, greatest(count(*) FILTER (event_type = 'purchase') - 3, 0) AS successful_items, count(*) FILTER (event_type = 'error') AS failed_items,
+    greatest(max(floor(epoch(ts))::BIGINT) - min(floor(epoch(ts))::BIGINT), 0) * 1000 AS duration_ms, count(*) FILTER (event_type = 'error') = 0 AS success FROM events GROUP BY 1""")
+def s14_runs(spark, d):
+    e = read(spark, d, "events").withColumn("at", F.unix_timestamp("ts"))
+    runs = e.groupBy(F.col("user_id").alias("run_id")).agg(
+        F.lit("index").alias("run_type"), F.lit("completed").alias("status"), F.count(F.lit(1)).alias("total_items"), (F.count_if(F.col("event_type") == "purchase") - 3).alias("successful_items"),
+        F.lit(None).cast("long").alias("partial_items"), F.count_if(F.col("event_type") == "error").alias("failed_items"), F.lit(1).alias("attempt_number"), F.lit(3).alias("max_attempts"), F.min("at").alias("started_at"), F.max("at").alias("completed_at"),
+    )
+    return S.run_log(runs).select("run_id", "total_items", "successful_items", "failed_items", "duration_ms", "success")
+
+
 @book.add("s15_json_rows")
 def s15(spark, d):
     return S.json_rows(memories(spark, d).select("memory_id", "title", "status", "created_s"))

@@ -161,6 +161,19 @@ def a23(spark, d):
     return O.result_set_stats(m).withColumn("top_id", F.concat(F.lit("m"), "top_id"))
 
 
+@book.add("a24_suggest_recent", """
+    WITH h AS (SELECT user_id, lower(q) AS k, arg_max(q, ts) AS value, max(ts) AS ts FROM (SELECT user_id, ts, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END || ' ' || CAST(event_id % 4 AS STRING) AS q FROM events) GROUP BY ALL),
+    a AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 'Er' WHEN 1 THEN '' ELSE 'i' END AS text FROM events),
+    d AS (SELECT unnest(range(6)) AS i, unnest(['the shoes I wanted to buy', 'my Python study notes', 'receipt from my online order', 'travel information I saved', 'the address from my screenshot', 'that coding error I saved']) AS value),
+    u AS (SELECT a.user_id, text, value, 0 AS o, 0 AS i, ts FROM a JOIN h USING (user_id) WHERE contains(k, lower(text)) UNION ALL SELECT user_id, text, value, 1, i, NULL FROM a, d WHERE contains(lower(value), lower(text)))
+    SELECT user_id, text, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, text ORDER BY o, ts DESC, i, value) AS rank FROM u) WHERE rank <= 8""")
+def a24_recent(spark, d):
+    e = read(spark, d, "events")
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type")), F.lit(" "), (F.col("event_id") % 4).cast("string"))
+    asked = e.select("user_id").distinct().withColumn("text", F.when(F.col("user_id") % 3 == 0, "Er").when(F.col("user_id") % 3 == 1, "").otherwise("i"))
+    return O.suggest_recent(asked, e.select("user_id", name.alias("query"), "ts"))
+
+
 @book.add("a24_starter_suggestions", oracle("""
     WITH v AS (SELECT doc_id, unnest(list_prepend(trim(category), string_split(ocr_text, ' '))) AS value, unnest(range(len(string_split(ocr_text, ' ')) + 1)) AS pos FROM mem WHERE trim(category) <> '')
     SELECT value FROM v GROUP BY value ORDER BY min(doc_id * 1000000 + pos) LIMIT 8"""))

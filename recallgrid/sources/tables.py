@@ -101,8 +101,7 @@ def find_paths(df: DataFrame, key: str, json: str) -> DataFrame:
     level = df.select(key, F.try_parse_json(F.col(json)).alias("v")).where("v is not null")
     found, depth = None, 0
     while found is None or depth % 8 or not level.isEmpty():  # emptiness is asked every eighth level
-        level.createOrReplaceTempView("__paths")
-        pairs = df.sparkSession.sql(f"SELECT {key}, x.key AS name, x.value AS v FROM __paths, LATERAL variant_explode_outer(v) AS x").where("v is not null")
+        pairs = df.sparkSession.sql(f"SELECT {key}, x.key AS name, x.value AS v FROM {{level}}, LATERAL variant_explode_outer(v) AS x", level=level).where("v is not null")
         hits = pairs.where(F.col("name").isin(*PATH_KEYS)).select(key, "name", F.try_variant_get("v", "$", "string").alias("value"))
         found = hits if found is None else found.unionAll(hits)
         level, depth = pairs.select(key, "v"), depth + 1
@@ -115,6 +114,15 @@ def search_history(results: DataFrame) -> DataFrame:
     return results.select("query", norm.alias("normalized_query"), "search_mode", F.greatest(F.col("duration_ms"), F.lit(0)).alias("duration_ms"), "result_count", "success")
 
 
+def run_log(runs: DataFrame) -> DataFrame:
+    """One row a processing run, ready to append: counts and durations that are negative set to 0, and whether all items went well."""
+    count = lambda n: F.greatest(F.coalesce(n, F.lit(0)), F.lit(0))
+    names = ("total_items", "successful_items", "partial_items", "failed_items")
+    duration = F.when(F.col("completed_at").isNotNull(), F.greatest(F.col("completed_at") - F.col("started_at"), F.lit(0)) * 1000)
+    success = (F.col("status") == "completed") & (count("failed_items") == 0)
+    return runs.select("run_id", "run_type", "status", *[count(n).cast("long").alias(n) for n in names], "attempt_number", "max_attempts", "started_at", "completed_at", duration.alias("duration_ms"), success.alias("success"))
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 

@@ -87,10 +87,12 @@ def classify(df: DataFrame, ocr: str, described: str, llm: str, intent: str, ins
 
 def classify_simple(text: Column) -> Column:
     """The category with the most keywords in the text, the first of equals."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    counts = [(n, reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in words])) for n, words in rules.SIMPLE_KEYWORDS.items()]
-    entries, total = _winner(counts)
-    return F.when(total > 0, F.get(entries, F.lit(0))["name"]).otherwise("other")
+
+    def named(hits: Column) -> Column:
+        entries, total = _winner([(n, F.size(F.array_intersect(hits, constant_list(words)))) for n, words in rules.SIMPLE_KEYWORDS.items()])
+        return F.when(total > 0, F.get(entries, F.lit(0))["name"]).otherwise("other")
+
+    return once(keywords_in(F.lower(text), [w for words in rules.SIMPLE_KEYWORDS.values() for w in words]), named)
 
 
 def classify_fallback(label: Column, text: Column) -> Column:

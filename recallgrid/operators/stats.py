@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keywords import constant_list, keywords_in
 from ..functions.text import normalize
 
 # Collections and their terms.
@@ -48,14 +49,11 @@ def distribution(df: DataFrame, name: str, most: int = 10) -> DataFrame:
 
 def collections(df: DataFrame, text: Column) -> DataFrame:
     """Memories of each collection; one may be in several, or in Other."""
-    df = df.select(F.lower(text).alias("__low"))  # a column of its own, so that it is made once a row
-    low = F.col("__low")
+    known = [t for terms in COLLECTIONS.values() for t in terms]
+    df = df.select(keywords_in(F.lower(text), known).alias("__hits"))  # a text is read once for all terms
 
     def any_of(terms: list[str]) -> Column:
-        hit = low.contains(terms[0])
-        for t in terms[1:]:
-            hit = hit | low.contains(t)
-        return hit
+        return F.arrays_overlap("__hits", constant_list(terms))
 
     names = F.array_compact(F.array(*[F.when(any_of(terms), name) for name, terms in COLLECTIONS.items()]))
     return df.select(F.explode(F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("Other")))).alias("collection")).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))

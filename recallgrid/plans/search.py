@@ -99,7 +99,11 @@ def j6(spark, d):
     return S.related(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("memory_id")), 4).withColumn("score", F.round("score", 6))
 
 
-@book.add("j7_related_text")
+@book.add("j7_related_text", f"""
+    WITH q AS (SELECT doc_id AS query_id, list_distinct(list_filter({DOC_TOKENS.format('text')}, lambda t: length(t) >= 2 AND NOT list_contains({STOP}, t))) AS t FROM documents WHERE doc_id % 50 = 0),
+    qt AS (SELECT query_id, len(t) AS n, unnest(t) AS token FROM q), d AS (SELECT doc_id, unnest(list_distinct({DOC_TOKENS.format('text')})) AS token FROM documents),
+    s AS (SELECT query_id, 'm' || CAST(doc_id AS STRING) AS memory_id, count(*) / any_value(n) AS score FROM qt JOIN d USING (token) WHERE query_id <> doc_id GROUP BY query_id, doc_id)
+    SELECT query_id, memory_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 5""")
 def j7(spark, d):
     m = memories(spark, d)
     q = m.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("memory_id").alias("own"), T.meaningful_tokens(F.col("ocr_text")).alias("q_tokens"))

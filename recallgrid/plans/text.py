@@ -128,7 +128,16 @@ simple("c49_validate_id", lambda: ids.is_valid_id(TXT("text")), S("regexp_full_m
 simple("c50_join_parts", lambda: ids.join_parts(" / ", TXT("lang"), F.lit("  "), TXT("source")), S("lang || ' / ' || source"))
 simple("c51_ocr_quality", lambda: F.round(D.ocr_quality(TXT("text")), 6), None)
 simple("c52_vision_confidence", lambda: D.vision_confidence(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4 == 0, TXT("lang"), F.lit(""), F.array(TXT("lang"))), S("CASE WHEN doc_id % 4 = 2 THEN 0.8 ELSE 0.0 END::DOUBLE"))
-simple("r2_classify_simple", lambda: C.classify_simple(TXT("text")), None, source=rich)
+
+
+def _most_keywords_sql() -> str:
+    counts = ", ".join(" + ".join(f"contains(low, '{w}')::INT" for w in words) + f" AS c{i}" for i, words in enumerate(rules.SIMPLE_KEYWORDS.values()))
+    best = "greatest(" + ", ".join(f"c{i}" for i in range(len(rules.SIMPLE_KEYWORDS))) + ")"
+    named = " ".join(f"WHEN c{i} = {best} THEN '{name}'" for i, name in enumerate(rules.SIMPLE_KEYWORDS))
+    return rich_sql(f"SELECT doc_id, CASE WHEN {best} = 0 THEN 'other' {named} END AS value FROM (SELECT doc_id, {counts} FROM (SELECT doc_id, lower(text) AS low FROM r))")
+
+
+simple("r2_classify_simple", lambda: C.classify_simple(TXT("text")), _most_keywords_sql(), source=rich)
 simple("r3_classify_fallback", lambda: C.classify_fallback(F.when(F.col("doc_id") % 3 == 0, "Travel").otherwise("x"), TXT("text")), R("CASE WHEN doc_id % 3 = 0 THEN 'travel' ELSE 'receipt' END"), source=rich)
 simple("c25_entity_text", lambda: C.entity_text(C.dictionary_entities(TXT("text"))), None, source=rich)
 simple("c26_build_entities", lambda: F.array_join(F.transform(C.build_entities({"LANG": F.array("lang", F.lit(" "), "lang"), "SOURCE": F.array("source", F.lit(None))}), lambda e: F.concat(e["type"], F.lit(":"), e["text"])), "|"), S("'LANG:' || lang || '|SOURCE:' || source"))

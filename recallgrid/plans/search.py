@@ -242,7 +242,6 @@ SEM, VIS = near_sql("sem", "v", SEMANTIC_K, SEMANTIC_FLOOR), near_sql("vis", "h"
 
 #: The day on which queries are asked; every fourth passage is asked for yesterday's memories, in German or English.
 TODAY = "2024-03-10"
-ASKED = F.concat(F.when(F.col("item_id") % 4 == 1, "gestern ").when(F.col("item_id") % 4 == 3, "Yesterday ").otherwise(""), F.col("text"))
 ASKED_SQL = S.translated_sql("CASE item_id % 4 WHEN 1 THEN 'gestern ' WHEN 3 THEN 'Yesterday ' ELSE '' END || text")
 
 
@@ -278,7 +277,8 @@ P1 = oracle(f"""
 @book.add("p1_search", P1)
 def p1(spark, d):
     today = F.lit(TODAY).cast("date")
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ASKED.alias("query_text"))
+    word = F.when(F.col("item_id") % 4 == 1, "gestern ").when(F.col("item_id") % 4 == 3, "Yesterday ").otherwise("")
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(word, F.col("text")).alias("query_text"))
     q = S.understand_queries(asked, today).withColumn("query_text", F.col("search_text"))
     q = q.select("query_id", "query_text", "q_norm", "q_tokens", *[F.unix_date(n).cast("long").__mul__(86400).alias(f"{n}_s") for n in ("date_from", "date_to")])
     m = memories(spark, d).withColumn("concept_text", F.concat_ws(" ", "filename", "category", "title"))

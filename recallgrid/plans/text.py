@@ -110,13 +110,18 @@ simple("c35_search_text", lambda: F.sha2(D.search_text(TXT("source"), F.lit(None
 simple("c35_indexed_document", lambda: D.indexed_document(TXT("source"), F.lit(None), TXT("lang"), F.array("lang", "source"), TXT("text")), S("'Filename: ' || source || chr(10) || 'Category: ' || chr(10) || 'Summary: ' || lang || chr(10) || 'Entities: ' || lang || ', ' || source || chr(10) || 'Visible text: ' || text"))
 simple("c35_plain_document", lambda: D.plain_document(TXT("source"), F.lit(""), TXT("text")), S("concat_ws(chr(10), source, nullif(text, ''))"))
 simple("c36_flatten_json", lambda: D.flatten_json(F.to_json(F.struct("lang", "source"))), S("'lang ' || lang || ' source ' || source"))
-#: A memory as an indexer writes it: lists, scalars and empty fields, its own and the analysis's.
-SEEN = F.to_json(F.struct(
-    F.concat(F.lit("A view of "), "lang").alias("visual_description"), F.array("source", F.lit(""), "lang").alias("objects"), F.lit("").alias("scene"), F.concat("source", F.lit(".PNG")).alias("filename"), F.col("text").alias("ocr_text"), F.array(F.lit("Key"), "lang").alias("keywords"),
-    F.struct(F.lit("in short").alias("summary"), F.array("lang").alias("products"), F.lit("indoor").alias("environment"), F.array(F.lit("sign"), "source").alias("objects")).alias("vision_analysis"),
-))
-simple("c37_visual_text", lambda: D.visual_text(SEEN), S("'A view of ' || lang || ' in short ' || lang || ' ' || source || ' ' || lang || ' sign ' || source || ' indoor'"))
-simple("c37_collection_text", lambda: F.sha2(D.collection_text(SEEN), 256), S("sha256(lower(source || '.PNG A view of ' || lang || CASE WHEN trim(text) = '' THEN '' ELSE ' ' || text END || ' Key ' || lang || ' sign ' || source || ' ' || lang))"))
+def seen():
+    """A memory as an indexer writes it: lists, scalars and empty fields, its own and the analysis's."""
+    own = [
+        F.concat(F.lit("A view of "), "lang").alias("visual_description"), F.array("source", F.lit(""), "lang").alias("objects"), F.lit("").alias("scene"), F.concat("source", F.lit(".PNG")).alias("filename"),
+        F.col("text").alias("ocr_text"), F.array(F.lit("Key"), "lang").alias("keywords"),
+    ]
+    analysis = [F.lit("in short").alias("summary"), F.array("lang").alias("products"), F.lit("indoor").alias("environment"), F.array(F.lit("sign"), "source").alias("objects")]
+    return F.to_json(F.struct(*own, F.struct(*analysis).alias("vision_analysis")))
+
+
+simple("c37_visual_text", lambda: D.visual_text(seen()), S("'A view of ' || lang || ' in short ' || lang || ' ' || source || ' ' || lang || ' sign ' || source || ' indoor'"))
+simple("c37_collection_text", lambda: F.sha2(D.collection_text(seen()), 256), S("sha256(lower(source || '.PNG A view of ' || lang || CASE WHEN trim(text) = '' THEN '' ELSE ' ' || text END || ' Key ' || lang || ' sign ' || source || ' ' || lang))"))
 simple("c37_non_ocr_text", lambda: D.non_ocr_text(TXT("lang"), F.lit(" "), TXT("source")), S("lang || ' ' || source"))
 simple("c41_context_block", lambda: context_block(source=TXT("source"), ocr=F.substring("text", 1, OCR_CHARS)), S("'source: ' || source || chr(10) || 'ocr: ' || substr(text, 1, 2200)"))
 simple("c45_captured_at", lambda: F.unix_timestamp(D.captured_at(F.when(F.col("doc_id") % 2 == 0, F.lit("2024:02:03 04:05:06")).otherwise("bad"), F.timestamp_millis(F.col("doc_id") * 1000))), S("CASE WHEN doc_id % 2 = 0 THEN 1706933106 ELSE doc_id END"))

@@ -177,3 +177,13 @@ def test_rates_of_nothing(spark):
 
 def test_every_oracle_has_a_query():
     assert set(registry.oracles()) <= set(registry.queries()) and len(registry.queries()) > 150
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) > 200, done.stderr[-500:]

@@ -37,8 +37,8 @@ MIN_DOCS = 4
 #: Words kept ready in a worker, 250 bytes each, and bytes of text in one round of scoring.
 READY_WORDS, ROUND_BYTES = 120_000, 400_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
-#: Samples under this size set their threshold in four turns; share of toxic texts that the threshold supposes.
-FEW, TOXIC_SHARE = 1200, 0.1
+#: Share of toxic texts that the threshold supposes.
+TOXIC_SHARE = 0.1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -218,23 +218,17 @@ class Scorer:
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network | None:
     """A network for ``texts`` with labels 0 and 1; None without both.
 
-    The threshold comes from texts that the network did not learn from: a sixth of a large sample, or all of a small one
-    in four turns.
+    The threshold comes from texts that the network did not learn from, a sixth of each label at every size of the sample; a label with one text
+    only has it on both sides.
     """
     if len(set(labels.tolist())) < 2:
         return None
     order = np.random.default_rng(seed).permutation(len(texts))
-    if len(texts) >= FEW:
-        check = np.sort(order[: len(texts) // 6])
-        network, found = _learn(texts, labels, np.setdiff1d(order, check), seed)
-        _calibrate(network, found[check], labels[check])
-        return network
-    unseen = np.zeros(len(texts))
-    for part in np.array_split(order, 4):
-        if len(set(labels[np.setdiff1d(order, part)].tolist())) == 2:
-            unseen[part] = _learn(texts, labels, np.setdiff1d(order, part), seed)[1][part]
-    network, _ = _learn(texts, labels, np.sort(order), seed)
-    _calibrate(network, unseen, labels)
+    of = [order[labels[order] == k] for k in (0, 1)]
+    check = np.sort(np.concatenate([x[: max(1, len(x) // 6)] for x in of]))
+    learn = np.sort(np.concatenate([x[max(1, len(x) // 6) :] if len(x) > 1 else x for x in of]))
+    network, found = _learn(texts, labels, learn, seed)
+    _calibrate(network, found[check], labels[check])
     return network
 
 

@@ -10,18 +10,10 @@ shared folder each round; texts and documents do not take part, only distinct fi
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; a text with fewer words than
 a shingle is one shingle; equal fingerprints are one group whatever its size; rows with one doc_id get one row each; a
 null doc_id never names a component unless all its members are null; other columns of the input are ignored.
-
-``keep_first_similar`` finds texts whose sets of five-word shingles have a Jaccard similarity of 0.8.  There some 15 of
-100 bits of two fingerprints differ, which no ball of a few bits holds.  Fingerprints are WIDE bits; texts whose bits
-agree in all places of one of many chosen segments are candidates, so many segments that a pair at 0.8 meets with
-probability RECALL.  Candidates that are near as whole fingerprints are compared by their sets, exactly.  A segment's
-value that many texts share is split into groups of about GROUP, other ones for each segment; in a group each text is paired
-with its nearest ones by 64 bits, so no group is paired in full and none lies in one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, release_memory, rounds, row_key, salted, small, table, text_or_empty, written
+from .common import cut, rounds, row_key, salted, table, text_or_empty, written
 
 SHINGLE = 3
 SEED = 42
@@ -38,22 +30,6 @@ RADIUS = 2
 BITS = 64
 #: Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 17
-#: Near copies by similarity: words of a shingle, least Jaccard similarity, probability that a pair at it meets.
-WORDS = 5
-SIMILAR = 0.8
-RECALL = 0.99
-#: Bits of a wide fingerprint, and in how many two of similar texts may differ: 78 are expected at 0.8, 256 of others.
-WIDE = 512
-NEAR = 130
-#: The same of the first 64 bits, compared before pairs are written: 10 are expected at 0.8, 32 of others.
-NEAR_FIRST = 24
-#: A segment's value that at least HOT_IN_SAMPLE texts of a sample of one in ONE_IN share is split into groups of about GROUP.
-ONE_IN, HOT_IN_SAMPLE, GROUP = 64, 4, 64
-#: Of the texts of its group that are near, each is paired with so many nearest ones.
-PARTNERS = 3
-TURNS = 1
-#: Most rows of a table of hot values that is broadcast, under 10 MB.
-BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -164,143 +140,6 @@ def keep_first(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return _survivors(documents, _grouped(documents, radius, shingle, seed))
 
 
-def shingles(text: str, shingle: int = WORDS) -> set[bytes]:
-    words = text.encode().lower().split()
-    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) if len(words) >= shingle else {b" ".join(words)}
-
-
-def jaccard(a: set[bytes], b: set[bytes]) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
-
-
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
-
-
-def wide_fingerprint(text: str, seed: int = SEED) -> np.ndarray:
-    """WIDE bits, as WIDE / 64 numbers: the majority of each bit over the text's set of shingles."""
-    hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles(text)), np.uint64)
-    n, size = len(hashes), WIDE // 8
-    counts = np.zeros(size * 256, np.int64)
-    for k in range(0, n, 1 << 14):
-        z = hashes[k : k + (1 << 14), None] + np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        counts += np.bincount((z.view(np.uint8).reshape(-1, size) + np.arange(size) * 256).ravel(), minlength=size * 256)
-    ones = counts.reshape(size, 256) @ _BYTE_BITS
-    return np.packbits((ones * 2 > n).ravel(), bitorder="little").view(np.int64)
-
-
-FP = [f"f{k}" for k in range(WIDE // 64)]
-
-
-def wide_fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, r, t, f0 ...) for each row; t is the hash of the text, the same for equal texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in rounds(batch, "text")):
-            found = np.array([wide_fingerprint(t) for t in part.column("text").to_pylist()], np.int64).reshape(part.num_rows, len(FP))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("r"), part.column("t"), *(pa.array(c) for c in found.T)], ["doc_id", "r", "t", *FP])
-        release_memory()
-
-    texts = documents.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), row_key("doc_id", "text").alias("r"), F.xxhash64(text_or_empty()).alias("t"))
-    return texts.mapInArrow(run, "doc_id long, r long, t long, " + ", ".join(f"{c} long" for c in FP))
-
-
-def segments(n: int) -> np.ndarray:
-    """Places of bits, one row a segment: wide enough that few of ``n`` texts agree by chance, and enough of them for RECALL."""
-    width = max(20, math.ceil(math.log2(max(n, 1))) + 2)
-    same = (1 - math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi) ** width
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - same))
-    return np.random.default_rng(SEED).random((count, WIDE)).argsort(axis=1)[:, :width]
-
-
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts of ``distinct`` (t, f0 ...) that meet in a segment and are near as whole fingerprints."""
-    places = segments(distinct.count())
-    width = places.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, first = 1 << np.arange(width, dtype=np.int64), np.arange(len(places), dtype=np.int64) << width
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                fps = np.ascontiguousarray(np.stack([part.column(c).to_numpy() for c in FP], axis=1))
-                bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-                values = np.stack([bits[:, p] @ powers for p in places], axis=1) + first
-                t, f0 = (pa.array(np.repeat(part.column(c).to_numpy(), len(places))) for c in ("t", "f0"))
-                yield pa.RecordBatch.from_arrays([t, f0, pa.array(values.ravel())], ["t", "f0", "s"])
-
-    conf = distinct.sparkSession.conf
-    spread = distinct.select("t", *FP).repartition(int(conf.get("spark.sql.shuffle.partitions")), "t")
-    schema = "t long, f0 long, s long"
-    # values that many texts share are known from a sample of texts, so that segments shuffle once
-    counts = spread.where(F.pmod(F.xxhash64("t"), F.lit(ONE_IN)) == 0).mapInArrow(run, schema).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(counts.where(F.col("n") >= HOT_IN_SAMPLE).select("s", F.ceil(F.col("n") * ONE_IN / GROUP).alias("parts")))
-    met = spread.mapInArrow(run, schema).join(small(hot, BROADCAST_ROWS), "s", "left")
-    group = F.pmod(F.xxhash64("t", "s"), F.coalesce("parts", F.lit(1)))
-    lists = met.groupBy("s", group.alias("g")).agg(F.collect_list(F.struct("t", "f0")).alias("l")).where(F.size("l") > 1)
-
-    def partners(a: Column) -> Column:
-        apart = F.transform("l", lambda b: F.struct(F.bit_count(a["f0"].bitwiseXOR(b["f0"])).alias("n"), b["t"].alias("t")))
-        near = F.slice(F.sort_array(F.filter(apart, lambda b: (b["t"] != a["t"]) & (b["n"] <= NEAR_FIRST))), 1, PARTNERS)
-        return F.transform(near, lambda b: F.struct(F.least(a["t"], b["t"]).alias("a"), F.greatest(a["t"], b["t"]).alias("b")))
-
-    pairs = lists.select(F.explode(F.flatten(F.transform("l", partners))).alias("p")).select("p.a", "p.b").distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(distinct.select(F.col("t").alias(side), *[F.col(c).alias(side + c) for c in FP]), side)
-    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in FP), F.lit(0))
-    return pairs.where(apart <= NEAR).select("a", "b")
-
-
-def similar(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b), hashes of texts, whose sets of shingles are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in rounds(batch, "x")):
-            texts = zip(part.column("x").to_pylist(), part.column("y").to_pylist())
-            yield part.select(["a", "b"]).filter(pa.array([jaccard(shingles(x), shingles(y)) >= SIMILAR for x, y in texts], pa.bool_()))
-
-    nodes = pairs.select(F.col("a").alias("t")).unionAll(pairs.select("b")).distinct()
-    texts = documents.select(F.xxhash64(text_or_empty()).alias("t"), text_or_empty().alias("text")).join(nodes, "t", "left_semi").dropDuplicates(["t"])
-    both = pairs.join(texts.withColumnsRenamed({"t": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"t": "b", "text": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def similar_components(pairs: DataFrame, documents: DataFrame) -> DataFrame:
-    """(node, label) of the similar ones of ``pairs``; a pair that others connect already needs no comparison.
-
-    In each of TURNS turns (the first: texts) every component compares the pair that takes it to the smallest other component, which joins a
-    large group around few of its texts; then all pairs that still leave their component are compared.
-    """
-    left, edges, label = pairs.select("a", "b", F.col("a").alias("la"), F.col("b").alias("lb")), None, None
-    for turn in range(TURNS + 1):
-        left = cut(left)
-        ends = left.select(F.col("la").alias("c"), F.col("lb").alias("other"), "a", "b").unionAll(left.select("lb", "la", "a", "b"))
-        chosen = ends.groupBy("c").agg(F.min(F.struct("other", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        tried = left.select("a", "b") if turn == TURNS else cut(chosen)
-        good = cut(similar(tried, documents))
-        edges = good if edges is None else edges.unionAll(good)
-        label = components(edges)
-        if turn < TURNS:
-            left = left.select("a", "b").join(tried, ["a", "b"], "left_anti")
-            for side in ("a", "b"):
-                found = label.select(F.col("node").alias(side), F.col("label").alias("l"))
-                left = left.join(found, side, "left").withColumn("l" + side, F.coalesce("l", side)).drop("l")
-            left = left.where("la <> lb")
-    return label
-
-
-def keep_first_similar(documents: DataFrame) -> DataFrame:
-    """``documents`` without all but one row of each component of similar texts, that with the smallest doc_id."""
-    docs = cut(wide_fingerprints(documents))
-    distinct = cut(docs.groupBy("t").agg(*[F.first(c).alias(c) for c in FP]))
-    label = similar_components(candidates(distinct), documents)
-    found = docs.select("doc_id", "r", "t").join(label, F.col("t") == F.col("node"), "left")
-    return _survivors(documents, found.select("doc_id", "r", F.coalesce("label", "t").alias("root")))
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -61,18 +61,28 @@ def _matrix(ids: pa.Array, lists: pa.Array, size: int | None = None) -> tuple[np
     return ids.filter(fits).to_numpy(zero_copy_only=False)[good], m[good]
 
 
-def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_score: float | None, distance: bool = False) -> Iterator[pa.RecordBatch]:
-    """The k nearest of ``m`` for each query, equal scores by id; as cosine distances of six digits, if asked for."""
+def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, min_score: float | None, distance: bool = False, tables: int = 0) -> Iterator[pa.RecordBatch]:
+    """The k nearest of ``m`` for each query, equal scores by id; as cosine distances of six digits, if asked for.
+
+    With ``tables``, so many bucket numbers stand before the entries of a vector: only pairs with an equal one count, by 1 less half the squared distance.
+    """
+    (qb, q), (mb, m) = ((x[:, :tables], x[:, tables:]) for x in (q, m))
     if distance:
         q, m = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (q, m))
     for a in range(0, len(q) if len(m) else 0, BLOCK):
         scores = q[a : a + BLOCK] @ m.T
+        if tables:
+            scores += 1 - ((q[a : a + BLOCK] ** 2).sum(axis=1)[:, None] + (m**2).sum(axis=1)) / 2
+            shared = np.zeros(scores.shape, bool)
+            for t in range(tables):
+                shared |= qb[a : a + BLOCK, t, None] == mb[:, t]
+            scores[~shared] = -np.inf
         if distance:
             scores = -np.round(1 - scores, 6)
         last = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.full((len(scores), 1), -np.inf)
         if min_score is not None:
             last = np.maximum(last, min_score)
-        row, at = np.nonzero(scores >= last)
+        row, at = np.nonzero((scores >= last) & (scores > -np.inf))
         s = scores[row, at]
         order = np.lexsort((ids[at], -s, row))
         row, at, s = row[order], at[order], s[order]
@@ -81,13 +91,13 @@ def _nearest(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[a + row[keep]]), pa.array(ids[at[keep]]), pa.array(0.0 - s[keep] if distance else s[keep])], ["query_id", "vec_id", "score"])
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, size: int | None = None, distance: bool = False, by: Sequence[str] = ()) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, size: int | None = None, distance: bool = False, by: Sequence[str] = (), tables: int = 0) -> DataFrame:
     """Exact neighbours: (query_id, vec_id, score, rank) by inner product, or by cosine ``distance``, the smallest first.
 
     Up to BROADCAST_QUERIES queries go out to one scan of the vectors; each Arrow batch of vectors is a matrix product that
     keeps k rows for each query, equal scores by id, and only those shuffle.  More queries, or queries that meet the vectors
     of their own ``by`` columns only (an owner, say), are dealt into blocks and vectors into shards, and each block meets
-    each shard in a group of bounded size.  Vectors of another length or not finite are left out.
+    each shard in a group of bounded size.  Vectors of another length or not finite are left out.  ``tables``: as in ``_nearest``.
     """
     schema = "query_id long, vec_id long, score double"
     q = queries.select(F.col("query_id").cast("long"), F.col("vec").cast("array<float>").alias("vec"), *by)
@@ -101,7 +111,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
             ids, m = shared.value
             for batch in batches:
                 if len(ids):
-                    yield from _nearest(ids, m, *_matrix(batch.column(0), batch.column(1), m.shape[1]), k, min_score, distance)
+                    yield from _nearest(ids, m, *_matrix(batch.column(0), batch.column(1), m.shape[1]), k, min_score, distance, tables)
 
         found = v.mapInArrow(scan, schema)
     else:
@@ -115,7 +125,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
 
         def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
             sides = [_matrix(t.column(i).combine_chunks(), t.column("vec").combine_chunks(), size) for t, i in ((a, "query_id"), (b, "vec_id"))] if a.num_rows and b.num_rows else None
-            found = list(_nearest(*sides[0], *sides[1], k, min_score, distance)) if sides else []
+            found = list(_nearest(*sides[0], *sides[1], k, min_score, distance, tables)) if sides else []
             return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema)
@@ -130,17 +140,19 @@ def retrieval_k(top_k: int) -> int:
 def approx_knn(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 1.0, tables: int = 4, radius: float = 1.5) -> DataFrame:
     """Neighbours by random projections: candidates share a bucket in one of the tables; scores are exact.
 
-    For unit vectors the squared distance is 2 - 2 cos.
+    For unit vectors the squared distance is 2 - 2 cos.  Wide buckets, which recall needs, hold a large part of all vectors, so
+    candidate pairs are not written: a vector travels with its bucket numbers, and where queries meet vectors as in ``knn``, pairs
+    without a bucket in common are left out.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = vectors.select("vec_id", array_to_vector("vec").alias("features"))
-    q = queries.select("query_id", array_to_vector("vec").alias("features"))
+    v, q = (df.select(key, "vec", array_to_vector("vec").alias("features")) for df, key in ((vectors, "vec_id"), (queries, "query_id")))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(v)
-    near = model.approxSimilarityJoin(q, v, radius, distCol="d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    buckets = F.concat(*[vector_to_array(F.get("hashes", F.lit(t)), "float32") for t in range(tables)])
+    placed = lambda df, key: model.transform(df).select(key, F.concat(buckets, F.col("vec").cast("array<float>")).alias("vec"))
+    near = knn(placed(q, "query_id"), placed(v, "vec_id"), k, tables=tables)
+    return near.where(F.col("score") > 1 - radius * radius / 2)
 
 
 def embed_texts(df: DataFrame, key: str, text: str, size: int = 256) -> DataFrame:

@@ -187,3 +187,29 @@ def test_queries_are_listed_without_a_session():
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout) > 200, done.stderr[-500:]
+
+
+def test_approximate_neighbours_write_no_pairs(spark, monkeypatch):
+    """Buckets, scores and radius as by plain numpy, in both ways of meeting; no candidate pair is shuffled."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(600, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, x.astype(np.float32).tolist()) for i, x in enumerate(m)], "vec_id long, vec array<float>")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    found = vectors.approx_knn(q, v, 5, bucket=0.3, tables=2, radius=1.0)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.query_id, r.rank, r.vec_id) for r in found.collect())
+
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    features = v.select("vec_id", array_to_vector("vec").alias("f"))
+    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=0.3, numHashTables=2, seed=7).fit(features)
+    b = {r.vec_id: [x[0] for x in r.h] for r in model.transform(features).collect()}
+    want = []
+    for i in range(0, 600, 20):
+        near = sorted((-round(float(m[i] @ m[j]), 6), j) for j in b if any(x == y for x, y in zip(b[i], b[j])) and m[i] @ m[j] > 0.5)[:5]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert rows == sorted(want) and len(rows) < 30 * 5 + 1
+    monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 1)
+    assert rows == sorted((r.query_id, r.rank, r.vec_id) for r in vectors.approx_knn(q, v, 5, bucket=0.3, tables=2, radius=1.0).collect())

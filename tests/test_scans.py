@@ -41,3 +41,22 @@ def test_substring_hits(spark, data, monkeypatch):
         monkeypatch.setattr(scans, "BLOCK_TOKENS", tokens)
         assert sorted((r.query_id, r.rank, r.memory_id, r.score) for r in search.fast_lookup(q, m).collect()) == sorted(want)
     assert joins_in(plans.QUERIES["k7_fast_lookup"](spark, data)) == 0
+
+
+def test_overlaps(spark, data, monkeypatch):
+    texts = made(200, 3)
+    texts[7] = texts[3] + " more"
+    m = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "memory_id string, ocr_text string")
+    own = lambda t: set(t.split()) - {""}
+    q = m.where(F.substring("memory_id", -1, 1) == "3").select(F.substring("memory_id", 2, 9).cast("long").alias("query_id"), F.col("memory_id").alias("own"), F.filter(F.split("ocr_text", " "), lambda w: (w != "") & (w != "né")).alias("q_tokens"))
+    plain = lambda t: {w for w in own(t) if w != "né"} | ({"n"} if "né" in t.split() else set())
+    want = {}
+    for i in range(3, 200, 10):
+        t = own(texts[i]) - {"né"}
+        for k, body in enumerate(texts):
+            if t and k != i and 2 * len(t & plain(body)) >= len(t):
+                want[(i, f"m{k}")] = len(t & plain(body)) / len(t)
+    for tokens in (scans.BLOCK_TOKENS, 100):
+        monkeypatch.setattr(scans, "BLOCK_TOKENS", tokens)
+        assert {(r.query_id, r.memory_id): r.score for r in scans.overlaps(q, m).collect()} == want and want
+    assert joins_in(plans.QUERIES["j7_related_text"](spark, data)) == 0

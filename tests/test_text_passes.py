@@ -73,3 +73,17 @@ def test_phrases_by_positions(spark):
     assert [r.memory_id for r in search.phrase_candidates(one, search.postings(far, fields), far, fields).collect()] == ["m2"]
     full = {(r.token, r.memory_id, r.field): r.positions for r in search.postings(m, fields).collect()}
     assert full[("gamma", "n2", "ocr")] == [0, 2] and ("x-1", "n1", "ocr") not in full
+
+
+def test_money_of_odd_texts_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from recallgrid.plans import text as plans
+
+    odd = ["pay Rs. 7.50 and Rs. 7.50 again", "€ 5 or £6 or $7", "rſ 5 RS.8 inr 1,200.75 $\x0b9 ₹\xa03 ₹\t4", "", None, "€5 $5 $5"]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    found = sorted(tuple(r) for r in plans.QUERIES["c19_extract_money"](spark, str(tmp_path)).collect())
+    assert found == sorted(db.execute(plans.ORACLES["c19_extract_money"]).fetchall())

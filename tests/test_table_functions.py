@@ -71,3 +71,18 @@ def test_chunks(spark, data):
         assert i == last.get(doc, (-1, 0))[0] + 1 and not whole[doc][last.get(doc, (-1, 0))[1] : first].strip()
         last[doc] = (i, after)
     assert all(not whole[doc][after:].strip() for doc, (_, after) in last.items())
+
+
+def test_dictionaries_take_one_pass(data, monkeypatch):
+    """The automaton finds what the alternatives of all words find, and these are tried on texts only whose places move in lower case."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    words, rng = sorted(tables.KINDS), random.Random(3)
+    texts = pq.read_table(f"{data}/documents.parquet").column("text").to_pylist()[:60]
+    texts += ["".join(rng.choice([*words, " ", "_", ".", "x", "é", "7", "-"]) for _ in range(60)) for _ in range(200)] + ["+91 98765 43210 1234567890"]
+    plain = [[(kind, m.start(), m.end()) for (kind, _), ws in rules.DICTIONARIES.items() for m in re.finditer(tables._words(ws), t.lower())] for t in texts]
+    monkeypatch.setattr(tables, "_words", None)
+    found = [[(kind, a, b) for kind, _, a, b, _, source in tables.spans(t) if source == "dictionary"] for t in texts]
+    assert found == plain and sum(map(len, found)) > 200

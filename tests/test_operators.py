@@ -213,3 +213,17 @@ def test_approximate_neighbours_write_no_pairs(spark, monkeypatch):
     assert rows == sorted(want) and len(rows) < 30 * 5 + 1
     monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 1)
     assert rows == sorted((r.query_id, r.rank, r.vec_id) for r in vectors.approx_knn(q, v, 5, bucket=0.3, tables=2, radius=1.0).collect())
+
+
+def test_file_names_of_any_length(spark):
+    """As by plain Python on names beyond the part that is looked at first; long runs of dots take no square of their length."""
+    import re
+    import time
+
+    names = ["", "a/b\\", "..__x..", "/a b/c..d", "é" * 800 + "z", "x" * 300 + "." * 900, "." * 800 + "ab c" * 300, "ab  c" * 500, "_." * 500, "w" * 179 + "." * 700 + "v", None, "a" + "." * 150_000 + "b"]
+    clean = lambda n: re.sub(r"^[._]+|[._]+\Z", "", re.sub("_{2,}", "_", re.sub(r"[^A-Za-z0-9._-]+", "_", re.split(r"[/\\]", n)[-1])))[:180] if len(n) < 10_000 else "a" + "." * 179
+    df = spark.createDataFrame(list(enumerate(names)), "i long, t string")
+    began = time.time()
+    got = {r.i: r.n for r in df.select("i", ids.sanitize_filename(F.col("t")).alias("n")).collect()}
+    assert time.time() - began < 15
+    assert got == {i: None if n is None else clean(n) or "upload" for i, n in enumerate(names)}

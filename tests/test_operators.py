@@ -227,3 +227,13 @@ def test_file_names_of_any_length(spark):
     got = {r.i: r.n for r in df.select("i", ids.sanitize_filename(F.col("t")).alias("n")).collect()}
     assert time.time() - began < 15
     assert got == {i: None if n is None else clean(n) or "upload" for i, n in enumerate(names)}
+
+
+def test_json_texts_are_parsed_once(spark):
+    rows = [
+        '{"visual_description": "a \\"b\\"", "objects": ["x", "", " ", "y"], "scene": 1.50, "vision_analysis": {"summary": "in", "objects": ["z", 2, null], "environment": ""}}', "{}", "no json", None,
+        '{"objects": "[not a list", "visual_description": null, "vision_analysis": "text"}', '{"visual_description": true, "actions": [["a"], {"b": 1}], "other": [1]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "i long, j string").select("i", documents.visual_text(F.col("j")).alias("t"))
+    assert "get_json_object" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in df.orderBy("i").collect()] == ['a "b" in x y 1.5 z 2', "", "", "", "", 'true ["a"] {"b":1}']

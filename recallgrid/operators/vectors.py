@@ -115,12 +115,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None
 
         found = v.mapInArrow(scan, schema)
     else:
-        blocks, shards = max(1, -(-q.count() // BLOCK)), max(1, v.count() // SHARD)
-        left = q.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        # a vector goes to the blocks in which its owner has queries, or to all of them
-        wanted = left.select(F.col("__b").alias("__o"), *[F.col(c).alias(c) for c in by]).distinct() if by else None
-        right = v.withColumn("__s", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        right = right.join(wanted, list(by)).withColumnRenamed("__o", "__b") if by else right.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        # as many blocks of queries and shards of vectors as an owner's rows need, or all rows
+        parts = lambda df, most, name: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).alias(name))
+        sizes = parts(q, BROADCAST_QUERIES, "__nb").join(parts(v, SHARD, "__ns"), list(by)) if by else parts(q, BROADCAST_QUERIES, "__nb").crossJoin(parts(v, SHARD, "__ns"))
+        with_sizes = lambda df: df.join(sizes, list(by)) if by else df.crossJoin(F.broadcast(sizes))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = with_sizes(q).withColumn("__b", F.pmod(F.xxhash64("query_id"), "__nb")).where("__ns > 0").withColumn("__s", every("__ns")).drop("__nb", "__ns")
+        right = with_sizes(v).withColumn("__s", F.pmod(F.xxhash64("vec_id"), "__ns")).where("__nb > 0").withColumn("__b", every("__nb")).drop("__nb", "__ns")
         keys = ["__b", "__s", *by]
 
         def meet(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:

@@ -60,3 +60,24 @@ def test_overlaps(spark, data, monkeypatch):
         monkeypatch.setattr(scans, "BLOCK_TOKENS", tokens)
         assert {(r.query_id, r.memory_id): r.score for r in scans.overlaps(q, m).collect()} == want and want
     assert joins_in(plans.QUERIES["j7_related_text"](spark, data)) == 0
+
+
+def test_owner_hits(spark):
+    """An owner's newest memories with a term, against brute force; terms meet words, not texts, where they are plain letters."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["Invoice", "voice", "in", "KKelvin", "the1the", "x_ray", "İnv"], k=rng.randrange(1, 5))) if i % 9 else None for i in range(120)]
+    rows = [(i, f"o{i % 3}", t, f"Shot {i}.PNG", ("ready", "partial", "failed")[i % 7 % 3], i // 4) for i, t in enumerate(texts)]
+    m = spark.createDataFrame(rows, "memory_id long, user_id string, ocr_text string, filename string, status string, created_s long")
+    asked = [(i, f"o{i % 4}", t) for i, t in enumerate(["voice", "NV", "kk", "png", "ray", "the", "zz", "in"] * 3)]
+    q = spark.createDataFrame(asked, "query_id long, user_id string, term string")
+    low = {r.memory_id: (r.t, r.f) for r in m.select("memory_id", F.lower("ocr_text").alias("t"), F.lower("filename").alias("f")).collect()}
+    want = set()
+    for i, owner, term in asked:
+        held = [(-c, k) for k, o, _, _, status, c in rows if o == owner and status != "failed" and any(term.lower() in (x or "") for x in low[k])]
+        want |= {(i, k) for _, k in sorted(held)[:5]}
+    found = search.owner_hits(q, m, 5)
+    assert {tuple(r) for r in found.collect()} == want and want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert " LIKE " not in plan and "ILIKE" not in plan.upper()
+    other = search.owner_hits(spark.createDataFrame([(1, "o0", "x_r"), (2, "o0", "voice")], "query_id long, user_id string, term string"), m, 5)
+    assert {r.query_id for r in other.collect()} == {1, 2}

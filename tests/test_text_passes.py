@@ -87,3 +87,10 @@ def test_money_of_odd_texts_is_that_of_the_sql(spark, tmp_path):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
     found = sorted(tuple(r) for r in plans.QUERIES["c19_extract_money"](spark, str(tmp_path)).collect())
     assert found == sorted(db.execute(plans.ORACLES["c19_extract_money"]).fetchall())
+
+
+def test_keywords_take_one_text_at_a_time(spark):
+    """The function gets Arrow arrays (250), not all texts of a batch as Python strings (200)."""
+    df = spark.createDataFrame([("a b",)], "t string").select(keywords_in(F.col("t"), ["a"]).alias("k"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and ", 250" in plan and df.first().k == ["a"]

@@ -108,3 +108,21 @@ def test_links_that_join_components():
     import numpy as np
 
     assert similar.joining(np.array([1, 2, 1, 4]), np.array([2, 3, 3, 1])) == [0, 1, 3]
+
+
+def test_balls_join_close_fingerprints(spark, monkeypatch):
+    """Without segments, ball hashing alone joins all similar texts whose first 64 bits are within two bits."""
+    real = similar.meetings
+    monkeypatch.setattr(similar, "meetings", lambda distinct: real(distinct).where("false"))
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(1200)]
+        rows.append((2 * i, " ".join(words)))
+        words[rng.randrange(1200)] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    bits = [int(similar.wide_fingerprint(t)[0]) & (1 << 64) - 1 for _, t in rows]
+    pairs = [(i, j) for i, j in brute(rows) if (bits[i] ^ bits[j]).bit_count() <= simhash.RADIUS]
+    assert len(pairs) > 15
+    kept = {r.doc_id for r in similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[k][0] for k in set(roots(len(rows), pairs))}

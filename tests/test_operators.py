@@ -112,6 +112,27 @@ def test_fuzzy_tokens(spark):
     assert {(r.q, r.token) for r in documents.fuzzy_tokens(q, t).collect()} == {("recipt", "receipt"), ("recipt", "receipts")}
 
 
+def test_fuzzy_tokens_read_tokens_once(spark):
+    """All pairs as by brute force, while the function that makes the tokens runs once for each."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abcd") for _ in range(rng.randrange(4, 9))) for _ in range(60)})
+    asked = sorted({w[:2] + rng.choice("abcdx") + w[2:] for w in words[::4]} - set(words))
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def token(x):
+        made.add(1)
+        return x
+
+    tokens = spark.createDataFrame([(w,) for w in words], "w string").select(token.asNondeterministic()("w").alias("token"))
+    got = {(r.q, r.token) for r in documents.fuzzy_tokens(spark.createDataFrame([(w,) for w in asked], "token string"), tokens).collect()}
+    assert got == {(q, t) for q in asked for t in words if SequenceMatcher(None, q, t).ratio() >= 0.84} and got
+    assert made.value == len(words)
+
+
 def test_ids_are_consecutive(spark):
     got = sorted(r.vector_id for r in windows.assign_ids(spark.range(1000).withColumnRenamed("id", "k"), 7, "k", shards=5).collect())
     assert got == list(range(7, 1007))

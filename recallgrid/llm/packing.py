@@ -18,7 +18,6 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Rows ranked together, about.
 SHARD_ROWS = 20_000
+#: Bytes of text in one round of work, and distinct pieces that a worker keeps: some 100 MB besides the tokenizer, since an executor has several workers.
+ROUND, STORED = 500_000, 400_000
 SLOT_SCHEMA = "length int, low long, high long, base long, copies int, at int"
 
 
@@ -42,6 +43,8 @@ class WordIds:
     """
 
     TOGETHER = 1000
+    #: So many sets in one call.
+    CALLS = 8
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,21 +59,23 @@ class WordIds:
         led = [i for i, w in enumerate(words) if w[0] == " " and len(w) > 1 and not w[1:].isspace()]
         some = [led[k : k + self.TOGETHER] for k in range(0, len(led), self.TOGETHER)]
         flat, used = [], 0
-        for part, found in zip(some, self.tokenizer.encode_batch(["".join([words[i] for i in p]) for p in some], add_special_tokens=False)):
-            n = np.bincount(found.word_ids)
-            if len(n) == len(part):
-                size[part], at[part] = n, used + np.cumsum(n) - n
-                flat.append(found.ids)
-                used += len(found.ids)
+        for k in range(0, len(some), self.CALLS):  # the library's answer has some hundreds of bytes a token
+            parts = some[k : k + self.CALLS]
+            for part, found in zip(parts, self.tokenizer.encode_batch(["".join([words[i] for i in p]) for p in parts], add_special_tokens=False)):
+                n = np.bincount(found.word_ids)
+                if len(n) == len(part):
+                    size[part], at[part] = n, used + np.cumsum(n) - n
+                    flat.append(np.array(found.ids, np.int32))
+                    used += len(flat[-1])
         rest = np.flatnonzero(size == 0).tolist()
         for k in range(0, len(rest), self.TOGETHER):
             part = rest[k : k + self.TOGETHER]
             for i, found in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
                 ids = found.ids
                 size[i], at[i] = len(ids), used
-                flat.append(ids)
+                flat.append(np.array(ids, np.int32))
                 used += len(ids)
-        return np.fromiter(chain.from_iterable(flat), np.int32, used), at, size
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), at, size
 
 
 _stores: dict[str, PieceEncoder] = {}
@@ -78,7 +83,7 @@ _stores: dict[str, PieceEncoder] = {}
 
 def store(path: str) -> PieceEncoder:
     if path not in _stores:
-        _stores[path] = PieceEncoder(WordIds(path))
+        _stores[path] = PieceEncoder(WordIds(path), STORED, ROUND)
     return _stores[path]
 
 
@@ -93,7 +98,7 @@ def token_pieces(documents: DataFrame, path: str, capacity: int = CAPACITY, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = store(path)
         for batch in batches:
-            for part in rounds(batch, "text"):
+            for part in rounds(batch, "text", ROUND):
                 ids, at = encoder.ids(part.column("text").to_pylist())
                 n = np.diff(at) + 1
                 doc = np.arange(len(n))

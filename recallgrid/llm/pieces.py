@@ -87,8 +87,8 @@ def spread(flat: np.ndarray, offset: np.ndarray, count: np.ndarray, index: np.nd
 class PieceEncoder:
     """``encode``: list of distinct pieces (bytes) -> ids in any order, and where each piece's begin and how many they are."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 800_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 800_000, chunk: int = CHUNK):
+        self.encode, self.most, self.chunk = encode, most, chunk
         base = np.uint64(0x9E3779B97F4A7C15)
         inverse = np.uint64(pow(int(base), -1, 2**64))
         self.power, self.inverse = self._powers(base, 1), self._powers(inverse, 1)
@@ -150,9 +150,9 @@ class PieceEncoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's begin (one more at the end)."""
-        if not any(len(t) > 2 * CHUNK for t in texts):
+        if not any(len(t) > 2 * self.chunk for t in texts):
             return self._ids(texts)
-        found = [np.concatenate([self._ids([part])[0] for part in parts(t)]) for t in texts]
+        found = [np.concatenate([self._ids([part])[0] for part in parts(t, self.chunk)]) for t in texts]
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -83,3 +83,29 @@ def test_pieces_and_places(spark, edge, empty):
     assert X.pack(empty, PATH).count() == 0
     sequences = X.sequences(edge, PATH).collect()
     assert sum(len(s.ids) for s in sequences) == sum(x[3] for x in expected) and all(len(s.ids) == s.length for s in sequences)
+
+
+def test_a_worker_asks_for_few_ids_at_a_time():
+    library = Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    words, calls = X.WordIds(PATH), []
+
+    class Counted:
+        def __getattr__(self, name):
+            def called(texts, **options):
+                calls.append(len(texts))
+                return getattr(library, name)(texts, **options)
+
+            return called
+
+    words.tokenizer = Counted()
+    asked = [(" " + "".join(letters)).encode() for letters in itertools.islice(itertools.product("abcdefghijkl", repeat=4), 20_000)] + [b"\n\n", b"x"]
+    ids, at, size = words(asked)
+    assert max(calls) <= 8 and sum(calls) < 30  # sets of words, each of a thousand; 2 are asked alone
+    for k in (0, 7, 999, 1000, 12_345, 19_999, 20_000, 20_001):
+        assert ids[at[k] : at[k] + size[k]].tolist() == library.encode(asked[k].decode(), add_special_tokens=False).ids
+
+    # a long text is cut into rounds too, to the same ids
+    text = " ".join(f"word{k % 5000}, né" for k in range(120_000))
+    assert len(text) > 2 * X.ROUND
+    assert X.store(PATH).ids([text, "a b"])[0].tolist() == library.encode(text, add_special_tokens=False).ids + library.encode("a b", add_special_tokens=False).ids

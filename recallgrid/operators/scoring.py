@@ -16,6 +16,8 @@ from .joins import bounded
 WEIGHTS = {"semantic": 0.40, "keyword": 0.18, "entity": 0.12, "metadata": 0.10, "exact": 0.08, "recency": 0.05, "agreement": 0.07}
 # Points of overlap with each field.
 FIELD_POINTS = {"ocr": 30, "summary": 24, "visual": 32, "entities": 20, "keywords": 26, "filename": 12, "category": 18}
+# Share of a query's tokens that read text must have to count in the second test.
+OCR_SHARE = 0.60
 # Points of each kind of evidence.
 EVIDENCE_POINTS = {"visual": 12, "concept": 14, "semantic": 8, "ocr": 12}
 
@@ -91,7 +93,7 @@ def relevance_gate() -> Column:
     structured_ocr = is_structured_query(F.col("query_text")) & F.col("exact_ocr")
     has = lambda k: F.array_contains("evidence", k)
     independent = (has("visual") & strong_visual).cast("int") + (has("concept") & concept).cast("int") + (has("semantic") & strong_semantic).cast("int")
-    independent = independent + (has("ocr") & (F.col("exact_ocr") | (F.col("ocr_hits") / F.greatest(n, F.lit(1)) >= 0.60))).cast("int")
+    independent = independent + (has("ocr") & (F.col("exact_ocr") | (F.col("ocr_hits") / F.greatest(n, F.lit(1)) >= OCR_SHARE))).cast("int")
     many = F.col("exact_concept") | structured_ocr | (independent >= 2) | ((n <= 2) & strong_visual)
     return F.when(n == 0, F.lit(False)).when(n == 1, concept | strong_visual | structured_ocr).otherwise(many)
 

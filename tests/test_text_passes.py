@@ -94,3 +94,26 @@ def test_keywords_take_one_text_at_a_time(spark):
     df = spark.createDataFrame([("a b",)], "t string").select(keywords_in(F.col("t"), ["a"]).alias("k"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and ", 250" in plan and df.first().k == ["a"]
+
+
+def test_search_makes_no_rows_of_pairs_that_only_share_words(spark, monkeypatch):
+    n, asked = 300, 20
+    phrase = "alpha beta gamma rare{0} delta{0} omega{0}"
+    text = [phrase.format(k) if k < asked else f"alpha beta other{k} words" for k in range(n)]
+    rows = [(f"m{k}", text[k], None, None, f"shot {k}", "rechnungen" if k == 250 else None, f"shot {k} " + ("rechnungen" if k == 250 else ""), 1, 1, 1) for k in range(n)]
+    memories = spark.createDataFrame(rows, "memory_id string, ocr_text string, summary string, title string, filename string, category string, concept_text string, captured_s long, created_s long, indexed_s long")
+    texts = [(k, phrase.format(k)) for k in range(asked)] + [(99, "rechnungen"), (100, "alpha none neither beta")]
+    queries = spark.createDataFrame(texts, "query_id long, query_text string").select("*", normalize(F.col("query_text")).alias("q_norm"), meaningful_tokens(F.col("query_text")).alias("q_tokens"), *[F.lit(None).cast("long").alias(c) for c in ("date_from_s", "date_to_s")])
+    near = spark.createDataFrame([(0, "m0", 0.3), (0, "m299", 0.1)], "query_id long, memory_id string, score double")
+    feedback = spark.createDataFrame([(phrase.format(3), "m3", -1)], "query_norm string, memory_id string, signal int")
+    counts, write = [], search.staged
+
+    def counted(df):
+        out = write(df)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "staged", counted)
+    found = {(r.query_id, r.memory_id, r["rank"], r.evidence) for r in search.search(queries, memories, near, near, feedback).collect()}
+    assert found == {(0, "m0", 1, "visual,ocr")} | {(k, f"m{k}", 1, "ocr") for k in range(1, asked) if k != 3} | {(99, "m250", 1, "concept")}
+    assert max(counts) == n  # the texts' tokens; pairs and places are fewer

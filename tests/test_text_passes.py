@@ -117,3 +117,19 @@ def test_search_makes_no_rows_of_pairs_that_only_share_words(spark, monkeypatch)
     found = {(r.query_id, r.memory_id, r["rank"], r.evidence) for r in search.search(queries, memories, near, near, feedback).collect()}
     assert found == {(0, "m0", 1, "visual,ocr")} | {(k, f"m{k}", 1, "ocr") for k in range(1, asked) if k != 3} | {(99, "m250", 1, "concept")}
     assert max(counts) == n  # the texts' tokens; pairs and places are fewer
+
+
+def test_enrichment_names_each_pass_over_a_text_once(spark):
+    from recallgrid.operators import documents
+
+    rows = [("a", t, None, None, None) for t in EXTRA]
+    done = documents.enrich(spark.createDataFrame(rows, "memory_id string, ocr_text string, title string, category string, intent string"))
+    done = done.select("memory_id", "title", "category", F.size("entities").alias("n"), "confidence")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count(r"\p{C}") == 1
+    assert plan.count(r"(?U)[^\w]+") == 3  # the text, the description, the intent
+    assert done.count() == len(EXTRA)

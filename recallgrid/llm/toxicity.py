@@ -5,8 +5,9 @@ character n-grams.  A text is cut into all overlapping windows of ``WINDOW`` wor
 runs through a gated recurrent unit in both directions, attention pools the states, and the text's score is its highest
 window's.  A text's label says nothing about its windows, so training takes each text's highest window in turn.
 
-Fitting collects a bounded sample: ``SAMPLE`` labelled rows of each label at most, in the order of a hash of the id, from
-rows that are not held out.  Scoring covers all windows of all texts, in Spark tasks that share nothing but the model.
+Fitting takes a bounded sample: ``SAMPLE`` labelled rows of each label at most, in the order of a hash of the id, from
+rows that are not held out.  One task learns from it and only the network comes to the driver.  Scoring covers all windows
+of all texts, in Spark tasks that share nothing but the model.
 
 Defined cases: a null text counts as empty; a text without words is one empty window and gets the network's score for it;
 without two labels to learn from every text scores 0; rows with one doc_id get one row each; other columns of the input
@@ -15,6 +16,7 @@ are ignored by ``score`` and kept by ``clean``.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import release_memory, rounds, table, text_or_empty
 from .pieces import spread
 
-#: Most labelled rows of each label that the fit collects.
+#: Most labelled rows of each label that the fit takes.
 SAMPLE = 1500
-#: Longest documents that may be in the sample, in characters, so that it fits the driver; longer ones are scored all the same.
+#: Longest documents that may be in the sample, in characters, so that it fits one task; longer ones are scored all the same.
 SAMPLE_CHARS = 20_000
 WINDOW, STRIDE = 48, 24
 THRESHOLD = 0.7
@@ -36,6 +38,8 @@ CHAR_BUCKETS, GRAMS = 1 << 15, (3, 5, 7)
 MIN_DOCS = 4
 #: Words kept ready in a worker, 250 bytes each, and bytes of text in one round of scoring.
 READY_WORDS, ROUND_BYTES = 120_000, 400_000
+#: Words whose characters are looked at together, and windows that run together: both only bound what is held at a time.
+PART_WORDS, PART_WINDOWS = 8192, 1024
 EPOCHS, BATCH, RATE = 7, 128, 0.01
 #: Share of toxic texts that the threshold supposes.
 TOXIC_SHARE = 0.1
@@ -52,6 +56,11 @@ def words_of(text: str) -> list[str]:
 
 def char_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all character n-grams of ``words`` end to end, and how many each word has."""
+    found = [_char_features(words[k : k + PART_WORDS]) for k in range(0, len(words), PART_WORDS)]
+    return np.concatenate([b for b, _ in found]), np.concatenate([n for _, n in found])
+
+
+def _char_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer("".join(["^" + w.strip("\"'.,;:!?()[]*#$%&") + "$" for w in words]).encode(), np.uint8).astype(np.uint64)
     size = np.array([len(w.strip("\"'.,;:!?()[]*#$%&").encode()) + 2 for w in words], np.int64)
     start = np.cumsum(size) - size
@@ -94,15 +103,22 @@ class Network:
 
     def _chars(self, bucket: np.ndarray, n: np.ndarray) -> np.ndarray:
         out = np.zeros((len(n), CHAR_DIM), np.float32)
-        some = n > 0
-        if some.any():
-            at = (np.cumsum(n) - n)[some]
-            out[some] = np.add.reduceat(self.p["char"][bucket], at, axis=0) / np.sqrt(n[some])[:, None]
+        first = np.cumsum(n) - n
+        for k in range(0, len(n), PART_WORDS):
+            part, start = n[k : k + PART_WORDS], first[k : k + PART_WORDS]
+            some = part > 0
+            if some.any():
+                own = bucket[start[0] : start[-1] + part[-1]]
+                out[k : k + PART_WORDS][some] = np.add.reduceat(self.p["char"][own], start[some] - start[0], axis=0) / np.sqrt(part[some])[:, None]
         return out
 
     def inputs(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
         """Input projections of words, for both directions."""
-        return {d: vectors @ self.p["W" + d] + self.p["c" + d] for d in "fb"}
+        found = {}
+        for d in "fb":
+            found[d] = vectors @ self.p["W" + d]
+            found[d] += self.p["c" + d]
+        return found
 
     def _scan(self, d: str, x: np.ndarray, live: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (steps, windows, hidden); x: (windows, steps) rows of the projections."""
@@ -206,9 +222,9 @@ class Scorer:
         word = np.fromiter((i for ws in split for i in map(self.known.__getitem__, ws)), np.int64)
         first, size, owner = windows(np.array([len(ws) for ws in split], np.int64))
         best = np.full(len(texts), -np.inf, np.float32)
-        for k in range(0, len(first), 4096):
-            index, live = _index(first[k : k + 4096], size[k : k + 4096], word)
-            np.maximum.at(best, owner[k : k + 4096], self.network.logits(self.ready, index, live))
+        for k in range(0, len(first), PART_WINDOWS):
+            index, live = _index(first[k : k + PART_WINDOWS], size[k : k + PART_WINDOWS], word)
+            np.maximum.at(best, owner[k : k + PART_WINDOWS], self.network.logits(self.ready, index, live))
         return best
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -248,6 +264,7 @@ def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -
     network = Network({w: k + 1 for k, w in enumerate(sorted(w for w, c in zip(bare, counts) if c >= MIN_DOCS))})
     own = np.array([network.vocabulary.get(w.strip("\"'.,;:!?()[]*#$%&"), 0) for w in distinct])
     bucket, grams = char_features(distinct)
+    del number, bare, distinct
     gram_at = np.concatenate([[0], np.cumsum(grams)])
     # the first part of each vector begins as the smoothed log-odds of the word or n-gram among learned texts
     seen = {"word": np.zeros((2, len(network.vocabulary) + 1)), "char": np.zeros((2, CHAR_BUCKETS))}
@@ -264,7 +281,11 @@ def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -
     network.p["word"][0, 0] = 0
     word = np.concatenate(split)
     first, size, owner = windows(np.array([len(ws) for ws in split], np.int64))
-    strong = np.maximum(network.p["word"][own, 0], 0) + np.maximum.reduceat(np.append(network.p["char"][bucket, 0], 0), np.minimum(gram_at[:-1], len(bucket)))
+    del split
+    strong = np.maximum(network.p["word"][own, 0], 0).astype(np.float64)
+    for k in range(0, len(own), PART_WORDS):  # every word has an n-gram
+        at = gram_at[k : k + PART_WORDS + 1]
+        strong[k : k + PART_WORDS] += np.maximum.reduceat(network.p["char"][bucket[at[0] : at[-1]], 0], at[:-1] - at[0])
     total_strength = np.concatenate([[0], np.cumsum(strong[word])])
     guess = total_strength[first + np.maximum(size, 0)] - total_strength[first]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
@@ -274,8 +295,8 @@ def _learn(texts: list[str], labels: np.ndarray, learn: np.ndarray, seed: int) -
     def scored() -> np.ndarray:
         projections = network.inputs(np.concatenate([network.p["word"][own], network._chars(bucket, grams)], axis=1))
         out = np.empty(len(first), np.float32)
-        for k in range(0, len(first), 4096):
-            out[k : k + 4096] = network.logits(projections, *_index(first[k : k + 4096], size[k : k + 4096], word))
+        for k in range(0, len(first), PART_WINDOWS):
+            out[k : k + PART_WINDOWS] = network.logits(projections, *_index(first[k : k + PART_WINDOWS], size[k : k + PART_WINDOWS], word))
         return out
 
     for _ in range(EPOCHS):
@@ -337,11 +358,22 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     known = _first_of_each(known.withColumn("__n", F.xxhash64("__id")), 2 * sample, "__n", "__id")
     some = documents.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     some = _first_of_each(some.groupBy("__toxic", "__n", "__id").agg(F.min("text").alias("text")), sample, "__n", "__id")
-    rows = some.select("text", "__toxic", "__n", "__id").toPandas().sort_values(["__toxic", "__n", "__id"])
-    network = fit(rows["text"].tolist(), rows["__toxic"].to_numpy(np.int64))
-    del rows
-    release_memory()
-    return network
+    found = some.select("text", "__toxic", "__n", "__id").coalesce(1).mapInArrow(_fitted, "network binary").collect()
+    return pickle.loads(found[0].network) if found else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network of the one task that has the sample; no row without both labels."""
+    rows = list(batches)
+    if rows:
+        found = pa.Table.from_batches(rows).sort_by([(name, "ascending") for name in ("__toxic", "__n", "__id")])
+        texts, labels = found.column("text").to_pylist(), found.column("__toxic").to_numpy().astype(np.int64)
+        rows = found = None
+        network = fit(texts, labels)
+        texts = None
+        release_memory()
+        if network is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
 
 
 def _first_of_each(rows: DataFrame, n: int, *order: str) -> DataFrame:

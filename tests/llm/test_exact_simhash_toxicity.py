@@ -139,3 +139,39 @@ def test_toxicity_learns_and_holds_out(spark, edge, empty):
     assert set(toxicity.score(edge, None).select("score").toPandas()["score"]) == {0.0}
     clean = toxicity.clean(docs, network)
     assert clean.columns == docs.columns and 0 < clean.count() < docs.count()
+
+
+def _insults(spark, n):
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join([*(f"word{draw.randrange(4000)}" for _ in range(draw.randint(1, 90))), *(["wretch"] if i % 3 == 0 else [])]) for i in range(n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    return docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int").repartition(3), texts
+
+
+def test_toxicity_learns_in_a_task(spark, monkeypatch):
+    docs, labels, texts = _insults(spark, 240)
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows = sorted((int(i % 3 == 0), hashes[i], i) for i in range(240) if zlib.crc32(str(i).encode()) % 3 != 1)
+    sample = [x for k in (0, 1) for x in [r for r in rows if r[0] == k][:40]]
+    expected = toxicity.fit([texts[i] for _, _, i in sample], np.array([k for k, _, _ in sample]))
+    monkeypatch.setattr(toxicity, "fit", None)  # in this process, not in the workers
+    got = toxicity.train(docs, labels, 40)
+    assert got.vocabulary == expected.vocabulary
+    # a worker's matrix products may use another number of threads
+    assert np.allclose(toxicity.Scorer(got).scores(texts), toxicity.Scorer(expected).scores(texts), atol=1e-3)
+
+
+def test_characters_of_words_are_held_in_parts(monkeypatch):
+    import tracemalloc
+
+    words = [f"word{i * 7919 % 1_000_003}é" for i in range(60_000)]
+    network = toxicity.Network({"word7919é": 1})
+    tracemalloc.start()
+    vectors = network.embed(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6  # 100 MB where all words are looked at together
+    monkeypatch.setattr(toxicity, "PART_WORDS", 1_000_000)
+    assert (network.embed(words) == vectors).all()

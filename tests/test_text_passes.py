@@ -133,3 +133,17 @@ def test_enrichment_names_each_pass_over_a_text_once(spark):
     assert plan.count(r"\p{C}") == 1
     assert plan.count(r"(?U)[^\w]+") == 3  # the text, the description, the intent
     assert done.count() == len(EXTRA)
+
+
+def test_text_statistics_equal_their_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from recallgrid.plans import text as plans
+
+    texts = [None, "", "a\n", "a\n\n", "\n", "a\r\n", "a\n\r", "a\n ", "a\n\x85", "a\x0bb", "a b", "éa@b.com", "a@b.comé", "a@b.co_", "é.a@b.com", "x a.b@c.de y", "٣", "a\U0001f600b\n\n\n"]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = plans.QUERIES["a15_text_statistics"](spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({plans.ORACLES['a15_text_statistics']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == want and len(want) == len(texts)

@@ -74,6 +74,27 @@ def merge_sketches(df: DataFrame, by: list[str], name: str, k: int = K) -> DataF
     return first.groupBy(*by).agg(F.sort_array(F.collect_list("__h")).alias(name))
 
 
+def _key() -> Column:
+    """A string in the order of doc_id and the text's beginning; rows without doc_id come first."""
+    number = F.coalesce("doc_id", F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+    return F.concat(F.lpad(F.hex(number), 16, "0"), F.hex(F.substring("text", 1, 16)))
+
+
+def _with_bucket(docs: DataFrame, bounds: list[str]) -> DataFrame:
+    """Add the number ``__b`` of bounds but the first that ``__key`` reaches, in two steps of about the root of their number.
+
+    Bounds are constant lists of strings, made once and not for each row.
+    """
+    later = bounds[1:]
+    if not later:
+        return docs.withColumn("__b", F.lit(0))
+    step = max(1, math.isqrt(len(later)))
+    constant = lambda some: F.split(F.lit(",".join(some)), ",")
+    reached = lambda some: F.size(F.filter(some, lambda b: b <= F.col("__key")))
+    docs = docs.withColumn("__whole", reached(constant(later[step - 1 :: step])) * step)
+    return docs.withColumn("__b", F.col("__whole") + reached(F.slice(constant(later), F.col("__whole") + 1, step))).drop("__whole")
+
+
 def _with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the next row's columns as struct ``nxt``, the first row's after the last.
 
@@ -81,28 +102,20 @@ def _with_next(docs: DataFrame) -> DataFrame:
     of about BUCKET_DOCS rows (MOST_BUCKETS at most), however ids are spread; an id that many texts share spans several buckets.  Then texts shuffle once: each row goes to its bucket, and the first row of each
     bucket also to the bucket before.
     """
-    key = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.hex(F.substring("text", 1, 16)).alias("h"))
-    keys = cut(docs.select(key.alias("__key")))
+    docs = docs.withColumn("__key", _key())
+    keys = cut(docs.select("__key"))
     wanted = min(MOST_BUCKETS, max(1, keys.count() // BUCKET_DOCS))
     first = F.min("__key").alias("first")
-    bounds = sorted(tuple(r["first"]) for r in keys.repartitionByRange(wanted, "__key").groupBy(F.spark_partition_id().alias("p")).agg(first).collect())
-    step = max(1, math.isqrt(len(bounds)))
-    flat = [F.split(F.lit(",".join(str(b[i]) for b in bounds[1:])), ",").cast(kind) if len(bounds) > 1 else F.array().cast(kind) for i, kind in enumerate(("array<bigint>", "array<string>"))]
-    flat = F.transform(F.arrays_zip(flat[0].alias("k"), flat[1].alias("h")), lambda b: F.struct(b["k"].alias("k"), b["h"].alias("h")))
-    coarse = F.filter(flat, lambda b, i: i % step == step - 1)
-    whole = F.size(F.filter(coarse, lambda b: b <= F.col("__key"))) * step
-    bucket = whole + F.size(F.filter(F.slice(flat, whole + 1, step), lambda b: b <= F.col("__key")))
-    docs = docs.withColumn("__key", key).withColumn("__b", bucket)
-    heads = keys.withColumn("__b", bucket).groupBy("__b").agg(first)  # a row a bucket
-    turn = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    here = F.struct("__b", "first")
-    after = F.coalesce(F.lead(here).over(Window.orderBy("__b")), F.first(here).over(turn))
-    ghosts = F.broadcast(heads.select(F.col("__b").alias("__to"), after.alias("a")).select("__to", F.col("a.first").alias("__id"), F.col("a.__b").alias("__from")))
-    copies = docs.join(ghosts, (F.col("__key") == F.col("__id")) & (F.col("__b") == F.col("__from"))).withColumn("__b", F.col("__to")).drop("__to", "__id", "__from")
-    rows = docs.withColumn("__ghost", F.lit(0)).unionByName(copies.withColumn("__ghost", F.lit(1)))
-    columns = [c for c in docs.columns if c not in ("__b", "__key")]
-    order = Window.partitionBy("__b").orderBy("__ghost", "__key", "text")
-    return rows.withColumn("nxt", F.lead(F.struct(*columns)).over(order)).where("__ghost = 0").drop("__b", "__ghost", "__key")
+    bounds = sorted(r["first"] for r in keys.repartitionByRange(wanted, "__key").groupBy(F.spark_partition_id().alias("p")).agg(first).collect())
+    columns = [c for c in docs.columns if c != "__key"]
+    rows = _with_bucket(docs, bounds)
+    # a bucket's first key is its bound, so rows with it are known where they are read
+    place = lambda bucket, ghost: F.struct(bucket.alias("b"), F.lit(ghost).alias("ghost"))
+    own, before = place(F.col("__b"), 0), place(F.pmod(F.col("__b") - 1, F.lit(max(1, len(bounds)))), 1)
+    head = F.element_at(F.split(F.lit(",".join(bounds)), ","), F.col("__b") + 1) == F.col("__key")
+    rows = rows.withColumn("__at", F.explode(F.when(head, F.array(own, before)).otherwise(F.array(own))))
+    order = Window.partitionBy("__at.b").orderBy("__at.ghost", "__key", "text")
+    return rows.withColumn("nxt", F.lead(F.struct(*columns)).over(order)).where("__at.ghost = 0").drop("__b", "__at", "__key")
 
 
 def fingerprint(documents: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:

@@ -66,3 +66,18 @@ def test_sketch_is_the_smallest_hashes(spark):
     assert got == {r.doc_id: r.s for r in brute.collect()}
     near = {r.doc_id: r.near_next for r in X.edited_neighbours(docs).collect()}
     assert all(abs(near[k] - 189 / 203) < 0.06 for k in range(19))
+
+
+def test_buckets_cost_a_row_the_root_of_their_number(spark, monkeypatch):
+    """Bounds are constants of the plan, not lists made for each row, and heads of buckets are known without a join."""
+    import bisect
+
+    bounds = [f"{k:04}" for k in range(0, 900, 3)]
+    given = spark.createDataFrame([(f"{k:04}",) for k in range(1000)], "__key string")
+    found = X._with_bucket(given, bounds)
+    assert "split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["__key"]: r["__b"] for r in found.collect()} == {f"{k:04}": bisect.bisect_right(bounds[1:], f"{k:04}") for k in range(1000)}
+    monkeypatch.setattr(X, "BUCKET_DOCS", 8)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"))
+    plan = X.edited_neighbours(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Range (") == 1 and "arrays_zip" not in plan

@@ -60,8 +60,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def salted(rows: DataFrame, side: DataFrame, key: str, *by: str) -> DataFrame:
-    """``rows`` joined with ``side``, which has one row a key: the rows of a key spread by columns ``by`` over SALTS tasks."""
-    each = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``rows`` joined with ``side``, which has one row a key: the rows of a key spread by columns ``by`` over SALTS tasks.
+
+    Neither side is broadcast: Spark sizes what comes after an explode, as ``side`` here and often ``rows``, as if a row gave one row.
+    """
+    each = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(each, [key, "__salt"]).drop("__salt")
 
 

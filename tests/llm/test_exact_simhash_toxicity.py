@@ -175,3 +175,17 @@ def test_characters_of_words_are_held_in_parts(monkeypatch):
     assert peak < 25e6  # 100 MB where all words are looked at together
     monkeypatch.setattr(toxicity, "PART_WORDS", 1_000_000)
     assert (network.embed(words) == vectors).all()
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """Spark sizes variants and salted rows as if each fingerprint gave one; both sides of their joins stay where they are."""
+    from recallgrid.llm.common import salted
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
+    met = salted(rows, rows.groupBy("k").agg(F.max("id").alias("m")), "k", "id")
+    found = simhash.links(spark.range(500).select(F.xxhash64("id").alias("fp")))
+    for df, n in ((met, 1000), (found, 0)):
+        assert df.count() == n
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

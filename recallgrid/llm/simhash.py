@@ -28,6 +28,8 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 BITS = 64
+#: Most edges of a round whose minima, of two nodes an edge at most, are broadcast: under 10 MB, and no shuffle of edges.
+FEW_EDGES = 100_000
 #: Shingles counted at once: 64 bytes each.
 BLOCK = 1 << 17
 
@@ -85,23 +87,25 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star in turn: neighbours move to the smallest of the neighbourhood, until the edges are
     stars.  Neighbourhoods are grouped by minima that combine before the shuffle and joined back with a salt, so no task
-    holds one.
+    holds one; those of few edges are broadcast instead.
     """
     edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    state = lambda: edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
+    now = state()
+    while now["n"]:
+        # a round has no more edges than the one before, and two nodes an edge at most
+        each = (lambda rows, side, key, by: rows.join(F.broadcast(side), key)) if now["n"] <= FEW_EDGES else salted
         # large star: each node hands its larger neighbours to the smallest of itself and its neighbours
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = salted(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = each(both.where("b > a"), least, "a", "b").select(F.col("m").alias("a"), "b").where("a <> b")
         # small star: each node hands its smaller neighbours, and itself, to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = salted(large, low, "b", "a").select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
+        small = each(large, low, "b", "a").select(F.col("m").alias("a"), F.col("a").alias("c")).where("a <> c").select("a", F.col("c").alias("b"))
         edges = written(small.unionAll(low.select(F.col("m").alias("a"), "b")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, now = now, state()
         if now == before:
             break
-        before = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
 
 

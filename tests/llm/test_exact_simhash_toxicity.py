@@ -189,3 +189,17 @@ def test_exploded_sides_are_not_broadcast(spark):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_components_of_few_edges_shuffle_no_edges(spark, monkeypatch):
+    """The same labels with minima broadcast and with salted joins; edges that are stars already take one round."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(100, 101), (102, 100), (200, 201)], "a long, b long")
+    want = {**{i: 1 for i in range(2, 31)}, 101: 100, 102: 100, 201: 200}
+    for few in (simhash.FEW_EDGES, 0):
+        monkeypatch.setattr(simhash, "FEW_EDGES", few)
+        assert {r.node: r.label for r in simhash.components(edges).collect()} == want
+    rounds, write = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df: rounds.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(simhash, "FEW_EDGES", 100_000)
+    assert simhash.components(edges.where("a >= 200")).count() == 1
+    assert len(rounds) == 2 and "SortMergeJoin" not in rounds[1] and "__salt" not in rounds[1]

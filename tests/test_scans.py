@@ -81,3 +81,12 @@ def test_owner_hits(spark):
     assert " LIKE " not in plan and "ILIKE" not in plan.upper()
     other = search.owner_hits(spark.createDataFrame([(1, "o0", "x_r"), (2, "o0", "voice")], "query_id long, user_id string, term string"), m, 5)
     assert {r.query_id for r in other.collect()} == {1, 2}
+
+
+def test_overlaps_split_texts_once(spark, monkeypatch):
+    """Several blocks of queries pass over tokens that were written once; none splits the texts again."""
+    monkeypatch.setattr(scans, "BLOCK_TOKENS", 100)
+    m = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(made(60, 5))], "memory_id string, ocr_text string")
+    q = m.select(F.substring("memory_id", 2, 9).cast("long").alias("query_id"), F.col("memory_id").alias("own"), F.split("ocr_text", " ").alias("q_tokens"))
+    plan = scans.overlaps(q, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") > 1 and "regexp_extract_all" not in plan
